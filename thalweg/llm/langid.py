@@ -1,8 +1,10 @@
 """Language identification by compression: the dictionary that makes a text smallest names it.
 
-Each language has a zstandard raw-content dictionary of training text. A text is lower-cased and
-cut into chunks; each chunk is compressed with each dictionary, and the sizes are summed over the
-whole text. The language with the smallest sum wins; a narrow margin is a rejection.
+Each language has a zstandard raw-content dictionary of training text. A text is lower-cased,
+stripped of ASCII signs and digits, and cut into chunks; each chunk is compressed with each
+dictionary, and the sizes are summed over the whole text. The language with the smallest sum wins;
+a narrow margin is a rejection. Training documents quote passages of other languages, so the sample
+is split into halves and each half's lines are kept only if the other half's dictionaries agree.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, not accepted; equal sums
 go to the language with more training rows, then to the smaller name, and aren't accepted; an
@@ -23,8 +25,12 @@ from pyspark.sql.window import Window
 from thalweg.llm.common import fold, slices, small_batches, table
 
 #: Bounds of the training sample: documents for a language, and code points of each of them.
-SAMPLE_DOCS = 160
-SAMPLE_CHARS = 800
+SAMPLE_DOCS = 200
+SAMPLE_CHARS = 1_600
+#: Rounds of judging the sample's lines.
+ROUNDS = 2
+#: Bytes of a dictionary; what matters most stands at its end.
+MOST_BYTES = 110_000
 #: Languages beyond this number are refused; every one costs a compression of every text.
 MOST_LANGS = 1000
 #: Bytes of one chunk. Each starts afresh, so that long texts still lean on the dictionary.
@@ -32,6 +38,8 @@ CHUNK = 6_000
 LEVEL = 3
 #: Texts whose best size is within this share of the second best are rejected.
 MARGIN = 0.01
+_SIGNS = bytes(b for b in range(128) if not chr(b).isalpha() and chr(b) not in " \t\n\r\v\f")
+_BLANKS = bytes.maketrans(b"\t\r\v\f", b"    ")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -55,7 +63,26 @@ def fit(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "t
     pieces: dict[str, list[str]] = {}
     for r in drawn.withColumn("_place", place).filter(F.col("_place") <= SAMPLE_DOCS).collect():
         pieces.setdefault(r[lang], []).append((r["_place"], r["_piece"]))
-    return [(r[lang], "\n".join(p for _, p in sorted(pieces.get(r[lang], []))).lower().encode()) for r in table_ if pieces.get(r[lang])]
+    found = {r[lang]: [[plain(x).strip() for x in p.split("\n")] for _, p in sorted(pieces.get(r[lang], []))] for r in table_}
+    once = {name: [[x for x in row if x] for row in rows] for name, rows in found.items()}
+    return agreed({name: rows for name, rows in once.items() if any(rows)})
+
+
+def plain(text: str) -> bytes:
+    """Lower case, without ASCII signs and digits, which tell nothing of the language."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_BLANKS, _SIGNS)
+
+
+def agreed(pieces: dict[str, list[list[bytes]]]) -> list[tuple[str, bytes]]:
+    """A dictionary for each language of the lines on which both halves of the sample agree."""
+    join = lambda rows: b"\n".join(x for row in rows for x in row)[-MOST_BYTES:]
+    kept = pieces
+    for _ in range(ROUNDS):
+        judges = [Compressor([(name, join(rows[h::2])) for name, rows in kept.items()]) for h in (0, 1)]
+        own = lambda at, k, x, j=judges: j[1 - k % 2].best(j[1 - k % 2].sizes(x))[0] == at
+        kept = {name: [[x for x in row if own(at, k, x)] for k, row in enumerate(rows)] for at, (name, rows) in enumerate(pieces.items())}
+        kept = {name: rows if any(rows) else pieces[name] for name, rows in kept.items()}
+    return [(name, join(rows)) for name, rows in kept.items()]
 
 
 class Compressor:
@@ -63,24 +90,25 @@ class Compressor:
         self.names = [name for name, _ in model]
         self.coders = []
         for _, raw in model:
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(raw.rjust(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             self.coders.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
 
-    def sizes(self, text: str) -> list[int]:
-        raw = text.lower().encode("utf-8", "surrogatepass")
+    def sizes(self, raw: bytes) -> list[int]:
         chunks = [raw[k : k + CHUNK] for k in range(0, len(raw), CHUNK)]
         return [sum(len(code(c)) for c in chunks) for code in self.coders]
 
+    @staticmethod
+    def best(sizes: list[int]) -> tuple[int, float]:
+        """The place of the smallest size, the first of equal ones, and the relative gap to the next."""
+        best = min(range(len(sizes)), key=sizes.__getitem__)
+        second = min((s for k, s in enumerate(sizes) if k != best), default=2 * sizes[best])
+        return best, (second - sizes[best]) / second
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.names or not _LETTER.search(text):
             return "und", 0.0, False
-        sizes = self.sizes(text)
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        if len(sizes) == 1:
-            return self.names[0], 1.0, True
-        second = min(s for k, s in enumerate(sizes) if k != best)
-        gap = (second - sizes[best]) / second
+        best, gap = self.best(self.sizes(plain(text)))
         return self.names[best], gap / (gap + 0.02), gap >= MARGIN
 
 

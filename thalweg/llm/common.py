@@ -64,9 +64,9 @@ def running(df: DataFrame, group: list[str], order: list[str], value: str, out:
     sums = sums.withColumn("_base", F.coalesce(F.sum("_part").over(before), F.lit(0))).drop("_part")
     inside = Window.partitionBy(*group, salt).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     part = df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    on = [part[k].eqNullSafe(sums[k]) for k in [*group, salt]]
-    cols = [part[c] for c in df.columns]
-    return part.join(sums, on, "inner").select(*cols, (F.col("_in") + F.col("_base")).alias(out))
+    sums = sums.select(*[F.col(k).alias(f"_{k}_") for k in [*group, salt]], "_base")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in [*group, salt]]
+    return part.join(sums, on, "inner").select(*df.columns, (F.col("_in") + F.col("_base")).alias(out))
 
 
 def successors(keys: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from thalweg.llm import bpe, langid
+from thalweg.llm import bpe, langid, mixing
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_mixing": mixing.op2_mixing,
         "op10_language": langid.op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.OP2_SQL}

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from thalweg.llm import bpe, langid, mixing
+from thalweg.llm import bpe, langid, mixing, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_mixing": mixing.op2_mixing,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
         "op10_language": langid.op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op4_quality_rules": quality_rules.OP4_SQL}

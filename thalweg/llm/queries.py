@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thalweg.llm import bpe, langid, mixing, quality_rules
+from thalweg.llm import bpe, langid, mixing, quality_rules, secret_scan
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_mixing": mixing.op2_mixing,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_secrets": secret_scan.op5_secrets,
         "op10_language": langid.op10_language,
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thalweg.llm import bpe, langid, mixing, quality_rules, secret_scan
+from thalweg.llm import bpe, imatch, langid, mixing, quality_rules, secret_scan
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mixing": mixing.op2_mixing,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_secrets": secret_scan.op5_secrets,
+        "op7_imatch": imatch.op7_imatch,
         "op10_language": langid.op10_language,
     }
 

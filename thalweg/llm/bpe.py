@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thalweg.llm.common import slices, small_batches, table
 
@@ -221,7 +222,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     """Columns key, ``keep``, ids array<int>, decoded string; nothing is shuffled."""
     small_batches(docs.sparkSession)
     source = docs.select(key, *keep, F.col(text).alias("_bpe_text"))
-    schema = source.drop("_bpe_text").schema.add("ids", "array<int>").add("decoded", "string")
+    schema = source.drop("_bpe_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path or vocabulary())

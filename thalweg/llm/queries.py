@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thalweg.llm import bpe, imatch, langid, mixing, quality_rules, secret_scan
+from thalweg.llm import bpe, factorisation, imatch, langid, mixing, quality_rules, secret_scan, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_secrets": secret_scan.op5_secrets,
         "op7_imatch": imatch.op7_imatch,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op6_quality": factorisation.op6_quality,
         "op10_language": langid.op10_language,
     }
 

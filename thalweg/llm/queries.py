@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thalweg.llm import bpe, factorisation, imatch, langid, mixing, quality_rules, secret_scan, toxicity
+from thalweg.llm import bpe, factorisation, html_text, imatch, langid, mixing, quality_rules, secret_scan, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_imatch": imatch.op7_imatch,
         "op3_toxicity": toxicity.op3_toxicity,
         "op6_quality": factorisation.op6_quality,
+        "op9_html": html_text.op9_html,
         "op10_language": langid.op10_language,
     }
 

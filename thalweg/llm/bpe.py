@@ -218,11 +218,13 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns key, ``keep``, ids array<int>, decoded string; nothing is shuffled."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, keep: tuple[str, ...] = (), decoded: bool = True) -> DataFrame:
+    """Columns key, ``keep``, ids array<int> and, if asked, decoded string; nothing is shuffled."""
     small_batches(docs.sparkSession)
     source = docs.select(key, *keep, F.col(text).alias("_bpe_text"))
-    schema = source.drop("_bpe_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    schema = source.drop("_bpe_text").schema.add("ids", T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path or vocabulary())
@@ -231,8 +233,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])))
-            lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array([model.decode(x) for x in ids])], [*b.schema.names[:-1], "ids", "decoded"])
+            made = [pa.ListArray.from_arrays(pa.array(offsets), flat)]
+            if decoded:
+                made.append(pa.array([model.decode(x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], schema.names)
 
     return source.mapInArrow(run, schema)
 

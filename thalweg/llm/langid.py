@@ -105,17 +105,18 @@ class Compressor:
         second = min((s for k, s in enumerate(sizes) if k != best), default=2 * sizes[best])
         return best, (second - sizes[best]) / second
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
+    def predict(self, text: str | None, margin: float = MARGIN) -> tuple[str, float, bool]:
         if not text or not self.names or not _LETTER.search(text):
             return "und", 0.0, False
         best, gap = self.best(self.sizes(plain(text)))
-        return self.names[best], gap / (gap + 0.02), gap >= MARGIN
+        return self.names[best], gap / (gap + 0.02), gap >= margin
 
 
-def classify(docs: DataFrame, model: list[tuple[str, bytes]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns of ``docs`` but the text, plus lang_pred, score and accepted; nothing is shuffled."""
+def classify(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text", margin: float = MARGIN, keep_text: bool = False) -> DataFrame:
+    """Columns of ``docs``, plus lang_pred, score and accepted; nothing is shuffled. Texts come along
+    only with ``keep_text``."""
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score", "accepted")]
+    rest = [c for c in docs.columns if c not in (() if keep_text else (text,)) and c not in ("lang_pred", "score", "accepted")]
     source = docs.select(*rest, F.col(text).alias("_lang_text"))
     schema = source.drop("_lang_text").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's constants
@@ -123,7 +124,7 @@ def classify(docs: DataFrame, model: list[tuple[str, bytes]], key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Compressor(shared.value)
         for b in slices(batches):
-            got = [coder.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            got = [coder.predict(t, margin) for t in b.column(b.num_columns - 1).to_pylist()]
             extra = [pa.array(list(x), kind) for x, kind in zip(zip(*got, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *extra], [*b.schema.names[:-1], "lang_pred", "score", "accepted"])
 

@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 
 from thalweg.llm.common import WORD, cut, running, table
 
+#: The expression of a word inside a SQL string.
+SQL_WORD = WORD.replace("\\", "\\\\")
 #: Words of one block.
 BLOCK = 2048
 #: Weights, dealt to the sources by code point order, again and again.
@@ -135,6 +137,26 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
     return docs, goals, pieces
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the columns of ``docs`` (doc_id, source, text, ...), one row for each round in
+    which a document is taken. A document taken in part in a round keeps the taken words with the
+    blanks between them. Rows that share id, source and text are one document to the mix."""
+    code = F.xxhash64(F.coalesce("text", F.lit("")))
+    sizes = docs.select("doc_id", "source", code.alias("code"), n_words("text").alias("size")).distinct()
+    rows, _, pieces = mix(cut(sizes, "sizes"), **options)
+    spans = pieces.groupBy(F.col("source").alias("_s"), F.col("offset").alias("_o"), "epoch").agg(F.min("word_from").alias("from"), F.max("word_to").alias("to"))
+    spans = rows.filter("size > 0").join(spans, F.col("source").eqNullSafe(F.col("_s")) & (F.col("offset") == F.col("_o")))
+    spans = spans.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("code").alias("_c")).agg(F.first("size").alias("size"), F.collect_list(F.struct("epoch", "from", "to")).alias("spans"))
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (code == F.col("_c"))
+    taken = docs.join(spans.hint("shuffle_hash"), on).withColumn("span", F.explode("spans"))
+    part = F.expr(f"""
+      array_join(zip_with(slice(regexp_extract_all(text, '{SQL_WORD}', 0), cast(span.from + 1 as int), cast(span.to - span.from as int)),
+        slice(split(text, '{SQL_WORD}', -1), cast(span.from + 2 as int), cast(span.to - span.from - 1 as int)), (w, b) -> concat(w, coalesce(b, ''))), '')
+    """)
+    whole = (F.col("span.from") == 0) & (F.col("span.to") == F.col("size"))
+    return taken.withColumn("text", F.when(whole, F.col("text")).otherwise(part)).select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes, from the pieces of its slots."""
     docs = table(spark, sf_dir, "documents")

@@ -14,7 +14,7 @@ LEXICON_BITS hash values; two terms that share a value are in or out together.
 Edge cases: a null text is empty; a text without lexicon terms takes all its terms instead; a text
 without words has empty slots only, and two such texts have likeness 1; documents with equal ids
 share one place in the order (the one with the smallest text speaks for it) but all rows are
-returned; in a table of one id the next document is itself; an empty table gives no rows.
+returned; a null id comes first; in a table of one id the next document is itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ SUBSETS = 8
 COVER = (8, 32, 128, 512)
 #: Part of every slot's hash.
 SEED = 11
+#: Stands for a null id; comes before all others in the order.
+NO_ID = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
@@ -105,26 +107,27 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     use it: the first cuts the prefix that the document before asks for, the second brings it
     there. Fingerprints meet their successors in a narrow table afterwards.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_k")  # never null, so that no filter sets one use of the exchange apart
+    docs = table(spark, sf_dir, "documents").select(key, F.coalesce("text", F.lit("")).alias("text"))
     words = lexicon(docs)
     bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to one literal
-    keys = docs.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).alias("cut"))
-    order = cut(successors(keys, ["doc_id"]), "order")
-    low = order.agg(F.min("doc_id")).first()[0]
-    order = order.select("doc_id", "cut", F.coalesce("next.doc_id", F.lit(low)).alias("next_id"))
-    asked = order.select(F.col("next_id").alias("_id"), F.col("doc_id").alias("before_id"), F.col("cut").alias("asked"))
-    dealt = docs.repartition("doc_id")
-    heads = dealt.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"))
-    heads = heads.select("before_id", F.col("doc_id").alias("next_id"), F.expr("left(text, cast(asked as int))").alias("head"))
+    keys = docs.groupBy("_k").agg(F.max(F.floor(F.length("text") / 4)).alias("cut"))
+    order = cut(successors(keys, ["_k"]), "order")
+    low = order.agg(F.min("_k")).first()[0]
+    order = order.select("_k", "cut", F.coalesce("next._k", F.lit(low)).alias("next_id"))
+    asked = order.select(F.col("next_id").alias("_id"), F.col("_k").alias("before_id"), F.col("cut").alias("asked"))
+    dealt = docs.repartition("_k")
+    heads = dealt.join(asked.hint("shuffle_hash"), F.col("_k") == F.col("_id"))
+    heads = heads.select("before_id", F.col("_k").alias("next_id"), F.expr("left(text, cast(asked as int))").alias("head"))
     heads = heads.groupBy("before_id", "next_id").agg(F.min("head").alias("head"))
-    rows = dealt.join(heads.hint("shuffle_hash"), F.col("doc_id") == F.col("before_id"), "left")
+    rows = dealt.join(heads.hint("shuffle_hash"), F.col("_k") == F.col("before_id"), "left")
     edited = F.expr("left(text, cast(length(text) - length(text) div 4 as int)) || left(head, cast(length(text) div 4 as int))")
-    rows = rows.select("doc_id", "next_id", "text", edited.alias("edited"))
+    rows = rows.select("_k", "next_id", "text", edited.alias("edited"))
     rows = rows.select("*", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     rows = with_fingerprint(rows, "text", "slots", bits).drop("text")
     rows = cut(with_fingerprint(rows, "edited", "edited_slots", bits).drop("edited"), "fingerprints")
-    nexts = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("slots").alias("next_slots"))
+    nexts = rows.groupBy(F.col("_k").alias("_id")).agg(F.min("slots").alias("next_slots"))
     return rows.join(nexts, F.col("next_id") == F.col("_id")).select(
-        "doc_id", "n_chars", "edited_sha256", as_text("slots").alias("fingerprint"), as_text("edited_slots").alias("edited_fingerprint"),
+        F.nullif("_k", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", as_text("slots").alias("fingerprint"), as_text("edited_slots").alias("edited_fingerprint"),
         likeness("slots", "edited_slots").alias("near_edited"), likeness("slots", "next_slots").alias("near_next"),
     )

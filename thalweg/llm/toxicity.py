@@ -48,7 +48,7 @@ def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(kind, toxic, a, b, n): how often slot b follows slot a in each class, over all of ``docs``
+    """(key, n), to be unpacked into (kind, toxic, a, b, n): how often slot b follows slot a in each class, over all of ``docs``
     (text, toxic). kind 0: words; 1: letters after their contexts. Batches are summed before they
     are dealt out."""
     small_batches(docs.sparkSession)
@@ -72,11 +72,16 @@ def counts(docs: DataFrame) -> DataFrame:
                     times = np.fromiter(seen[k].values(), np.int64, len(seen[k]))[which]
                     own, at = np.unique(1 << 41 | k << 40 | a << 20 | b, return_inverse=True)
                     key, n = np.concatenate([key, own]), np.concatenate([n, np.bincount(at, times, len(own)).astype(np.int64)])
-            parts = [pa.array((key >> shift & mask).astype(np.int32)) for shift, mask in ((41, 1), (40, 1), (20, 0xFFFFF), (0, 0xFFFFF))]
-            yield pa.RecordBatch.from_arrays([*parts, pa.array(n)], ["kind", "toxic", "a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    got = docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "kind int, toxic int, a int, b int, n long")
-    return got.groupBy("kind", "toxic", "a", "b").agg(F.sum("n").alias("n"))
+    got = docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "key long, n long")
+    return got.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def unpacked(counted: DataFrame, kind: int) -> DataFrame:
+    """(toxic, a, b, n) of one kind; counts travel as one number for kind, class and both slots."""
+    part = lambda shift, mask: F.shiftright("key", shift).bitwiseAND(mask).cast("int")
+    return counted.filter(part(41, 1) == kind).select(part(40, 1).alias("toxic"), part(20, 0xFFFFF).alias("a"), part(0, 0xFFFFF).alias("b"), "n")
 
 
 class Models:
@@ -157,18 +162,20 @@ def arrays(counted: DataFrame) -> Models:
     return Models(pair_n, ctx_n, ctx_types, follow)
 
 
-def fit(docs: DataFrame, key: str = "doc_id") -> tuple[tuple[Models, Models], np.ndarray]:
-    """Models and the weights of the logistic model. ``docs``: key, text, toxic."""
+def fit(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[tuple[Models, Models], np.ndarray]:
+    """Models and the weights of the logistic model. ``docs``: key, text; ``marks``: key, toxic, one
+    row a key. Ids are drawn before texts move, so only counted and calibrating texts do."""
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(key)), F.lit(HOLD))
-    counted = cut(counts(docs.filter(draw != 0)), "toxic-counts")
-    models = (arrays(counted.filter("kind = 0")), arrays(counted.filter("kind = 1")))
+    luck = F.pmod(F.xxhash64(F.lit("calibration"), F.col(key)), F.lit(1 << 30))
+    rate = min(1.0, MOST_CALIBRATION / max(marks.filter(draw == 0).count(), 1))
+    drawn = (draw == 0) & (luck < int((1 << 30) * rate))
+    meet = lambda some: docs.filter(some).select(key, text).join(marks.filter(some).hint("shuffle_hash"), key).select(F.col(text).alias("text"), "toxic")
+    counted = cut(counts(meet(draw != 0)), "toxic-counts")
+    models = (arrays(unpacked(counted, 0)), arrays(unpacked(counted, 1)))
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    held = docs.filter(draw == 0).withColumn("_u", F.pmod(F.xxhash64(F.lit("calibration"), F.col(key)), F.lit(1 << 30)))
-    n = held.count()
-    held = held.filter(F.col("_u") < int((1 << 30) * min(1.0, MOST_CALIBRATION / max(n, 1))))
-    rows = evidence(held.select("toxic", "text"), shared).select("toxic", "evidence").toArrow().to_pandas()
+    rows = evidence(meet(drawn), shared).select("toxic", "evidence").toArrow().to_pandas()
     if not len(rows) or rows["toxic"].nunique() < 2:
-        share = docs.agg(F.avg("toxic")).first()[0] or 0.0
+        share = marks.agg(F.avg("toxic")).first()[0] or 0.0
         return models, np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), *[0.0] * Evidence.WIDTH])
     return models, logistic(np.array(rows["evidence"].tolist()), rows["toxic"].to_numpy(float))
 
@@ -214,15 +221,15 @@ def score(docs: DataFrame, model: tuple[tuple[Models, Models], np.ndarray], text
     return got.withColumn("score", 1 / (1 + F.exp(-sums))).drop("evidence")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, mark: str) -> DataFrame:
-    """doc_id, text and the label of the documents that have one; a narrow join on the id."""
-    marks = labels.groupBy("doc_id").agg(F.max(mark).alias(mark)).filter(F.col(mark).isNotNull())
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+def marks_of(labels: DataFrame, mark: str = "toxic") -> DataFrame:
+    """doc_id and label, one row a document: the largest label, nulls left out."""
+    return labels.groupBy("doc_id").agg(F.max(mark).alias(mark)).filter(F.col(mark).isNotNull())
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labelled ones whose crc32 mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
-    train = labelled(docs, table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 4) != 2), "toxic")
-    got = score(docs.select("doc_id", "text"), fit(train))
+    seen = fold(F.col("doc_id"), 4) != 2
+    model = fit(docs.filter(seen), marks_of(table(spark, sf_dir, "labels").filter(seen)))
+    got = score(docs.select("doc_id", "text"), model)
     return got.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

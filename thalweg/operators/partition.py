@@ -111,7 +111,7 @@ def nearest(graph: Graph, node: int, others: np.ndarray, k: int = 1) -> np.ndarr
     return others[np.lexsort((others, d))[:k]]
 
 
-def coarsened(graph: Graph, most: int, keep: set[int] = frozenset()) -> np.ndarray:
+def coarsened(graph: Graph, most: int) -> np.ndarray:
     """A group for each node, at most about ``most`` of them: the lightest join their neighbour of the
     longest boundary, round after round."""
     group, now = np.arange(len(graph)), graph

@@ -35,7 +35,8 @@ MOST_BYTES = 110_000
 MOST_LANGS = 1000
 #: Bytes of one chunk. Each starts afresh, so that long texts still lean on the dictionary.
 CHUNK = 6_000
-LEVEL = 3
+#: Lower levels look for too few of the dictionary's short matches.
+LEVEL = 9
 #: Texts whose best size is within this share of the second best are rejected.
 MARGIN = 0.01
 _SIGNS = bytes(b for b in range(128) if not chr(b).isalpha() and chr(b) not in " \t\n\r\v\f")

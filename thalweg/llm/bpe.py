@@ -36,6 +36,26 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p
 
 
 _ODD = regex.compile("[\x1c-\x1f]")
+# Letters, numbers and lower-case forms of Unicode 16 and 17 that the vocabularies' library
+# knows and this Python doesn't. What else this Python has no class for is neither, whatever the
+# expressions' own tables say.
+NEWER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEWER_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEWER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+@lru_cache(maxsize=1 << 16)
+def _proxy(c: str) -> str:
+    """A character of the same class for one that this Python has no class for, else itself."""
+    if unicodedata.category(c) != "Cn":
+        return c
+    if any(a <= ord(c) <= z for a, z in NEWER_LETTERS):
+        return "é"
+    return "²" if any(a <= ord(c) <= z for a, z in NEWER_NUMBERS) else "§"
 
 
 def _chunks(text: str) -> list[str]:
@@ -79,9 +99,13 @@ class PairIndexBPE:
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of one text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return _PIECES.findall(text.lower())
+        if text.isascii():
+            return _PIECES.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if "".join(map(_proxy, text)) == text:
+            return _PIECES.findall(text)
+        text = text.translate(NEWER_LOWER)
+        return [text[m.start() : m.end()] for m in _PIECES.finditer("".join(map(_proxy, text)))]
 
     def rank_at(self, sym: np.ndarray, right: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places whose pair has a rank, and those ranks."""

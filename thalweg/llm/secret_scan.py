@@ -156,8 +156,8 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.aggregate(rows, zero, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``found``: array<struct<start, no, end, kind>> sorted by start,
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", out: str = "found") -> DataFrame:
+    """All columns of ``docs`` and ``out``: array<struct<start, no, end, kind>> sorted by start,
     then by the order of the rules.
 
     The text is read twice and moves once, to meet its candidate rules; the join hashes the small
@@ -179,7 +179,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
         else:
             test = F.array_contains("_kinds", rule.kind)
         parts.append(F.when(test, named).otherwise(empty))
-    return joined.withColumn("found", F.sort_array(F.concat(*parts))).drop("_key", "_kinds")
+    return joined.withColumn(out, F.sort_array(F.concat(*parts))).drop("_key", "_kinds")
 
 
 def _named(spans: Column, no: int, kind: str) -> Column:
@@ -198,7 +198,7 @@ def listed(found: Column) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans are replaced as one."""
-    found = scan(docs, rules, key, text)
+    found = scan(docs, rules, key, text, "_found")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -207,8 +207,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id"
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)) - acc["at"]))
-    clean = F.when(F.size("found") > 0, F.aggregate("found", zero, step, rest)).otherwise(F.col(text))
-    return found.withColumn(text, clean).drop("found")
+    clean = F.when(F.size("_found") > 0, F.aggregate("_found", zero, step, rest)).otherwise(F.col(text))
+    return found.withColumn(text, clean).drop("_found")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,85 @@
+import pytest
+from pyspark.sql import functions as F
+from samples import docs, empty, same, words, write
+
+from thalweg.llm import mixing
+
+
+def shares(sizes: dict, weights=(5, 2, 1), most=3) -> dict:
+    """Targets by resharing the excess until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    left, total, out = set(names), float(sum(sizes.values())), {}
+    while left:
+        part = {s: total * w[s] / sum(w[x] for x in left) for s in left}
+        full = {s for s in left if part[s] > most * sizes[s]}
+        if not full:
+            return out | part
+        for s in full:
+            out[s] = float(most * sizes[s])
+            total -= out[s]
+        left -= full
+    return out
+
+
+def test_the_twin_agrees(spark):
+    assert same(spark, mixing.op2_mixing, mixing.OP2_SQL) == 200
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 50, "c": 1, None: 7}, {"a": 1, "b": 1000}, {"a": 0, "b": 10}, {"a": 0}, {None: 5}])
+def test_targets(spark, sizes):
+    rows = [(s, n) for s, n in sizes.items()]
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+    want = shares(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in got)
+
+
+def test_rows_of_every_kind(spark, tmp_path):
+    source = docs(spark)
+    d = write(spark, tmp_path, documents=source)
+    rows = mixing.op2_mixing(spark, d).collect()
+    assert len(rows) == source.count()
+    sizes: dict = {}
+    for r in source.collect():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(words(r["text"]))
+    want = shares(sizes)
+    for r in rows:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    taken = {}
+    ids = {(r["doc_id"], len(words(r["text"]))): r["source"] for r in source.collect()}
+    for r in rows:
+        s = ids[(r["doc_id"], r["size"])]
+        taken[s] = taken.get(s, 0) + r["taken"]
+        assert r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6
+    assert all(want[s] - 1 <= taken[s] <= want[s] + 1e-6 for s in want)
+    assert sorted(map(tuple, mixing.op2_mixing(spark, d).collect()), key=str) == sorted(map(tuple, rows), key=str)
+
+
+def test_an_empty_table(spark, tmp_path):
+    assert mixing.op2_mixing(spark, write(spark, tmp_path, documents=empty(spark))).count() == 0
+
+
+def test_slots_follow_their_shares_all_along(spark):
+    sizes = spark.createDataFrame([(k, s, 40) for k, s in enumerate("aaaaaaaabbbbcccc")], "doc_id long, source string, size long")
+    _, goals, pieces = mixing.mix(sizes, block=16)
+    slots = [r["source"] for r in pieces.select("slot", "source").distinct().orderBy("slot").collect()]
+    share = {r["source"]: r["target"] for r in goals.collect()}
+    total = sum(share.values())
+    for n in range(8, len(slots) + 1):
+        for s in share:
+            assert abs(slots[:n].count(s) / n - share[s] / total) <= 3 / n + 0.02
+    # every block of a round is there before the next round begins
+    assert pieces.groupBy("source", "doc_id", "epoch").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n")).filter("n > 40").count() == 0
+
+
+def test_the_mix_holds_the_taken_words(spark):
+    source = docs(spark, clash=False).filter("doc_id is not null")
+    sizes = source.select("doc_id", "source", mixing.n_words("text").alias("size"))
+    rows, _, pieces = mixing.mix(sizes.distinct())
+    want = pieces.agg(F.sum(F.col("word_to") - F.col("word_from"))).first()[0]
+    got = mixing.mixed_documents(source)
+    assert got.columns == source.columns
+    assert sum(len(words(r["text"])) for r in got.collect()) == want
+    held = {r["text"] for r in source.collect()}
+    for r in got.collect():
+        assert any(h and r["text"].strip() in h for h in held)

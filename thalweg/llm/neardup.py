@@ -35,13 +35,16 @@ from thalweg.llm.common import cut, slices, small_batches, table
 TREES, DEPTHS, VALUES = 16, (4, 6, 8), 128
 #: Classes that a region may hold before it is divided, and anchors of a block.
 REGION, ANCHORS = 2048, 64
-#: Regions up to this size give all their likely pairs; partners of a member in larger ones.
-SMALL, NEAREST = 48, 6
+#: A member's nearest partners that are candidates in the first pass and in the second; regions up to
+#: SMALL classes give all that the second pass asks for.
+FIRST, NEAREST, SMALL = 2, 6, 48
+#: Bits of the map that tells which ids are asked for; a power of two.
+ID_BITS = 1 << 25
 #: How much lower than the threshold an estimate may be: four standard deviations of 128 values.
 SLACK = 0.13
 _RNG = np.random.default_rng(2024)
-_MUL = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64)
+_MUL = _RNG.integers(1, 1 << 63, (VALUES, 1), dtype=np.uint64) | np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, (VALUES, 1), dtype=np.uint64)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -77,11 +80,15 @@ class Shingler:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """VALUES 32-bit minima of the hashes under as many multiply-add functions."""
-    out = np.empty(VALUES, np.uint32)
-    for k in range(VALUES):
-        out[k] = ((found * _MUL[k] + _ADD[k]) >> np.uint64(32)).min()
-    return out
+    """The top bytes of VALUES minima of the hashes, under as many multiply-add functions."""
+    best = np.full((VALUES, 1), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):  # all functions at once over a piece that fits the cache
+        h = found[None, at : at + 1024] * _MUL
+        h += _ADD
+        np.minimum(best, h.min(axis=1, keepdims=True), out=best)
+    # the minima of long texts are all small: mix them before cutting
+    best = best[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+    return ((best ^ best >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8)
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -99,55 +106,96 @@ def shingled(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
             for t in b.column(1).to_pylist():
                 s = shingler.of(t)
                 n.append(len(s))
-                code.append(xxhash.xxh128_hexdigest(s.tobytes()) if len(s) else None)
+                code.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(code, pa.string()), pa.array(sig, pa.binary())], ["id", "n", "code", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(code, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "code", "sig"])
+
+    return _rows(docs, key, text).mapInArrow(run, "id long, n long, code binary, sig binary")
+
+
+def id_map(ids: DataFrame) -> np.ndarray:
+    """A map of ID_BITS bits of the hashed ids (column id). Of fixed size whatever their number; it
+    lets through all that are asked for, and the more others the fuller it is."""
+    words = ids.groupBy(F.expr(f"pmod(xxhash64(id), {ID_BITS}) div 64").cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {ID_BITS}) % 64 as int))")).alias("bits"))
+    out = np.zeros(ID_BITS // 64, np.int64)
+    got = words.toArrow()
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out
 
-    return _rows(docs, key, text).mapInArrow(run, "id long, n long, code string, sig binary")
 
+def _hit(bits: np.ndarray, at: pa.Array) -> np.ndarray:
+    h = at.to_numpy(zero_copy_only=False)
+    return (bits[h >> 6] >> (h & 63) & 1).astype(bool)
 
-def full_sets(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, found): the sorted distinct shingle hashes."""
+
+def asked(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``rows`` whose id the map lets through; nothing is shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_hit(shared.value, b.column(b.num_columns - 1)))).select(list(range(b.num_columns - 1)))
+
+    return rows.withColumn("_at", F.pmod(F.xxhash64("id"), F.lit(ID_BITS))).mapInArrow(run, rows.schema)
+
+
+def full_sets(docs: DataFrame, width: int, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, found): the sorted distinct shingle hashes of the documents that ``wanted`` (id) asks for, and
+    of some others. Texts are not dealt out: a map of the ids goes to them."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_map(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for b in slices(batches):
-            found = [shingler.of(t).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "found"])
+        for whole in batches:
+            for b in slices([whole.filter(pa.array(_hit(shared.value, whole.column(2))))]):
+                found = [shingler.of(t).view(np.int64) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "found"])
 
-    return _rows(docs, key, text).mapInArrow(run, "id long, found array<long>")
+    rows = _rows(docs, key, text).filter("id is not null").withColumn("_at", F.pmod(F.xxhash64("id"), F.lit(ID_BITS)))
+    return rows.mapInArrow(run, "id long, found array<long>")
 
 
-def tree_keys(classes: DataFrame) -> DataFrame:
-    """(tree, k0, k1, ..., id): the prefix codes of each class in each tree, one for each depth."""
-    names = [f"k{j}" for j in range(len(DEPTHS))]
+def tree_keys(classes: DataFrame, depths: tuple[int, ...]) -> DataFrame:
+    """(k0, k1, ..., id): the prefix codes of each class in each tree, one column for each depth."""
+    names = [f"k{j}" for j in range(len(depths))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sigs = np.stack([np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()])
+            sigs = np.stack([np.frombuffer(x, np.uint8) for x in b.column(1).to_pylist()]).astype(np.uint64)
             ids, columns = b.column(0).to_numpy(), []
             step = VALUES // TREES
             for t in range(TREES):
-                own, code, codes = sigs[:, t * step : (t + 1) * step], np.full(len(sigs), t, np.uint64), []
+                own, code, codes = sigs[:, t * step : (t + 1) * step], np.full(len(sigs), t + 1, np.uint64), []
                 for d in range(step):
                     code = (code ^ own[:, d]) * np.uint64(0xC2B2AE3D27D4EB4F)
                     code ^= code >> np.uint64(31)
-                    if d + 1 in DEPTHS:
+                    if d + 1 in depths:
                         codes.append(code.view(np.int64))
                 columns.append(codes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(TREES, dtype=np.int32), len(ids))), *[pa.array(np.concatenate([c[j] for c in columns])) for j in range(len(DEPTHS))], pa.array(np.tile(ids, TREES))], ["tree", *names, "id"])
-
-    return classes.select("id", "sig").mapInArrow(run, "tree int, " + ", ".join(f"{n} long" for n in names) + ", id long")
-
-
-def regions(keys: DataFrame) -> DataFrame:
-    """(region, block, id): who is compared with whom. Regions of one class are left out."""
-    last = len(DEPTHS) - 1
-    out, open_ = [], keys
-    for j in range(len(DEPTHS)):
-        sizes = open_.groupBy(F.col(f"k{j}").alias("_k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        named = open_.join(sizes, F.col(f"k{j}") == F.col("_k")).drop("_k")
-        if j < last:
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate([c[j] for c in columns])) for j in range(len(depths))], pa.array(np.tile(ids, TREES))], [*names, "id"])
+
+    return classes.select("id", "sig").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", id long")
+
+
+def _shared(keys: DataFrame, k: str) -> DataFrame:
+    """``keys`` whose code ``k`` more than one class has, with ``size``, the number of such classes."""
+    sizes = keys.groupBy(F.col(k).alias("_k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return cut(keys.join(sizes, F.col(k) == F.col("_k")).drop("_k"), "regions")
+
+
+def regions(classes: DataFrame) -> DataFrame:
+    """(region, block, id): who is compared with whom. Regions of one class are left out; deeper codes
+    are made for the classes of crowded regions only."""
+    first = _shared(tree_keys(classes, DEPTHS[:1]), "k0")
+    out = [first.filter(f"size <= {REGION}").select(F.col("k0").alias("region"), F.lit(0).alias("block"), "id")]
+    crowded = first.filter(f"size > {REGION}").select(F.col("k0").alias("_k"), F.col("id").alias("_i"))
+    if not crowded.limit(1).count():
+        return out[0]
+    open_ = tree_keys(classes.join(crowded.select("_i").distinct(), F.col("id") == F.col("_i"), "left_semi"), DEPTHS)
+    open_ = open_.join(crowded, (F.col("k0") == F.col("_k")) & (F.col("id") == F.col("_i")), "left_semi")
+    for j in range(1, len(DEPTHS)):
+        named = _shared(open_, f"k{j}")
+        if j < len(DEPTHS) - 1:
             out.append(named.filter(f"size <= {REGION}").select(F.col(f"k{j}").alias("region"), F.lit(0).alias("block"), "id"))
             open_ = named.filter(f"size > {REGION}").drop("size")
         else:
@@ -161,36 +209,37 @@ def regions(keys: DataFrame) -> DataFrame:
 
 def _likely(sigs: np.ndarray, least: float) -> np.ndarray:
     """How many of VALUES minima each two rows share, 0 where that is too few."""
-    n = len(sigs)
-    same = np.zeros((n, n), np.uint8)
-    for k in range(VALUES):
-        same += sigs[:, k, None] == sigs[None, :, k]
+    n, columns = len(sigs), np.ascontiguousarray(sigs.T)
+    same, equal = np.zeros((n, n), np.uint8), np.empty((n, n), bool)
+    for column in columns:
+        np.equal(column[:, None], column[None, :], out=equal)
+        same += equal.view(np.uint8)
     same[same < least * VALUES] = 0
     np.fill_diagonal(same, 0)
     return same
 
 
 def _choose(same: np.ndarray, labels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the likely pairs of a region are candidates."""
+    """Which of the likely pairs of a region are candidates: a maximum spanning forest and each member's
+    nearest; with labels, in a small region, all pairs of different labels."""
     n = len(same)
     if labels is not None:
         same = np.where(labels[:, None] == labels[None, :], 0, same)
-    if n <= SMALL:
-        a, b = np.nonzero(np.triu(same))
-        return a, b
-    pairs = set()
-    best = np.argsort(-same.astype(np.int16), axis=1, kind="stable")[:, :NEAREST]
-    for k in range(best.shape[1]):
-        b = best[:, k]
-        for i in np.flatnonzero(same[np.arange(n), b] > 0):
-            pairs.add((min(i, b[i]), max(i, b[i])))
-    # a maximum spanning forest, by Prim's steps over the dense array
-    far, parent, todo = np.zeros(n, np.uint8), np.zeros(n, np.int64), np.ones(n, bool)
+        if n <= SMALL:
+            a, b = np.nonzero(np.triu(same))
+            return a, b
+    near = min(FIRST if labels is None else NEAREST, n - 1)
+    best = np.argpartition(255 - same, near - 1, axis=1)[:, :near] if n > near else np.tile(np.arange(n), (n, 1))
+    a, b = np.repeat(np.arange(n), best.shape[1]), best.ravel()
+    likely = same[a, b] > 0
+    pairs = set(zip(np.minimum(a, b)[likely].tolist(), np.maximum(a, b)[likely].tolist(), strict=True))
+    # Prim's steps over the dense array
+    far, parent, todo = np.zeros(n, np.int16), np.zeros(n, np.int64), np.ones(n, bool)
     for _ in range(n):
-        i = int(np.argmax(np.where(todo, far.astype(np.int16), -1)))
+        i = int(np.argmax(np.where(todo, far, -1)))
         todo[i] = False
         if far[i]:
-            pairs.add((min(i, parent[i]), max(i, parent[i])))
+            pairs.add((min(i, int(parent[i])), max(i, int(parent[i]))))
         closer = todo & (same[i] > far)
         far[closer], parent[closer] = same[i][closer], i
     a = np.array(sorted(pairs), np.int64).reshape(-1, 2)
@@ -203,24 +252,32 @@ def candidates(members: DataFrame, least: float) -> DataFrame:
     second = "label" in members.columns
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("id")
+        group = group.drop_duplicates(["id", "sig"]).sort_values(["id", "sig"])  # an id may have several texts
         if len(group) < 2 or (second and group["label"].nunique() < 2):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         ids = group["id"].to_numpy()
-        sigs = np.stack([np.frombuffer(x, np.uint32) for x in group["sig"]])
+        sigs = np.stack([np.frombuffer(x, np.uint8) for x in group["sig"]])
         a, b = _choose(_likely(sigs, least), group["label"].to_numpy() if second else None)
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+        out = pd.DataFrame({"a": ids[a], "b": ids[b]})  # rows are sorted by id
+        return out[out["a"] < out["b"]]
 
     return members.groupBy("region", "block").applyInPandas(pairs, "a long, b long").distinct()
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """(id): every id that the pairs name."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(a, b, linked): whether 100 * shared >= similarity * union, on full sets, in SQL functions."""
+    """(a, b, linked): whether 100 * shared >= similarity * union, on full sets, in SQL functions. An id
+    with several sets is linked if one of them is."""
     left = sets.select(F.col("id").alias("_a"), F.col("found").alias("_x"))
     right = sets.select(F.col("id").alias("_b"), F.col("found").alias("_y"))
     both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
     shared = F.size(F.array_intersect("_x", "_y"))
-    return both.select("a", "b", (100 * shared >= similarity * (F.size("_x") + F.size("_y") - shared)).alias("linked"))
+    linked = both.select("a", "b", (100 * shared >= similarity * (F.size("_x") + F.size("_y") - shared)).alias("linked"))
+    return linked.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -250,13 +307,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, key:
     rows = cut(shingled(docs, width, key, text), "shingled")
     whole = rows.filter("id is not null and code is not null")
     classes = cut(whole.groupBy("code").agg(F.min("id").alias("id"), F.min("sig").alias("sig")), "classes")
-    member = cut(regions(tree_keys(classes)), "regions")
+    member = cut(regions(classes), "regions")
     sigs = classes.select(F.col("id").alias("_i"), "sig")
-    sigs = sigs.groupBy("_i").agg(F.min("sig").alias("sig"))
     first = cut(candidates(member.join(sigs, F.col("id") == F.col("_i")).select("region", "block", "id", "sig"), least), "candidates")
-    wanted = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct()
-    some = docs.join(wanted.withColumnRenamed("id", "_want"), F.col(key) == F.col("_want"), "left_semi")
-    sets = cut(full_sets(some, width, key, text).groupBy("id").agg(F.min("found").alias("found")), "sets")
+    sets = cut(full_sets(docs, width, ends(first), key, text), "sets")
     checked = cut(confirm(first, sets, similarity), "confirmed")
     links = checked.filter("linked").select("a", "b")
     ties = whole.join(classes.select(F.col("code").alias("_c"), F.col("id").alias("rep")), F.col("code") == F.col("_c")).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
@@ -265,7 +319,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, key:
     apart = member.join(sigs, F.col("id") == F.col("_i")).join(labels.select(F.col("id").alias("_l"), "label"), F.col("id") == F.col("_l"), "left")
     apart = apart.select("region", "block", "id", "sig", F.coalesce("label", "id").alias("label"))
     more = candidates(apart, least).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    again = cut(confirm(cut(more, "candidates"), sets, similarity), "confirmed")
+    more = cut(more, "candidates")
+    # whoever has a likely partner was in a pair of the first pass, so its set is there
+    again = cut(confirm(more, asked(sets, id_map(ends(more))), similarity), "confirmed")
     links = links.unionByName(again.filter("linked").select("a", "b"))
     labels = components(links.unionByName(ties))
     out = rows.join(labels.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))

@@ -22,9 +22,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +36,10 @@ TREES, DEPTHS, VALUES = 16, (4, 6, 8), 128
 #: Classes that a region may hold before it is divided, and anchors of a block.
 REGION, ANCHORS = 2048, 64
 #: A member's nearest partners that are candidates in the first pass and in the second; regions up to
-#: SMALL classes give all that the second pass asks for.
+#: SMALL classes give all pairs that the second pass asks for.
 FIRST, NEAREST, SMALL = 2, 6, 48
+#: Regions up to this size give all their likely pairs in either pass.
+FEW = 4
 #: Bits of the map that tells which ids are asked for; a power of two.
 ID_BITS = 1 << 25
 #: How much lower than the threshold an estimate may be: four standard deviations of 128 values.
@@ -209,11 +211,15 @@ def regions(classes: DataFrame) -> DataFrame:
 
 def _likely(sigs: np.ndarray, least: float) -> np.ndarray:
     """How many of VALUES minima each two rows share, 0 where that is too few."""
-    n, columns = len(sigs), np.ascontiguousarray(sigs.T)
-    same, equal = np.zeros((n, n), np.uint8), np.empty((n, n), bool)
-    for column in columns:
-        np.equal(column[:, None], column[None, :], out=equal)
-        same += equal.view(np.uint8)
+    n = len(sigs)
+    if n <= SMALL:
+        same = (sigs[:, None, :] == sigs[None, :, :]).sum(axis=2, dtype=np.uint8)
+    else:
+        columns = np.ascontiguousarray(sigs.T)
+        same, equal = np.zeros((n, n), np.uint8), np.empty((n, n), bool)
+        for column in columns:
+            np.equal(column[:, None], column[None, :], out=equal)
+            same += equal.view(np.uint8)
     same[same < least * VALUES] = 0
     np.fill_diagonal(same, 0)
     return same
@@ -225,12 +231,12 @@ def _choose(same: np.ndarray, labels: np.ndarray | None) -> tuple[np.ndarray, np
     n = len(same)
     if labels is not None:
         same = np.where(labels[:, None] == labels[None, :], 0, same)
-        if n <= SMALL:
-            a, b = np.nonzero(np.triu(same))
-            return a, b
+    if n <= (FEW if labels is None else SMALL):
+        a, b = np.nonzero(np.triu(same))
+        return a, b
     near = min(FIRST if labels is None else NEAREST, n - 1)
-    best = np.argpartition(255 - same, near - 1, axis=1)[:, :near] if n > near else np.tile(np.arange(n), (n, 1))
-    a, b = np.repeat(np.arange(n), best.shape[1]), best.ravel()
+    best = np.argpartition(255 - same, near - 1, axis=1)[:, :near]
+    a, b = np.repeat(np.arange(n), near), best.ravel()
     likely = same[a, b] > 0
     pairs = set(zip(np.minimum(a, b)[likely].tolist(), np.maximum(a, b)[likely].tolist(), strict=True))
     # Prim's steps over the dense array
@@ -246,22 +252,50 @@ def _choose(same: np.ndarray, labels: np.ndarray | None) -> tuple[np.ndarray, np
     return a[:, 0], a[:, 1]
 
 
+def _of_region(ids: np.ndarray, sigs: np.ndarray, labels: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of one region; its rows are sorted by id and signature."""
+    if len(ids) > 1 and (ids[1:] == ids[:-1]).any():  # an id may have several texts
+        keep = np.concatenate([[True], (ids[1:] != ids[:-1]) | (sigs[1:] != sigs[:-1]).any(axis=1)])
+        ids, sigs, labels = ids[keep], sigs[keep], None if labels is None else labels[keep]
+    if len(ids) < 2 or (labels is not None and (labels == labels[0]).all()):
+        return ids[:0], ids[:0]
+    a, b = _choose(_likely(sigs, least), labels)
+    other = ids[a] != ids[b]
+    return ids[a][other], ids[b][other]
+
+
 def candidates(members: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b, distinct. ``members``: region, block, id, sig and, in a second pass, label:
-    then only pairs of different labels are given."""
+    then only pairs of different labels are given.
+
+    Most regions hold two or three classes, so regions aren't groups of their own: rows are dealt and
+    sorted by region, and each task goes through its regions one after another, one in memory.
+    """
     second = "label" in members.columns
+    columns = ["region", "block", "id", "sig", *(["label"] if second else [])]
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["id", "sig"]).sort_values(["id", "sig"])  # an id may have several texts
-        if len(group) < 2 or (second and group["label"].nunique() < 2):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        ids = group["id"].to_numpy()
-        sigs = np.stack([np.frombuffer(x, np.uint8) for x in group["sig"]])
-        a, b = _choose(_likely(sigs, least), group["label"].to_numpy() if second else None)
-        out = pd.DataFrame({"a": ids[a], "b": ids[b]})  # rows are sorted by id
-        return out[out["a"] < out["b"]]
-
-    return members.groupBy("region", "block").applyInPandas(pairs, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            now = held
+            if batch is not None:
+                sigs = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, VALUES)
+                new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), sigs, *([batch.column(4).to_numpy()] if second else [])]
+                now = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if now is None:
+                continue
+            edges = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
+            cuts = [0, *edges.tolist(), *([len(now[0])] if batch is None else [])]
+            found = [_of_region(now[2][x:y], now[3][x:y], now[4][x:y] if second else None, least) for x, y in zip(cuts, cuts[1:], strict=False) if y - x > 1]
+            held = None if batch is None else [x[cuts[-1] :] for x in now]  # the last region may go on
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.select(*columns).repartition(n, "region", "block").sortWithinPartitions("region", "block", "id", "sig")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def ends(pairs: DataFrame) -> DataFrame:

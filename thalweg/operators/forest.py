@@ -26,9 +26,10 @@ class Wanted:
     """What ``solve`` computes besides ``root`` and ``rank``.
 
     path: weights summed over the cell's steps to the root (a root's own weight doesn't count);
-    sums: values summed over the cell and all cells upstream; most: their largest value; longest: path weights whose largest
-    sum from a cell upstream down to this cell is wanted; depth: also ``depth``, the steps from the
-    farthest cell upstream, and ``head``, that cell (of equally far ones the largest index).
+    sums: values summed over the cell and all cells upstream; most: their largest value; longest: path
+    weights whose largest sum from a cell upstream down to this cell is wanted; depth: also ``depth``,
+    the steps from the farthest cell upstream, and ``head``, that cell (of equally far ones the
+    largest index).
     """
 
     path: tuple[str, ...] = ()
@@ -69,22 +70,28 @@ def solve(forest: DataFrame, want: Wanted = Wanted(), name: str = "forest") -> D
 
 
 def _round(state: DataFrame, paths: tuple[str, ...], want: Wanted) -> DataFrame:
-    """Send subtree values over the jump, then double the jumps."""
+    """Send subtree values over the jump, then double the jumps.
+
+    Only cells that still jump look ahead, so settled ones (whose jump is null) never meet under one
+    key; what comes back is joined on the cell's own index.
+    """
     sent = [F.sum(f"sum_{c}").cast(state.schema[f"sum_{c}"].dataType).alias(f"_sum_{c}") for c in want.sums]
     sent += [F.max(f"most_{c}").alias(f"_most_{c}") for c in want.most]
     sent += [F.max(F.col(f"longest_{c}") + F.col(f"path_{c}")).alias(f"_longest_{c}") for c in want.longest]
     if want.depth:
         sent.append(F.max(F.struct((F.col("far.depth") + F.col("rank")).alias("depth"), F.col("far.head").alias("head"))).alias("_far"))
-    now = state
-    if sent:
-        got = state.filter("jump is not null").groupBy(F.col("jump").alias("_to")).agg(*sent)
-        now = state.join(got, F.col("idx") == F.col("_to"), "left")
+    active = state.filter("jump is not null")
     ahead = state.select(F.col("idx").alias("_at"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("rank").alias("_rank"), *[F.col(f"path_{c}").alias(f"_path_{c}") for c in paths])
-    now = now.join(ahead, F.col("jump") == F.col("_at"), "left")
+    looked = active.select(F.col("idx").alias("_from"), F.col("jump").alias("_by")).join(ahead, F.col("_by") == F.col("_at")).drop("_by", "_at")
+    now = state.join(looked, F.col("idx") == F.col("_from"), "left")
+    if sent:
+        got = active.groupBy(F.col("jump").alias("_to")).agg(*sent)
+        now = now.join(got, F.col("idx") == F.col("_to"), "left")
+    zero = lambda c: F.lit(0).cast(state.schema[c].dataType)
     return now.select(
         "idx", F.col("_jump").alias("jump"), F.coalesce("_root", "root").alias("root"), (F.col("rank") + F.coalesce("_rank", F.lit(0))).alias("rank"),
-        *[(F.col(f"path_{c}") + F.coalesce(f"_path_{c}", F.lit(0).cast(state.schema[f"path_{c}"].dataType))).alias(f"path_{c}") for c in paths],
-        *[(F.col(f"sum_{c}") + F.coalesce(f"_sum_{c}", F.lit(0).cast(state.schema[f"sum_{c}"].dataType))).alias(f"sum_{c}") for c in want.sums],
+        *[(F.col(f"path_{c}") + F.coalesce(f"_path_{c}", zero(f"path_{c}"))).alias(f"path_{c}") for c in paths],
+        *[(F.col(f"sum_{c}") + F.coalesce(f"_sum_{c}", zero(f"sum_{c}"))).alias(f"sum_{c}") for c in want.sums],
         *[F.greatest(f"most_{c}", f"_most_{c}").alias(f"most_{c}") for c in want.most],
         *[F.greatest(f"longest_{c}", f"_longest_{c}").alias(f"longest_{c}") for c in want.longest],
         *([F.greatest("far", "_far").alias("far")] if want.depth else []),

@@ -36,6 +36,9 @@ WORDS, PAIRS = 1 << 18, 1 << 20
 DISCOUNT = 0.75
 #: Words of the stretches whose best mean counts.
 STRETCHES = (2, 6, 20, 60)
+#: Places, in falling order of toxicity, of the distinct words whose ratios count by themselves:
+#: ordinary texts have a suspicious word here and there, toxic ones have several.
+PLACES = (1, 2, 3, 5, 8)
 #: One in so many labelled documents calibrates instead of counting; most documents used for that.
 HOLD, MOST_CALIBRATION = 4, 6000
 #: Documents with at least this score are called toxic.
@@ -112,7 +115,7 @@ class Models:
 class Evidence:
     """What the models say of texts; remembers the spelling of words, within a bound."""
 
-    WIDTH = 3 + 3 * len(STRETCHES)
+    WIDTH = 3 + 3 * len(STRETCHES) + 2 * len(PLACES)
 
     def __init__(self, words: Models, letters: Models):
         self.words, self.letters = words, letters
@@ -120,7 +123,7 @@ class Evidence:
 
     def of(self, text: str | None) -> list[float]:
         """Mean log ratio over the text and its largest mean over stretches of words: of words after
-        words, of words alone, and of their spelling."""
+        words, of words alone, and of their spelling; then the ratios of the most toxic words."""
         raw = text.encode("utf-8", "surrogatepass").split() if text else []
         if not raw:
             return [0.0] * self.WIDTH
@@ -140,6 +143,10 @@ class Evidence:
             means.append(float(x.mean()))
             sums = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
             best += [float((sums[s:] - sums[:-s]).max() / s) if len(x) >= s else float(sums[-1] / s) for s in STRETCHES]
+        _, one = np.unique(b, return_index=True)
+        for x in (alone[one], spelt[one]):
+            top = np.sort(np.partition(x, len(x) - PLACES[-1])[-PLACES[-1] :] if len(x) > PLACES[-1] else x)[::-1]
+            best += [float(top[k - 1]) if len(top) >= k else float(min(top[-1], 0.0)) for k in PLACES]
         return means + best
 
 

@@ -22,7 +22,11 @@ class WordIds:
         self.known: dict[bytes, int] = {}
 
     def new(self, word: bytes) -> int:
-        return xxhash.xxh32_intdigest(self.bare(word).encode() or word[:3])
+        return self.id_of(word, self.bare(word))
+
+    @staticmethod
+    def id_of(word: bytes, bare: str) -> int:
+        return xxhash.xxh32_intdigest(bare.encode() or word[:3])
 
     @staticmethod
     def bare(word: bytes) -> str:

@@ -100,16 +100,17 @@ class Models:
             left = DISCOUNT * np.count_nonzero(follow[k]) / all_ if follow[k].any() else 1.0
             self.word_p[k] = np.maximum(follow[k] - DISCOUNT, 0) / all_ + left * shared
 
-    def log_p(self, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def log_p(self, k: int, a: np.ndarray, b: np.ndarray, pair: np.ndarray | None = None) -> np.ndarray:
         n, types = self.ctx_n[k][a], self.ctx_types[k][a]
-        seen = np.minimum(self.pair_n[k][pair_slot(a, b)], n)
+        seen = np.minimum(self.pair_n[k][pair_slot(a, b) if pair is None else pair], n)
         back = self.word_p[k][b]
         with np.errstate(divide="ignore", invalid="ignore"):
             p = np.where(n > 0, (np.maximum(seen - DISCOUNT, 0) + DISCOUNT * types * back) / n, back)
         return np.log(np.maximum(p, 1e-12))
 
     def ratio(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.log_p(1, a, b) - self.log_p(0, a, b)
+        pair = pair_slot(a, b)
+        return self.log_p(1, a, b, pair) - self.log_p(0, a, b, pair)
 
 
 class Evidence:
@@ -119,7 +120,24 @@ class Evidence:
 
     def __init__(self, words: Models, letters: Models):
         self.words, self.letters = words, letters
-        self.ids, self.spelt = WordIds(), {}
+        self.alone = np.log(words.word_p[1] / words.word_p[0])
+        self.known: dict[bytes, int] = {}
+        self.slot, self.spelt = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS)
+
+    def learn(self, raw: list[bytes]) -> None:
+        """Remember slot and spelling of the words; forget all others when there are too many."""
+        new = [w for w in set(raw) if w not in self.known]
+        at = len(self.known)
+        if at + len(new) > len(self.slot):
+            self.known.clear()
+            new, at = list(set(raw)), 0
+            if len(new) > len(self.slot):
+                self.slot, self.spelt = np.zeros(len(new), np.int64), np.zeros(len(new))
+        bare = [WordIds.bare(w) for w in new]
+        self.slot[at : at + len(new)] = [WordIds.id_of(w, b) % WORDS for w, b in zip(new, bare, strict=True)]
+        x, y, which = spellings(bare, WORDS)
+        self.spelt[at : at + len(new)] = np.bincount(which, self.letters.ratio(x, y), len(new))
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
 
     def of(self, text: str | None) -> list[float]:
         """Mean log ratio over the text and its largest mean over stretches of words: of words after
@@ -127,17 +145,14 @@ class Evidence:
         raw = text.encode("utf-8", "surrogatepass").split() if text else []
         if not raw:
             return [0.0] * self.WIDTH
-        b = (self.ids.of(text) % WORDS).astype(np.int64)
+        try:
+            k = np.fromiter(map(self.known.__getitem__, raw), np.int64, len(raw))
+        except KeyError:
+            self.learn(raw)
+            k = np.fromiter(map(self.known.__getitem__, raw), np.int64, len(raw))
+        b = self.slot[k]
         a = np.concatenate([[WORDS], b[:-1]])
-        new = [w for w in set(raw) if w not in self.spelt]
-        if new:
-            if len(self.spelt) > CACHE_WORDS:
-                self.spelt.clear()
-                new = list(set(raw))
-            x, y, which = spellings([self.ids.bare(w) for w in new], WORDS)
-            self.spelt.update(zip(new, np.bincount(which, self.letters.ratio(x, y), len(new)).tolist(), strict=True))
-        spelt = np.fromiter(map(self.spelt.__getitem__, raw), np.float64, len(raw))
-        alone = np.log(self.words.word_p[1][b] / self.words.word_p[0][b])
+        spelt, alone = self.spelt[k], self.alone[b]
         means, best = [], []
         for x in (self.words.ratio(a, b), alone, spelt):
             means.append(float(x.mean()))

@@ -38,7 +38,7 @@ def test_sizes_are_those_of_one_compression_a_language():
 
 def test_mislabelled_lines_leave_the_dictionaries():
     en, de = [f"the cat sat on the mat number {k}".encode() for k in range(40)], [f"der hund lag auf der matte nummer {k}".encode() for k in range(40)]
-    pieces = {"en": [[x] for x in en] + [[de[0]], [de[1]]], "de": [[x] for x in de]}
+    pieces = {"en": [[x] for x in en] + [[de[0]]], "de": [[x] for x in de]}  # a line that one half of the sample holds
     model = dict(L.agreed(pieces))
     assert b"matte" not in model["en"] and b"mat" in model["en"]
 

@@ -86,3 +86,12 @@ def test_redaction(spark):
 def test_an_empty_table(spark):
     assert S.scan(empty(spark)).count() == 0 and S.redact(empty(spark)).count() == 0
     assert S.scan(docs(spark)).filter(F.col("doc_id").isNull()).count() == 1
+
+
+def test_texts_without_an_id_are_scanned_by_every_rule(spark):
+    source = spark.createDataFrame([(None, t, "en", "a", len(t)) for t in SECRETS], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = S.scan(source).collect()
+    assert len(rows) == len(SECRETS)
+    for r in rows:
+        assert [(x["start"], x["no"], x["end"], x["kind"]) for x in r["found"]] == spans(r["text"]), r["text"]
+    assert not any(KEY in r["text"] for r in S.redact(source).collect())

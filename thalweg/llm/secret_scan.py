@@ -11,7 +11,8 @@ expression: the pieces before a match and the matches before it add up to its st
 
 Edge cases: a null text is empty; matches are leftmost and do not overlap within a rule; a match
 whose secret is too short is dropped but its characters stay consumed; documents that share an id
-share postings, which only adds candidates, never spans; repeated rows give repeated rows.
+share postings, which only adds candidates, never spans; null ids have no postings, and every rule
+scans their texts; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -177,7 +178,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
             # the scan's own quick test: a match of the least length exists
             test = whole.rlike(f"(?:{rule.regex})" if not _run_class(rule) else f"{_run_class(rule)}{{{rule.least}}}")
         else:
-            test = F.array_contains("_kinds", rule.kind)
+            test = F.col(key).isNull() | F.array_contains("_kinds", rule.kind)
         parts.append(F.when(test, named).otherwise(empty))
     return joined.withColumn(out, F.sort_array(F.concat(*parts))).drop("_key", "_kinds")
 

@@ -106,3 +106,30 @@ def test_rows_of_every_kind(spark, tmp_path):
     assert by[2][0]["n_shingles"] == 0 and by[4][0]["n_shingles"] == 1 and by[5][0]["n_shingles"] == 1
     assert by[None][0]["component_id"] is None and by[None][0]["kept"]
     assert N.op8_neardup(spark, write(spark, tmp_path / "b", documents=empty(spark))).count() == 0
+
+
+def of_a_template(seed, n, own, edits, pairs):
+    """Texts that share most words of one template, and partners of the first of them."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        w[: len(w) * own // 100] = [f"own{k}x{j}" for j in range(len(w) * own // 100)]
+        out.append(" ".join(w))
+    return out + [edited(rng, out[k], edits) for k in range(pairs)]
+
+
+def test_pairs_at_the_threshold_meet_in_a_crowded_region(spark, monkeypatch):
+    monkeypatch.setattr(N, "REGION", 1)
+    monkeypatch.setattr(N, "ANCHORS", 0)
+    monkeypatch.setattr(N, "BLOCK", 50)
+    monkeypatch.setattr(N, "TILE", 16)
+    monkeypatch.setattr(N, "SLICE", 4000)
+    texts = of_a_template(1, 100, 20, 8, 100)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, _ = N.near_duplicates(df, 3, 85)
+    got = {r["id"]: r["component_id"] for r in rows.collect()}
+    want = brute(texts, 3, 85)
+    assert len(set(want)) == 100
+    assert [got[k] for k in range(len(texts))] == want

@@ -9,7 +9,10 @@ block holds the region's anchors (a hashed sample of about ANCHORS), so that blo
 Within a region all signatures are compared, as arrays; of the pairs that look similar enough,
 small regions give all, larger ones a maximum spanning forest and each member's NEAREST nearest.
 Candidates are confirmed on full sets. A second pass takes what the first left apart: within the
-regions, likely pairs across different components that haven't been confirmed or refused.
+regions, likely pairs across different components that haven't been confirmed or refused. These two
+passes divide crowded regions and so only set the order of work. A last pass takes the undivided
+regions of depth DEPTHS[0] that were crowded: all their classes are compared, block with block, and
+all likely pairs that are still apart are confirmed or refused.
 Components come from repeated minimum labels with pointer jumping, all in DataFrames.
 
 Edge cases: ASCII capitals are lowered; a text with fewer words than a shingle is one shingle, the
@@ -40,6 +43,8 @@ REGION, ANCHORS = 2048, 64
 FIRST, NEAREST, SMALL = 2, 6, 48
 #: Regions up to this size give all their likely pairs in either pass.
 FEW = 4
+#: Classes of a block in the last pass, of a tile that is compared at once, and pairs confirmed at once.
+BLOCK, TILE, SLICE = 16384, 1024, 4_000_000
 #: Bits of the map that tells which ids are asked for; a power of two.
 ID_BITS = 1 << 25
 #: How much lower than the threshold an estimate may be: four standard deviations of 128 values.
@@ -185,10 +190,10 @@ def _shared(keys: DataFrame, k: str) -> DataFrame:
     return cut(keys.join(sizes, F.col(k) == F.col("_k")).drop("_k"), "regions")
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """(region, block, id): who is compared with whom. Regions of one class are left out; deeper codes
-    are made for the classes of crowded regions only."""
-    first = _shared(tree_keys(classes, DEPTHS[:1]), "k0")
+def regions(classes: DataFrame, first: DataFrame) -> DataFrame:
+    """(region, block, id): who is compared with whom in the first two passes. ``first``: the shared
+    codes of the first depth. Regions of one class are left out; deeper codes are made for the classes
+    of crowded regions only."""
     out = [first.filter(f"size <= {REGION}").select(F.col("k0").alias("region"), F.lit(0).alias("block"), "id")]
     crowded = first.filter(f"size > {REGION}").select(F.col("k0").alias("_k"), F.col("id").alias("_i"))
     if not crowded.limit(1).count():
@@ -264,15 +269,55 @@ def _of_region(ids: np.ndarray, sigs: np.ndarray, labels: np.ndarray | None, lea
     return ids[a][other], ids[b][other]
 
 
+def cells(first: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(region, block, side, label, id, sig): the last pass. Each undivided region that the others
+    divided is dealt into blocks, and each two blocks (sides 0 and 1), as well as each block with itself
+    (side 0), meet in a cell. Regions of one label are left out."""
+    large = first.filter(f"size > {REGION}").select(F.col("k0").alias("region"), F.ceil(F.col("size") / BLOCK).cast("int").alias("n"), "id")
+    large = large.withColumn("own", F.pmod(F.xxhash64("id", "region"), F.col("n")).cast("int"))
+    large = large.join(classes.select(F.col("id").alias("_i"), "sig"), F.col("id") == F.col("_i")).join(labels.select(F.col("id").alias("_l"), "label"), F.col("id") == F.col("_l"), "left")
+    large = cut(large.select("region", "n", "own", "id", "sig", F.coalesce("label", "id").alias("label")), "crowded")
+    mixed = large.groupBy("region", "n").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    mixed = mixed.select("region", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("own"))
+    met = large.join(mixed, ["region", "own"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    block = F.least("own", "other").cast("long") * F.col("n") + F.greatest("own", "other")
+    return met.select("region", block.alias("block"), (F.col("own") > F.col("other")).cast("int").alias("side"), "label", "id", "sig")
+
+
+def _of_cell(ids: np.ndarray, sigs: np.ndarray, labels: np.ndarray, sides: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All likely pairs of different labels of one cell, tile by tile; its rows are sorted by side and
+    label, so that most tiles of a large component are passed over."""
+    n = len(ids)
+    half = int(np.searchsorted(sides, 1))
+    left, right = (range(0, n, TILE), None) if half == n else (range(0, half, TILE), range(half, n, TILE))
+    for i in left:
+        x = slice(i, min(i + TILE, half))
+        for j in range(i, n, TILE) if right is None else right:
+            y = slice(j, min(j + TILE, n))
+            if labels[x.start] == labels[x.stop - 1] == labels[y.start] == labels[y.stop - 1]:
+                continue
+            columns, others = np.ascontiguousarray(sigs[x].T), np.ascontiguousarray(sigs[y].T)
+            same, equal = np.zeros((x.stop - x.start, y.stop - y.start), np.uint8), np.empty((x.stop - x.start, y.stop - y.start), bool)
+            for column, other in zip(columns, others, strict=True):
+                np.equal(column[:, None], other[None, :], out=equal)
+                same += equal.view(np.uint8)
+            a, b = np.nonzero((same >= least * VALUES) & (labels[x][:, None] != labels[y][None, :]))
+            a, b = ids[x][a], ids[y][b]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
 def candidates(members: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b, distinct. ``members``: region, block, id, sig and, in a second pass, label:
-    then only pairs of different labels are given.
+    then only pairs of different labels are given. With side (cells), all such pairs are.
 
     Most regions hold two or three classes, so regions aren't groups of their own: rows are dealt and
     sorted by region, and each task goes through its regions one after another, one in memory.
     """
-    second = "label" in members.columns
-    columns = ["region", "block", "id", "sig", *(["label"] if second else [])]
+    more = [c for c in ("label", "side") if c in members.columns]
+    columns = ["region", "block", "id", "sig", *more]
+
+    def work(ids, sigs, labels=None, sides=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return iter([_of_region(ids, sigs, labels, least)]) if sides is None else _of_cell(ids, sigs, labels, sides, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -282,22 +327,33 @@ def candidates(members: DataFrame, least: float) -> DataFrame:
             now = held
             if batch is not None:
                 sigs = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, VALUES)
-                new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), sigs, *([batch.column(4).to_numpy()] if second else [])]
+                new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), sigs, *(batch.column(4 + k).to_numpy() for k in range(len(more)))]
                 now = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if now is None:
                 continue
             edges = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
             cuts = [0, *edges.tolist(), *([len(now[0])] if batch is None else [])]
-            found = [_of_region(now[2][x:y], now[3][x:y], now[4][x:y] if second else None, least) for x, y in zip(cuts, cuts[1:], strict=False) if y - x > 1]
             held = None if batch is None else [x[cuts[-1] :] for x in now]  # the last region may go on
+            found, n_found = [], 0
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                for pairs in work(*(c[x:y] for c in now[2:])) if y - x > 1 else ():
+                    found.append(pairs)
+                    n_found += len(pairs[0])
+                    if n_found > TILE * TILE:
+                        yield _pairs(found)
+                        found, n_found = [], 0
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+                yield _pairs(found)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select(*columns).repartition(n, "region", "block").sortWithinPartitions("region", "block", "id", "sig")
+    dealt = members.select(*columns).repartition(n, "region", "block").sortWithinPartitions("region", "block", *reversed(more if "side" in more else []), "id", "sig")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     """(id): every id that the pairs name."""
     return pairs.select(F.explode(F.array("a", "b")).alias("id"))
@@ -341,7 +397,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, key:
     rows = cut(shingled(docs, width, key, text), "shingled")
     whole = rows.filter("id is not null and code is not null")
     classes = cut(whole.groupBy("code").agg(F.min("id").alias("id"), F.min("sig").alias("sig")), "classes")
-    member = cut(regions(classes), "regions")
+    keys = _shared(tree_keys(classes, DEPTHS[:1]), "k0")
+    member = cut(regions(classes, keys), "regions")
     sigs = classes.select(F.col("id").alias("_i"), "sig")
     first = cut(candidates(member.join(sigs, F.col("id") == F.col("_i")).select("region", "block", "id", "sig"), least), "candidates")
     sets = cut(full_sets(docs, width, ends(first), key, text), "sets")
@@ -357,6 +414,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, key:
     # whoever has a likely partner was in a pair of the first pass, so its set is there
     again = cut(confirm(more, asked(sets, id_map(ends(more))), similarity), "confirmed")
     links = links.unionByName(again.filter("linked").select("a", "b"))
+    # last pass: every likely pair of a crowded region that is still apart
+    last = cells(keys, classes, components(links.unionByName(ties)))
+    more = candidates(last, least).join(checked.unionByName(again).select("a", "b"), ["a", "b"], "left_anti")
+    more = cut(more, "candidates")
+    fresh = ends(more).join(ends(first), "id", "left_anti")
+    if fresh.limit(1).count():  # blocks may have kept an id from all its partners until now
+        sets = sets.unionByName(cut(full_sets(docs, width, fresh, key, text), "sets"))
+    parts = -(-more.count() // SLICE)
+    for k in range(parts):
+        part = more.filter(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k)
+        if k:
+            near = components(links.unionByName(ties))
+            for end in ("a", "b"):
+                part = part.join(near.select(F.col("id").alias(f"_{end}"), F.col("label").alias(f"_l{end}")), F.col(end) == F.col(f"_{end}"), "left")
+            part = cut(part.filter("coalesce(_la, a) <> coalesce(_lb, b)").select("a", "b"), "candidates")
+        again = cut(confirm(part, asked(sets, id_map(ends(part))), similarity), "confirmed")
+        links = links.unionByName(again.filter("linked").select("a", "b"))
     labels = components(links.unionByName(ties))
     out = rows.join(labels.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
     return out, links

@@ -133,3 +133,32 @@ def test_pairs_at_the_threshold_meet_in_a_crowded_region(spark, monkeypatch):
     want = brute(texts, 3, 85)
     assert len(set(want)) == 100
     assert [got[k] for k in range(len(texts))] == want
+
+
+def among_rivals(seed, n):
+    """A text, its only partner (changed in eight places), and rivals that just fall short of both."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(300)]
+    places = [10 + 20 * k for k in range(8)]
+    partner = list(base)
+    for p in places:
+        partner[p] = f"new{p}"
+    out = [" ".join(base), " ".join(partner)]
+    for k in range(n):
+        w = list(base)
+        for p in rng.sample(places, 4):
+            w[p] = f"new{p}"
+        for p in rng.sample(range(180, 290, 5), 5):
+            w[p] = f"rival{k}x{p}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_a_partner_behind_refused_rivals_is_found(spark):
+    texts = among_rivals(9, 160)
+    want = brute(texts, 3, 85)
+    assert want[:2] == [0, 0] and want.count(0) == 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, _ = N.near_duplicates(df, 3, 85)
+    got = {r["id"]: r["component_id"] for r in rows.collect()}
+    assert [got[k] for k in range(len(texts))] == want

@@ -10,8 +10,8 @@ Within a region all signatures are compared, as arrays; of the pairs that look s
 small regions give all, larger ones a maximum spanning forest and each member's NEAREST nearest.
 Candidates are confirmed on full sets. A second pass takes what the first left apart: within the
 regions, likely pairs across different components that haven't been confirmed or refused. These two
-passes divide crowded regions and so only set the order of work. A last pass takes the undivided
-regions of depth DEPTHS[0] that were crowded: all their classes are compared, block with block, and
+passes divide crowded regions and choose among pairs, and so only set the order of work. A last pass
+takes the undivided regions of depth DEPTHS[0] that were crowded or had pairs to choose among: all their classes are compared, block with block, and
 all likely pairs that are still apart are confirmed or refused.
 Components come from repeated minimum labels with pointer jumping, all in DataFrames.
 
@@ -271,9 +271,9 @@ def _of_region(ids: np.ndarray, sigs: np.ndarray, labels: np.ndarray | None, lea
 
 def cells(first: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """(region, block, side, label, id, sig): the last pass. Each undivided region that the others
-    divided is dealt into blocks, and each two blocks (sides 0 and 1), as well as each block with itself
+    divided or gave only some pairs of is dealt into blocks, and each two blocks (sides 0 and 1), as well as each block with itself
     (side 0), meet in a cell. Regions of one label are left out."""
-    large = first.filter(f"size > {REGION}").select(F.col("k0").alias("region"), F.ceil(F.col("size") / BLOCK).cast("int").alias("n"), "id")
+    large = first.filter(f"size > {min(SMALL, REGION)}").select(F.col("k0").alias("region"), F.ceil(F.col("size") / BLOCK).cast("int").alias("n"), "id")
     large = large.withColumn("own", F.pmod(F.xxhash64("id", "region"), F.col("n")).cast("int"))
     large = large.join(classes.select(F.col("id").alias("_i"), "sig"), F.col("id") == F.col("_i")).join(labels.select(F.col("id").alias("_l"), "label"), F.col("id") == F.col("_l"), "left")
     large = cut(large.select("region", "n", "own", "id", "sig", F.coalesce("label", "id").alias("label")), "crowded")

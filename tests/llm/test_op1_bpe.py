@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from samples import SF, TEXTS, docs, empty
 
 from thalweg.llm import bpe
@@ -40,6 +41,18 @@ def test_any_text(library, coder, texts):
         assert ids == library.encode(t, add_special_tokens=False).ids
 
 
+def test_a_small_memory_changes_nothing(library, coder, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    small = bpe.PairIndexBPE.__new__(bpe.PairIndexBPE)
+    small.__dict__ |= coder.__dict__ | {"chunks": bpe.Memory(), "words": bpe.Memory()}
+    texts = [f"river{k % 7} and%% {k} <|endoftext|> again river{k % 3}" for k in range(60)]
+    for at in range(0, 60, 4):
+        for t, (raw, said) in zip(texts[at : at + 4], small.coded(texts[at : at + 4]), strict=True):
+            want = library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(raw, "<u4").tolist() == want and said.decode() == library.decode(want, skip_special_tokens=False)
+        assert len(small.chunks.ids) + len(small.words.ids) < 60
+
+
 def test_documents(spark, library):
     got = {(r["doc_id"], r["text"]): r for r in bpe.op1_bpe(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect()}
     assert len(got) == 200
@@ -55,4 +68,6 @@ def test_rows_of_every_kind(spark):
     rows = bpe.encode(source, keep=("lang",)).collect()
     assert len(rows) == source.count() and rows[0]["ids"] == [] and rows[0]["decoded"] == ""
     assert rows[5]["ids"] == rows[6]["ids"] != []
+    clash = bpe.encode(source.withColumn("_bpe_text", F.lit("clash")), keep=("text", "_bpe_text")).collect()
+    assert [r["_bpe_text"] for r in clash] == ["clash"] * len(rows) and [r["ids"] for r in clash] == [r["ids"] for r in rows]
     assert bpe.encode(empty(spark)).count() == 0 and bpe.digest(empty(spark)).count() == 0

@@ -2,8 +2,8 @@
 
 For the distinct pre-tokens of a batch, all symbols lie in one linked list; an index maps each
 adjacent pair to all its positions. Active ranks are applied in ascending order, and each merge
-updates only the lists of the two pairs beside it. Words are encoded once and remembered, within
-a bound, so repeated words cost one dictionary lookup.
+updates only the lists of the two pairs beside it. Chunks between blanks are encoded and decoded once
+and remembered, within a bound, so a repeated chunk costs two dictionary lookups.
 
 Edge cases: a null text is empty; an empty text has no ids and decodes to the empty string;
 lone surrogates can't occur in Spark strings; repeated rows give repeated results; other columns
@@ -19,6 +19,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thalweg.llm.common import slices, small_batches, table
+from thalweg.llm.common import slices, small_batches, spare, table
 
-#: Words remembered by a worker; the memory is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Chunks or pre-tokens of a generation of a worker's memory; it holds two.
+CACHE_WORDS = 200_000
 _BLANK = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
 
@@ -71,6 +72,29 @@ def byte_letters() -> dict[int, str]:
     return out | {b: chr(next(free)) for b in range(256) if b not in out}
 
 
+class Memory:
+    """Codes of strings, as two tables: of ids and of decoded text. Of what two generations of CACHE_WORDS hold, what
+    the last one asked for stays."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def missing(self, asked: Iterable[str]) -> list[str]:
+        """Those of ``asked`` that must be learned; all others are in the tables from now on."""
+        if len(self.ids) > CACHE_WORDS:
+            self.old, self.ids, self.text = (self.ids, self.text), {}, {}
+        ids, text, old, old_text = self.ids, self.text, *self.old
+        out = []
+        for w in set(asked).difference(ids):
+            if w in old:
+                ids[w], text[w] = old[w], old_text[w]
+            else:
+                out.append(w)
+        return out
+
+
 class PairIndexBPE:
     """Encoder and decoder of one vocabulary file of the tokenizers library's format."""
 
@@ -94,15 +118,16 @@ class PairIndexBPE:
         letters = byte_letters()
         self.first_symbol = np.array([self.vocab[letters[b]] for b in range(256)], np.int32)
         self.last_symbol = np.array([self.vocab[letters[b] + self.suffix] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        #: What is remembered: (ids as little-endian 32-bit numbers, decoded text) of chunks and special tokens, and
+        #: of pre-tokens.
+        self.chunks, self.words = Memory(), Memory()
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of one text without special tokens."""
         if text.isascii():
             return _PIECES.findall(text.lower())
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if "".join(map(_proxy, text)) == text:
+        if text.isprintable() or "".join(map(_proxy, text)) == text:  # what has no class isn't printable
             return _PIECES.findall(text)
         text = text.translate(NEWER_LOWER)
         return [text[m.start() : m.end()] for m in _PIECES.finditer("".join(map(_proxy, text)))]
@@ -188,41 +213,47 @@ class PairIndexBPE:
         cuts = np.searchsorted(alive, heads).tolist() + [len(ids)]
         return [tuple(ids[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
 
-    def encode_pieces(self, rows: list[list[str]]) -> list[tuple[int, ...]]:
-        """The ids of each list of pre-tokens; new ones pass through the pair index together."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for row in rows for w in row if w not in known})
-        known.update(zip(new, self.merge(new), strict=True))
-        get = known.__getitem__
-        return [tuple(chain.from_iterable(map(get, row))) for row in rows]
+    def learn(self, chunks: list[str]) -> None:
+        """Remember what chunks are coded to; their new pre-tokens pass through the pair index together."""
+        rows = [self.pieces(c) for c in chunks]
+        words, known = self.words, self.chunks
+        new = words.missing(chain.from_iterable(rows))
+        for w, coded in zip(new, self.merge(new), strict=True):
+            words.ids[w] = pack(f"<{len(coded)}I", *coded)
+            words.text[w] = self.decode(coded).encode("utf-8", "surrogatepass")
+        ids, text = words.ids, words.text
+        for c, row in zip(chunks, rows, strict=True):
+            if len(row) == 1:
+                known.ids[c], known.text[c] = ids[row[0]], text[row[0]]
+            else:
+                known.ids[c], known.text[c] = b"".join([ids[w] for w in row]), b" ".join([text[w] for w in row])
+
+    def cut(self, text: str | None) -> list[str]:
+        """A text as chunks and special tokens. No pre-token spans a blank, so texts are cut at blanks and each
+        distinct chunk is encoded once; case and composition are settled per chunk, too."""
+        text = text or ""
+        if "<|" in text and self.cut_special.search(text):
+            return [x for k, part in enumerate(self.cut_special.split(text)) for x in ([part] if k % 2 else _chunks(part))]
+        return _chunks(text)
+
+    def coded(self, texts: Iterable[str | None], decoded: bool = True) -> Iterator[tuple[bytes, bytes]]:
+        """(ids as little-endian 32-bit numbers, decoded text in UTF-8) of each text; special tokens in a
+        text count as such."""
+        rows = [self.cut(t) for t in texts]
+        chunks = self.chunks
+        new = chunks.missing(chain.from_iterable(rows))
+        for c in new:
+            if c in self.special:
+                chunks.ids[c], chunks.text[c] = pack("<I", self.special[c]), c.encode()
+        self.learn([c for c in new if c not in self.special])
+        ids, text = chunks.ids.__getitem__, chunks.text.__getitem__
+        for row in rows:
+            # a chunk without ids leaves no gap in the text
+            yield b"".join(map(ids, row)), b" ".join(filter(None, map(text, row))) if decoded else b""
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[list[int]]:
-        """The ids of each text; special tokens in a text count as such.
-
-        No pre-token spans a blank, so texts are cut at blanks and each distinct chunk is encoded
-        once. The memory holds raw chunks, so case and composition are settled per chunk too.
-        """
-        cut: list = []
-        for t in texts:
-            t = t or ""
-            if "<|" in t and self.cut_special.search(t):
-                row: list = []
-                for k, part in enumerate(self.cut_special.split(t)):
-                    row += [part] if k % 2 else _chunks(part)
-                cut.append(row)
-            else:
-                cut.append(_chunks(t))
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        known = self.chunks
-        if not known:
-            known.update({t: (i,) for t, i in self.special.items()})
-        new = list({w for row in cut for w in row if w not in known})
-        known.update(zip(new, self.encode_pieces([self.pieces(w) for w in new]), strict=True))
-        get = known.__getitem__
-        return [list(chain.from_iterable(map(get, row))) for row in cut]
+        """The ids of each text."""
+        return [np.frombuffer(raw, "<u4").tolist() for raw, _ in self.coded(texts, False)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: without a decoder in the file, tokens joined by one space."""
@@ -245,21 +276,21 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, keep: tuple[str, ...] = (), decoded: bool = True) -> DataFrame:
     """Columns key, ``keep``, ids array<int> and, if asked, decoded string; nothing is shuffled."""
     small_batches(docs.sparkSession)
-    source = docs.select(key, *keep, F.col(text).alias("_bpe_text"))
-    schema = source.drop("_bpe_text").schema.add("ids", T.ArrayType(T.IntegerType()))
+    source = docs.select(key, *keep, F.col(text).alias(spare(docs, "text")))
+    schema = docs.select(key, *keep).schema.add("ids", T.ArrayType(T.IntegerType()))
     if decoded:
         schema = schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path or vocabulary())
         for b in slices(batches, 4_000_000):
-            ids = model.encode_batch(b.column(b.num_columns - 1).to_pylist())
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])))
-            made = [pa.ListArray.from_arrays(pa.array(offsets), flat)]
+            got = list(model.coded(b.column(b.num_columns - 1).to_pylist(), decoded))
+            offsets = np.zeros(len(got) + 1, np.int32)
+            np.cumsum([len(x) // 4 for x, _ in got], out=offsets[1:])
+            flat = np.frombuffer(b"".join([x for x, _ in got]), "<u4").astype(np.int32)
+            made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
             if decoded:
-                made.append(pa.array([model.decode(x) for x in ids], pa.string()))
+                made.append(pa.array([x.decode() for _, x in got], pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], schema.names)
 
     return source.mapInArrow(run, schema)
@@ -269,16 +300,18 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     """Columns key, ``keep``, n_tokens, ids_sha256, decoded_sha256: the same codes as ``encode``,
     hashed where they are made, so that ids and texts needn't travel."""
     small_batches(docs.sparkSession)
-    source = docs.select(key, *keep, F.col(text).alias("_bpe_text"))
-    schema = source.drop("_bpe_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    source = docs.select(key, *keep, F.col(text).alias(spare(docs, "text")))
+    schema = docs.select(key, *keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path or vocabulary())
         for b in slices(batches, 4_000_000):
-            ids = model.encode_batch(b.column(b.num_columns - 1).to_pylist())
-            a = [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]
-            d = [hashlib.sha256(model.decode(x).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(x) for x in ids], pa.int64()), pa.array(a), pa.array(d)], [*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, x, y = [], [], []
+            for raw, said in model.coded(b.column(b.num_columns - 1).to_pylist()):
+                n.append(len(raw) // 4)
+                x.append(hashlib.sha256(raw).hexdigest())
+                y.append(hashlib.sha256(said).hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -3,6 +3,8 @@ the order of neighbours, and tidy Arrow batches."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -20,6 +22,7 @@ BATCH_ROWS = 256
 
 #: Used where the session names no shared folder (tests on one machine).
 FALLBACK_DIR = "/tmp/checkpoints/thalweg"
+_CUTS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,19 +37,42 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local folder does if
+    all runs on this machine; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or FALLBACK_DIR
+
+
+def _remove(jvm, conf, path: str) -> None:
+    """Delete a folder through Spark's own file system, also after the session has stopped."""
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        to = jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(conf).delete(to, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: later steps start from files
-    that outlive any executor, and nothing above is computed twice."""
+    that outlive any executor, and nothing above is computed twice. All that an application has
+    written so lies in one folder, which is removed when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/thalweg-{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark).rstrip('/')}/thalweg-{spark.sparkContext.applicationId}"
+    if own not in _CUTS:
+        _CUTS.add(own)
+        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), own)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have: ``name``, with underscores before it if need be."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: how the contracts hold rows out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -9,7 +9,7 @@ from thalweg.llm import common
 
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     assert common.shared_dir(spark)
-    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     if not spark.conf.get("spark.checkpoint.dir", None):
         with pytest.raises(ValueError, match="checkpoint"):
             common.shared_dir(spark)
@@ -22,11 +22,11 @@ from thalweg.llm.common import cut
 spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
 assert cut(spark.range(5), "some").count() == 5
 import os
-assert os.listdir("{tmp_path}")
+assert any("thalweg" in x for x in os.listdir("{tmp_path}"))
 spark.stop()
 """
     subprocess.run([sys.executable, "-c", code], check=True, env=os.environ, timeout=300)
-    assert os.listdir(tmp_path) == []
+    assert not [x for x in os.listdir(tmp_path) if "thalweg" in x]
 
 
 def test_spare_names(spark):

@@ -145,7 +145,9 @@ def cases():
     return rows
 
 
-def test_the_whole_query_against_loops(spark, tmp_path):
+@pytest.mark.parametrize("sent", [H.MOST_SENT, 0])
+def test_the_whole_query_against_loops(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(H, "MOST_SENT", sent)
     rows = cases()
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
     for c in (*CLASHES, "k", "id", "host", "path", "code", "kept", "gone", "near", "usual", "ours", "inside", "_k", "_h", "_html"):

@@ -11,7 +11,8 @@ stands outside isn't main text even if no other page shares it. Articles of a ho
 passages, and a shared line alone can't tell a quotation from a template (the README has figures). So
 a line inside a declared article goes only if at least USUAL of the host's pages have it, too.
 
-The pages are read twice, so that only line hashes, and then only the extracted lines, are dealt out.
+The pages are read twice, so that only line hashes are dealt out, and the extracted lines only where the
+list of what goes is long.
 
 Edge cases: a null or empty html has the empty text; a page that is alone in its host isn't
 differenced, and a page whose neighbour shares all its lines (a copy: nothing would be left) keeps
@@ -68,6 +69,8 @@ _OPEN, _SHUT, _SOFT = 0, 1, 2
 USUAL, LEAST_PAGES = 2 / 3, 4
 #: Salts by which pages of one host meet its usual lines.
 SALTS = 64
+#: Most pages and lines to be deleted that are sent to all executors; more are dealt out with the texts.
+MOST_SENT = 200_000
 #: Bits of alignment rows that are held at once.
 _ROWS = 1 << 27
 
@@ -303,7 +306,8 @@ def templates(hashes: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, url, text: the main text of every page."""
     source = keyed(pages, key, url, html)
-    gone = templates(line_hashes(source)).withColumnRenamed("k", "_k")
+    gone = cut(templates(line_hashes(source)).withColumnRenamed("k", "_k"), "gone")
+    size = gone.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
     small_batches(pages.sparkSession)
     source = source.select("k", "id", "url", "html")
     schema = source.drop("html").schema.add("kept", T.ArrayType(T.StringType()))
@@ -313,7 +317,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             got = pa.array([main_lines(t) for t in b.column(3).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], got], schema.names)
 
-    both = source.mapInArrow(run, schema).join(gone.hint("shuffle_hash"), F.col("k") == F.col("_k"), "left")
+    both = source.mapInArrow(run, schema).join(F.broadcast(gone) if size <= MOST_SENT else gone.hint("shuffle_hash"), F.col("k") == F.col("_k"), "left")
     left = F.when(F.col("gone").isNull(), F.col("kept")).otherwise(F.expr("filter(kept, (x, i) -> not array_contains(gone, i))"))
     return both.select(F.col("id").alias(key), F.col("url").alias(url), F.array_join(left, " ").alias("text"))
 

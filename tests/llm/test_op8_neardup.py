@@ -62,12 +62,13 @@ def test_components_are_those_of_all_pairs(spark, seed, width, similarity):
         assert 100 * len(s[r["a"]] & s[r["b"]]) >= similarity * len(s[r["a"]] | s[r["b"]])
 
 
-def test_crowded_regions_are_divided_and_stay_whole(spark, monkeypatch):
-    monkeypatch.setattr(N, "REGION", 16)
-    monkeypatch.setattr(N, "ANCHORS", 6)
+@pytest.mark.parametrize("small", [{"REGION": 4}, {"REGION": 4, "BLOCK": 16, "ANCHORS": 2, "SIDE": 8}, {"BLOCK": 7, "ANCHORS": 0, "SIDE": 5, "COLUMNS": 3}, {"ELEMENTS": 900}])
+def test_crowded_regions_and_large_families_stay_whole(spark, monkeypatch, small):
+    for k, v in small.items():
+        monkeypatch.setattr(N, k, v)
     rng = random.Random(5)
     base = " ".join(f"w{rng.randrange(4000)}" for _ in range(400))
-    texts = [edited(rng, base, 2) for _ in range(90)] + [f"other {k} text of its own kind {k}" for k in range(10)]
+    texts = [edited(rng, base, 2) for _ in range(90)] + [f"other {k} text of its own kind {k}" for k in range(10)] + corpus(7)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows, _ = N.near_duplicates(df, 5, 80)
     got = {r["id"]: r["component_id"] for r in rows.collect()}
@@ -120,12 +121,10 @@ def of_a_template(seed, n, own, edits, pairs):
     return out + [edited(rng, out[k], edits) for k in range(pairs)]
 
 
-def test_pairs_at_the_threshold_meet_in_a_crowded_region(spark, monkeypatch):
-    monkeypatch.setattr(N, "REGION", 1)
-    monkeypatch.setattr(N, "ANCHORS", 0)
-    monkeypatch.setattr(N, "BLOCK", 50)
-    monkeypatch.setattr(N, "TILE", 16)
-    monkeypatch.setattr(N, "SLICE", 4000)
+@pytest.mark.parametrize("small", [{}, {"REGION": 1, "BLOCK": 20, "ANCHORS": 3, "SIDE": 16}])
+def test_pairs_at_the_threshold_in_a_family_below_it(spark, monkeypatch, small):
+    for k, v in small.items():
+        monkeypatch.setattr(N, k, v)
     texts = of_a_template(1, 100, 20, 8, 100)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows, _ = N.near_duplicates(df, 3, 85)
@@ -135,6 +134,50 @@ def test_pairs_at_the_threshold_meet_in_a_crowded_region(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_links_of_300_texts_of_one_template(spark):
+    """Texts at about 0.81 of each other, and partners at 0.87 of some of them."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(400)]
+    own = []
+    for _ in range(150):
+        w = list(base)
+        for p in rng.sample(range(0, 398, 3), 7):
+            w[p] = f"own{rng.randrange(10**9)}"
+        own.append(" ".join(w))
+    texts = own + [edited(rng, rng.choice(own), rng.choice((8, 9, 10, 11))) for _ in range(150)]
+    want = brute(texts, 3, 85)
+    assert 20 < len(set(want)) < 290
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in N.near_duplicates(df, 3, 85)[0].collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_counts_of_shared_members():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 90))) for _ in range(40)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    off = ~np.eye(40, dtype=bool)
+    assert (N.shared_counts(sets) == want)[off].all() and (N.shared_counts(sets, 13) == want[:13, 13:]).all()
+    alone = [np.array([k]) for k in range(3)]
+    assert (N.shared_counts(alone)[~np.eye(3, dtype=bool)] == 0).all()
+
+
+def test_a_forest_spans_all_likely_pairs():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        kinds = rng.integers(0, 1 << 16, (6, N.VALUES)).astype("<u2")
+        sigs = kinds[rng.integers(0, 6, 40)]
+        change = rng.random(sigs.shape) < rng.choice((0.05, 0.2, 0.3))
+        sigs = np.where(change, rng.integers(0, 1 << 16, sigs.shape), sigs).astype("<u2")
+        label = list(range(40))
+        for i, j in N.forest(sigs, 0.6):
+            assert (sigs[i] == sigs[j]).mean() >= 0.6
+            assert label[i] != label[j]
+            label = [label[i] if x == label[j] else x for x in label]
+        likely = (sigs[:, None] == sigs[None]).mean(axis=2) >= 0.6
+        assert all(label[i] == label[j] for i, j in zip(*np.nonzero(likely), strict=True))
+
+
 def among_rivals(seed, n):
     """A text, its only partner (changed in eight places), and rivals that just fall short of both."""
     rng = random.Random(seed)

@@ -1,20 +1,26 @@
 """Near-duplicates by MinHash and an LSH forest.
 
 A document is the set of its distinct word shingles. Documents with one set are one class, and
-only one of each class goes on. Each class has a MinHash signature, and each of TREES trees orders
-the signatures by its own sequence of values. Documents that share a prefix of a tree's sequence
-form a region. The depth adapts: where a region of depth DEPTHS[0] holds more than REGION classes,
-a longer prefix divides it; what is still larger at the last depth is dealt into blocks, and each
-block holds the region's anchors (a hashed sample of about ANCHORS), so that blocks stay tied.
-Within a region all signatures are compared, as arrays; of the pairs that look similar enough,
-small regions give all, larger ones a maximum spanning forest and each member's NEAREST nearest.
-Candidates are confirmed on full sets. A second pass takes what the first left apart: within the
-regions, likely pairs across different components that haven't been confirmed or refused. These two
-passes divide crowded regions and choose among pairs, and so only set the order of work. A last pass
-takes the undivided regions of depth DEPTHS[0] that were crowded or had pairs to choose among: all their classes are compared, block with block, and
-all likely pairs that are still apart are confirmed or refused.
+only one of each class goes on. Each class has a MinHash signature, and each of TREES trees sorts
+the classes by its own sequence of signature values. Classes that share a prefix of a tree's sequence
+are a region of that order, and candidates are longest-common-prefix neighbours in it: a region reaches
+up to the shortest prefix of DEPTHS that at most REGION classes share, so it is shallow where the order is
+sparse and deep where it is dense. In a region the neighbours in order are compared by their signatures
+first; the runs they form are then compared with each other until no two runs hold a likely pair. A
+region that is still crowded at the last depth isn't compared at all: its classes go on together.
+
+So each tree gives a spanning forest of likely pairs, of as many edges as classes at most, and the trees'
+forests together make families. A family holds every likely pair of every region, so all that can
+be linked is inside one. Families are confirmed on full sets: the shared shingles of all pairs of a family
+come from one product of its membership matrix, and a spanning forest of the links is what goes on. A large
+family is dealt into blocks, which anchors (a hashed sample) tie together; then whatever of it isn't in its
+largest component meets all its blocks, block with block. No pair is left out and no list of pairs is made.
 Components come from repeated minimum labels with pointer jumping, all in DataFrames.
 
+Two documents of a similarity s at the threshold miss each other in all regions with a chance of
+(1 - s^d)^TREES: below 1e-5 at depth 3 and 3e-4 at depth 4 for s = 0.8. A family that is large, near the
+threshold and yet not linked costs the square of its size over BLOCK in tasks.
+
 Edge cases: ASCII capitals are lowered; a text with fewer words than a shingle is one shingle, the
 whole; a null or wordless text has the empty set, is linked with nothing and is kept; documents
 that share an id are one node (a class of either joins both) but all rows are returned; null ids
@@ -24,8 +30,6 @@ are nodes of their own kind: they're returned as kept, with no component; other
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +39,19 @@ from pyspark.sql import functions as F
 
 from thalweg.llm.common import cut, slices, small_batches, table
 
-TREES, DEPTHS, VALUES = 16, (4, 6, 8), 128
-#: Classes that a region may hold before it is divided, and anchors of a block.
-REGION, ANCHORS = 2048, 64
-#: A member's nearest partners that are candidates in the first pass and in the second; regions up to
-#: SMALL classes give all pairs that the second pass asks for.
-FIRST, NEAREST, SMALL = 2, 6, 48
-#: Regions up to this size give all their likely pairs in either pass.
-FEW = 4
-#: Classes of a block in the last pass, of a tile that is compared at once, and pairs confirmed at once.
-BLOCK, TILE, SLICE = 16384, 1024, 4_000_000
+TREES, VALUES = 16, 128
+#: Values of a tree's sequence, and the prefixes by which regions are made.
+STEP, DEPTHS = VALUES // TREES, (3, 4)
+#: Classes that a region may hold before it is divided.
+REGION = 512
+#: Classes of a block of a family, anchors of a family in all its blocks, and shingles of a block.
+BLOCK, ANCHORS, ELEMENTS = 128, 32, 2_000_000
+#: Classes of a side where blocks of one family meet, and columns of a membership matrix at once.
+SIDE, COLUMNS = 1024, 8192
 #: Bits of the map that tells which ids are asked for; a power of two.
 ID_BITS = 1 << 25
-#: How much lower than the threshold an estimate may be: four standard deviations of 128 values.
-SLACK = 0.13
+#: How much lower than the threshold an estimate may be: four and a half standard deviations of 128 values.
+SLACK = 0.16
 _RNG = np.random.default_rng(2024)
 _MUL = _RNG.integers(1, 1 << 63, (VALUES, 1), dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, (VALUES, 1), dtype=np.uint64)
@@ -87,7 +90,7 @@ class Shingler:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """The top bytes of VALUES minima of the hashes, under as many multiply-add functions."""
+    """16 bits of each of VALUES minima of the hashes, under as many multiply-add functions."""
     best = np.full((VALUES, 1), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 1024):  # all functions at once over a piece that fits the cache
         h = found[None, at : at + 1024] * _MUL
@@ -95,7 +98,7 @@ def signature(found: np.ndarray) -> np.ndarray:
         np.minimum(best, h.min(axis=1, keepdims=True), out=best)
     # the minima of long texts are all small: mix them before cutting
     best = best[:, 0] * np.uint64(0x9E3779B97F4A7C15)
-    return ((best ^ best >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8)
+    return ((best ^ best >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype("<u2")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -135,17 +138,6 @@ def _hit(bits: np.ndarray, at: pa.Array) -> np.ndarray:
     return (bits[h >> 6] >> (h & 63) & 1).astype(bool)
 
 
-def asked(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``rows`` whose id the map lets through; nothing is shuffled."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_hit(shared.value, b.column(b.num_columns - 1)))).select(list(range(b.num_columns - 1)))
-
-    return rows.withColumn("_at", F.pmod(F.xxhash64("id"), F.lit(ID_BITS))).mapInArrow(run, rows.schema)
-
-
 def full_sets(docs: DataFrame, width: int, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, found): the sorted distinct shingle hashes of the documents that ``wanted`` (id) asks for, and
     of some others. Texts are not dealt out: a map of the ids goes to them."""
@@ -162,212 +154,240 @@ def full_sets(docs: DataFrame, width: int, wanted: DataFrame, key: str = "doc_id
     return rows.mapInArrow(run, "id long, found array<long>")
 
 
-def tree_keys(classes: DataFrame, depths: tuple[int, ...]) -> DataFrame:
-    """(k0, k1, ..., id): the prefix codes of each class in each tree, one column for each depth."""
-    names = [f"k{j}" for j in range(len(depths))]
+def tree_keys(classes: DataFrame) -> DataFrame:
+    """(k0, k1, ..., tree, id): each class in each tree with the codes of its prefixes, a column for each depth."""
+    names = [f"k{j}" for j in range(len(DEPTHS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sigs = np.stack([np.frombuffer(x, np.uint8) for x in b.column(1).to_pylist()]).astype(np.uint64)
+            sigs = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, VALUES).astype(np.uint64)
             ids, columns = b.column(0).to_numpy(), []
-            step = VALUES // TREES
             for t in range(TREES):
-                own, code, codes = sigs[:, t * step : (t + 1) * step], np.full(len(sigs), t + 1, np.uint64), []
-                for d in range(step):
+                own, code, codes = sigs[:, t * STEP : (t + 1) * STEP], np.full(len(sigs), t + 1, np.uint64), []
+                for d in range(max(DEPTHS)):
                     code = (code ^ own[:, d]) * np.uint64(0xC2B2AE3D27D4EB4F)
                     code ^= code >> np.uint64(31)
-                    if d + 1 in depths:
+                    if d + 1 in DEPTHS:
                         codes.append(code.view(np.int64))
                 columns.append(codes)
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate([c[j] for c in columns])) for j in range(len(depths))], pa.array(np.tile(ids, TREES))], [*names, "id"])
+            trees = np.repeat(np.arange(TREES, dtype=np.int32), len(ids))
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate([c[j] for c in columns])) for j in range(len(DEPTHS))], pa.array(trees), pa.array(np.tile(ids, TREES))], [*names, "tree", "id"])
+
+    return classes.select("id", "sig").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", tree int, id long")
+
+
+def _sized(keys: DataFrame, k: str) -> DataFrame:
+    """``keys`` whose code ``k`` more than one class has, with ``size``, the number of such classes, and ``root``, the
+    smallest. Sizes are written first, so that a hot code's rows can be split over tasks where they meet its size."""
+    sizes = keys.groupBy(F.col(k).alias("_k")).agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("root")).filter("size > 1")
+    return cut(keys.join(cut(sizes, "sizes"), F.col(k) == F.col("_k")).drop("_k"), "shared")
+
+
+def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(region, tree, id): the regions of the trees' orders; and edges (a, b) that hold the classes of a region together
+    that is crowded at the last depth, None if there is none. Classes that are alone are left out."""
+    keys, out = tree_keys(classes), None
+    for j in range(len(DEPTHS)):
+        shared = _sized(keys, f"k{j}")
+        own = shared.filter(f"size <= {REGION}").select(F.col(f"k{j}").alias("region"), "tree", "id")
+        out = own if out is None else out.unionByName(own)
+        keys = shared.filter(f"size > {REGION}")
+        if not keys.limit(1).count():
+            return out, None
+        if j < len(DEPTHS) - 1:
+            keys = keys.drop("size", "root")
+    return out, keys.filter("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+
 
-    return classes.select("id", "sig").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", id long")
+def forest(sigs: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the likely pairs among rows that are in the order of their tree.
 
+    Neighbours in order come first. The runs that they form are then searched: rows that are reached are
+    compared with all that aren't yet, so a region of one kind takes one pass and only strangers all pairs.
+    """
+    n, need = len(sigs), least * VALUES
+    near = (sigs[1:] == sigs[:-1]).sum(axis=1) >= need
+    edges = [(int(k), int(k) + 1) for k in np.flatnonzero(near)]
+    run = np.concatenate([[0], np.cumsum(~near)])
+    todo = np.ones(n, bool)
+    for start in range(n):
+        if not todo[start]:
+            continue
+        found = np.flatnonzero(run == run[start])
+        todo[found] = False
+        queue = [found]
+        while queue:
+            rows = queue.pop()
+            for i in rows.tolist():
+                left = np.flatnonzero(todo)
+                if not len(left):
+                    return edges
+                hit = left[(sigs[left] == sigs[i]).sum(axis=1) >= need]
+                _, first = np.unique(run[hit], return_index=True)
+                for j in hit[first].tolist():
+                    edges.append((i, j))
+                    more = np.flatnonzero(run == run[j])
+                    todo[more] = False
+                    queue.append(more)
+    return edges
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
+    """Rows sorted by their first ``keys`` columns, all of a group at once: a list for each column."""
+    held: list | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [list(c.values.to_numpy()[x:y] for x, y in zip(o, o[1:], strict=False)) if pa.types.is_list(c.type) and (o := c.offsets.to_pylist()) else c.to_pylist() for c in b.columns]
+        now = columns if held is None else [x + y for x, y in zip(held, columns, strict=True)]
+        codes = list(zip(*now[:keys], strict=True))
+        start = 0
+        for k in range(1, len(codes)):
+            if codes[k] != codes[k - 1]:
+                yield [c[start:k] for c in now]
+                start = k
+        held = [c[start:] for c in now]
+    if held is not None:
+        yield held
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+
+def likely(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b): a spanning forest of the likely pairs of each region. Rows are dealt and sorted by region and, in it, by
+    the tree's sequence; a task goes through its regions one after another, one in memory."""
+    both = members.join(classes.select(F.col("id").alias("_i"), "sig"), F.col("id") == F.col("_i"))
+    rows = both.select("region", "id", "sig", F.expr(f"substring(sig, tree * {2 * STEP} + 1, {2 * STEP})").alias("label"))
 
-def _shared(keys: DataFrame, k: str) -> DataFrame:
-    """``keys`` whose code ``k`` more than one class has, with ``size``, the number of such classes."""
-    sizes = keys.groupBy(F.col(k).alias("_k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return cut(keys.join(sizes, F.col(k) == F.col("_k")).drop("_k"), "regions")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for _, ids, sigs in _in_turn(batches, 1):
+            if len(ids) > 1:
+                pairs = forest(np.frombuffer(b"".join(sigs), "<u2").reshape(-1, VALUES), least)
+                found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in pairs if ids[i] != ids[j]]
+            if len(found) > 50_000:
+                yield _edges(found)
+                found = []
+        yield _edges(found)
+
+    return _dealt(rows, ["region"], ["label", "id"]).select("region", "id", "sig").mapInArrow(run, "a long, b long").distinct()
+
+
+def shared_counts(sets: list[np.ndarray], half: int | None = None) -> np.ndarray:
+    """How many members each two sets have in common; with ``half``, each of the sets before it with each after it."""
+    size = np.array([len(x) for x in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    use = times[column] > 1
+    row, column = row[use], column[use]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
+    n = len(sets)
+    out = np.zeros((n, n) if half is None else (half, n - half), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, (at, at + COLUMNS))
+        held = np.zeros((n, min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)  # counts below 2^24 are exact
+        held[row[x:y], column[x:y] - at] = 1
+        out += (held @ held.T if half is None else held[:half] @ held[half:].T).astype(np.int64)
+    return out
 
 
-def regions(classes: DataFrame, first: DataFrame) -> DataFrame:
-    """(region, block, id): who is compared with whom in the first two passes. ``first``: the shared
-    codes of the first depth. Regions of one class are left out; deeper codes are made for the classes
-    of crowded regions only."""
-    out = [first.filter(f"size <= {REGION}").select(F.col("k0").alias("region"), F.lit(0).alias("block"), "id")]
-    crowded = first.filter(f"size > {REGION}").select(F.col("k0").alias("_k"), F.col("id").alias("_i"))
-    if not crowded.limit(1).count():
-        return out[0]
-    open_ = tree_keys(classes.join(crowded.select("_i").distinct(), F.col("id") == F.col("_i"), "left_semi"), DEPTHS)
-    open_ = open_.join(crowded, (F.col("k0") == F.col("_k")) & (F.col("id") == F.col("_i")), "left_semi")
-    for j in range(1, len(DEPTHS)):
-        named = _shared(open_, f"k{j}")
-        if j < len(DEPTHS) - 1:
-            out.append(named.filter(f"size <= {REGION}").select(F.col(f"k{j}").alias("region"), F.lit(0).alias("block"), "id"))
-            open_ = named.filter(f"size > {REGION}").drop("size")
-        else:
-            blocks = F.ceil(F.col("size") / REGION).cast("int")
-            own = F.pmod(F.xxhash64("id", F.col(f"k{j}")), blocks).cast("int")
-            anchor = F.pmod(F.xxhash64("id"), F.col("size")) < ANCHORS
-            dealt = F.when(anchor & (blocks > 1), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
-            out.append(named.select(F.col(f"k{j}").alias("region"), F.explode(dealt).alias("block"), "id"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def _likely(sigs: np.ndarray, least: float) -> np.ndarray:
-    """How many of VALUES minima each two rows share, 0 where that is too few."""
-    n = len(sigs)
-    if n <= SMALL:
-        same = (sigs[:, None, :] == sigs[None, :, :]).sum(axis=2, dtype=np.uint8)
-    else:
-        columns = np.ascontiguousarray(sigs.T)
-        same, equal = np.zeros((n, n), np.uint8), np.empty((n, n), bool)
-        for column in columns:
-            np.equal(column[:, None], column[None, :], out=equal)
-            same += equal.view(np.uint8)
-    same[same < least * VALUES] = 0
-    np.fill_diagonal(same, 0)
-    return same
-
-
-def _choose(same: np.ndarray, labels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the likely pairs of a region are candidates: a maximum spanning forest and each member's
-    nearest; with labels, in a small region, all pairs of different labels."""
-    n = len(same)
-    if labels is not None:
-        same = np.where(labels[:, None] == labels[None, :], 0, same)
-    if n <= (FEW if labels is None else SMALL):
-        a, b = np.nonzero(np.triu(same))
-        return a, b
-    near = min(FIRST if labels is None else NEAREST, n - 1)
-    best = np.argpartition(255 - same, near - 1, axis=1)[:, :near]
-    a, b = np.repeat(np.arange(n), near), best.ravel()
-    likely = same[a, b] > 0
-    pairs = set(zip(np.minimum(a, b)[likely].tolist(), np.maximum(a, b)[likely].tolist(), strict=True))
-    # Prim's steps over the dense array
-    far, parent, todo = np.zeros(n, np.int16), np.zeros(n, np.int64), np.ones(n, bool)
-    for _ in range(n):
-        i = int(np.argmax(np.where(todo, far, -1)))
-        todo[i] = False
-        if far[i]:
-            pairs.add((min(i, int(parent[i])), max(i, int(parent[i]))))
-        closer = todo & (same[i] > far)
-        far[closer], parent[closer] = same[i][closer], i
-    a = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-    return a[:, 0], a[:, 1]
-
-
-def _of_region(ids: np.ndarray, sigs: np.ndarray, labels: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of one region; its rows are sorted by id and signature."""
-    if len(ids) > 1 and (ids[1:] == ids[:-1]).any():  # an id may have several texts
-        keep = np.concatenate([[True], (ids[1:] != ids[:-1]) | (sigs[1:] != sigs[:-1]).any(axis=1)])
-        ids, sigs, labels = ids[keep], sigs[keep], None if labels is None else labels[keep]
-    if len(ids) < 2 or (labels is not None and (labels == labels[0]).all()):
-        return ids[:0], ids[:0]
-    a, b = _choose(_likely(sigs, least), labels)
-    other = ids[a] != ids[b]
-    return ids[a][other], ids[b][other]
-
-
-def cells(first: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(region, block, side, label, id, sig): the last pass. Each undivided region that the others
-    divided or gave only some pairs of is dealt into blocks, and each two blocks (sides 0 and 1), as well as each block with itself
-    (side 0), meet in a cell. Regions of one label are left out."""
-    large = first.filter(f"size > {min(SMALL, REGION)}").select(F.col("k0").alias("region"), F.ceil(F.col("size") / BLOCK).cast("int").alias("n"), "id")
-    large = large.withColumn("own", F.pmod(F.xxhash64("id", "region"), F.col("n")).cast("int"))
-    large = large.join(classes.select(F.col("id").alias("_i"), "sig"), F.col("id") == F.col("_i")).join(labels.select(F.col("id").alias("_l"), "label"), F.col("id") == F.col("_l"), "left")
-    large = cut(large.select("region", "n", "own", "id", "sig", F.coalesce("label", "id").alias("label")), "crowded")
-    mixed = large.groupBy("region", "n").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    mixed = mixed.select("region", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("own"))
-    met = large.join(mixed, ["region", "own"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    block = F.least("own", "other").cast("long") * F.col("n") + F.greatest("own", "other")
-    return met.select("region", block.alias("block"), (F.col("own") > F.col("other")).cast("int").alias("side"), "label", "id", "sig")
-
-
-def _of_cell(ids: np.ndarray, sigs: np.ndarray, labels: np.ndarray, sides: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All likely pairs of different labels of one cell, tile by tile; its rows are sorted by side and
-    label, so that most tiles of a large component are passed over."""
+def linked(ids: list[int], sets: list[np.ndarray], similarity: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among all pairs: 100 * shared >= similarity * union."""
     n = len(ids)
-    half = int(np.searchsorted(sides, 1))
-    left, right = (range(0, n, TILE), None) if half == n else (range(0, half, TILE), range(half, n, TILE))
-    for i in left:
-        x = slice(i, min(i + TILE, half))
-        for j in range(i, n, TILE) if right is None else right:
-            y = slice(j, min(j + TILE, n))
-            if labels[x.start] == labels[x.stop - 1] == labels[y.start] == labels[y.stop - 1]:
-                continue
-            columns, others = np.ascontiguousarray(sigs[x].T), np.ascontiguousarray(sigs[y].T)
-            same, equal = np.zeros((x.stop - x.start, y.stop - y.start), np.uint8), np.empty((x.stop - x.start, y.stop - y.start), bool)
-            for column, other in zip(columns, others, strict=True):
-                np.equal(column[:, None], other[None, :], out=equal)
-                same += equal.view(np.uint8)
-            a, b = np.nonzero((same >= least * VALUES) & (labels[x][:, None] != labels[y][None, :]))
-            a, b = ids[x][a], ids[y][b]
-            yield np.minimum(a, b), np.maximum(a, b)
-
-
-def candidates(members: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b, distinct. ``members``: region, block, id, sig and, in a second pass, label:
-    then only pairs of different labels are given. With side (cells), all such pairs are.
-
-    Most regions hold two or three classes, so regions aren't groups of their own: rows are dealt and
-    sorted by region, and each task goes through its regions one after another, one in memory.
-    """
-    more = [c for c in ("label", "side") if c in members.columns]
-    columns = ["region", "block", "id", "sig", *more]
+    size = np.array([len(x) for x in sets])
+    shared = shared_counts(sets)
+    link = 100 * shared >= similarity * (size[:, None] + size[None, :] - shared)
+    out, todo = [], np.ones(n, bool)
+    for start in range(n):
+        if not todo[start]:
+            continue
+        todo[start], queue = False, [start]
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(link[i] & todo)
+            todo[new] = False
+            queue += new.tolist()
+            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in new.tolist() if ids[i] != ids[j]]
+    return out
+
+
+def linked_across(ids: list[int], sets: list[np.ndarray], labels: list[int], half: int, similarity: int) -> list[tuple[int, int]]:
+    """Links between the first ``half`` sets and the others that join what the labels leave apart: enough of them to tie
+    all that such links tie."""
+    size = np.array([len(x) for x in sets])
+    shared = shared_counts(sets, half)
+    label = np.array(labels)
+    link = (100 * shared >= similarity * (size[:half, None] + size[None, half:] - shared)) & (label[:half, None] != label[None, half:])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for i in np.flatnonzero(link.any(axis=1)).tolist():
+        at = half + np.flatnonzero(link[i])
+        for j in at[np.unique(label[at], return_index=True)[1]].tolist():
+            x, y = find(labels[i]), find(labels[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def confirm(placed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): the links within each block of each family. ``placed``: family, block, id."""
+    rows = placed.join(sets.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i")).select("family", "block", "id", "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, ids, found in _in_turn(batches, 2):
+            if len(ids) > 1:
+                yield _edges(linked(ids, found, similarity))
+
+    return _dealt(rows, ["family", "block"], ["id"]).mapInArrow(run, "a long, b long").distinct()
+
 
-    def work(ids, sigs, labels=None, sides=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        return iter([_of_region(ids, sigs, labels, least)]) if sides is None else _of_cell(ids, sigs, labels, sides, least)
+def confirm_across(met: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): links between the sides of each cell. ``met``: family, cell, side (0 or 1), label, id."""
+    rows = met.join(sets.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i")).select("family", "cell", "side", "label", "id", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in chain(batches, [None]):
-            if batch is not None and not batch.num_rows:
-                continue
-            now = held
-            if batch is not None:
-                sigs = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, VALUES)
-                new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), sigs, *(batch.column(4 + k).to_numpy() for k in range(len(more)))]
-                now = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if now is None:
-                continue
-            edges = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
-            cuts = [0, *edges.tolist(), *([len(now[0])] if batch is None else [])]
-            held = None if batch is None else [x[cuts[-1] :] for x in now]  # the last region may go on
-            found, n_found = [], 0
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                for pairs in work(*(c[x:y] for c in now[2:])) if y - x > 1 else ():
-                    found.append(pairs)
-                    n_found += len(pairs[0])
-                    if n_found > TILE * TILE:
-                        yield _pairs(found)
-                        found, n_found = [], 0
-            if found:
-                yield _pairs(found)
-
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select(*columns).repartition(n, "region", "block").sortWithinPartitions("region", "block", *reversed(more if "side" in more else []), "id", "sig")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
-
-
-def ends(pairs: DataFrame) -> DataFrame:
-    """(id): every id that the pairs name."""
-    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(a, b, linked): whether 100 * shared >= similarity * union, on full sets, in SQL functions. An id
-    with several sets is linked if one of them is."""
-    left = sets.select(F.col("id").alias("_a"), F.col("found").alias("_x"))
-    right = sets.select(F.col("id").alias("_b"), F.col("found").alias("_y"))
-    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-    shared = F.size(F.array_intersect("_x", "_y"))
-    linked = both.select("a", "b", (100 * shared >= similarity * (F.size("_x") + F.size("_y") - shared)).alias("linked"))
-    return linked.groupBy("a", "b").agg(F.max("linked").alias("linked"))
+        for _, _, side, labels, ids, found in _in_turn(batches, 2):
+            half = side.count(0)
+            if 0 < half < len(side):
+                yield _edges(linked_across(ids, found, labels, half, similarity))
+
+    return _dealt(rows, ["family", "cell"], ["side", "id"]).mapInArrow(run, "a long, b long").distinct()
+
+
+def rest_of_families(large: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(family, cell, side, label, id): who is still to meet whom; None if nobody. ``large``: family, id, sides (how many
+    blocks of SIDE the family makes), of families that had more than one block. All but a family's largest component
+    (side 0) meet all of it (side 1)."""
+    now = large.join(labels.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("family", "id", "sides", F.coalesce("label", "id").alias("label"))
+    now = cut(now, "large")
+    parts = now.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("major"), (F.sum("n") - F.max("n")).alias("minors"), F.sum("n").alias("all")).filter("minors > 0")
+    if not (parts := cut(parts, "parts")).limit(1).count():
+        return None
+    share = F.ceil(F.col("sides") * F.col("minors") / F.col("all")).cast("int")
+    rows = now.join(parts.withColumnRenamed("family", "_f"), F.col("family") == F.col("_f")).withColumn("few", share)
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit("side")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = rows.filter("label <> major").select("family", own("few").alias("p"), every("sides").alias("q"), F.lit(0).alias("side"), "label", "id", "sides")
+    whole = rows.select("family", every("few").alias("p"), own("sides").alias("q"), F.lit(1).alias("side"), "label", "id", "sides")
+    return minor.unionByName(whole).select("family", (F.col("p").cast("long") * F.col("sides") + F.col("q")).alias("cell"), "side", "label", "id")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -392,48 +412,38 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows has id, n_shingles, component_id (null id: null) for each row of ``docs``;
-    links (a, b) are confirmed links between class representatives."""
-    least = similarity / 100 - SLACK
+    links (a, b) are confirmed links between class representatives that make the components."""
     rows = cut(shingled(docs, width, key, text), "shingled")
     whole = rows.filter("id is not null and code is not null")
-    classes = cut(whole.groupBy("code").agg(F.min("id").alias("id"), F.min("sig").alias("sig")), "classes")
-    keys = _shared(tree_keys(classes, DEPTHS[:1]), "k0")
-    member = cut(regions(classes, keys), "regions")
-    sigs = classes.select(F.col("id").alias("_i"), "sig")
-    first = cut(candidates(member.join(sigs, F.col("id") == F.col("_i")).select("region", "block", "id", "sig"), least), "candidates")
-    sets = cut(full_sets(docs, width, ends(first), key, text), "sets")
-    checked = cut(confirm(first, sets, similarity), "confirmed")
-    links = checked.filter("linked").select("a", "b")
-    ties = whole.join(classes.select(F.col("code").alias("_c"), F.col("id").alias("rep")), F.col("code") == F.col("_c")).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    labels = components(links)
-    # second pass: likely pairs across components
-    apart = member.join(sigs, F.col("id") == F.col("_i")).join(labels.select(F.col("id").alias("_l"), "label"), F.col("id") == F.col("_l"), "left")
-    apart = apart.select("region", "block", "id", "sig", F.coalesce("label", "id").alias("label"))
-    more = candidates(apart, least).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(more, "candidates")
-    # whoever has a likely partner was in a pair of the first pass, so its set is there
-    again = cut(confirm(more, asked(sets, id_map(ends(more))), similarity), "confirmed")
-    links = links.unionByName(again.filter("linked").select("a", "b"))
-    # last pass: every likely pair of a crowded region that is still apart
-    last = cells(keys, classes, components(links.unionByName(ties)))
-    more = candidates(last, least).join(checked.unionByName(again).select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(more, "candidates")
-    fresh = ends(more).join(ends(first), "id", "left_anti")
-    if fresh.limit(1).count():  # blocks may have kept an id from all its partners until now
-        sets = sets.unionByName(cut(full_sets(docs, width, fresh, key, text), "sets"))
-    parts = -(-more.count() // SLICE)
-    for k in range(parts):
-        part = more.filter(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k)
-        if k:
-            near = components(links.unionByName(ties))
-            for end in ("a", "b"):
-                part = part.join(near.select(F.col("id").alias(f"_{end}"), F.col("label").alias(f"_l{end}")), F.col(end) == F.col(f"_{end}"), "left")
-            part = cut(part.filter("coalesce(_la, a) <> coalesce(_lb, b)").select("a", "b"), "candidates")
-        again = cut(confirm(part, asked(sets, id_map(ends(part))), similarity), "confirmed")
-        links = links.unionByName(again.filter("linked").select("a", "b"))
+    classes = cut(whole.groupBy("code").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
+    # documents of one id but several texts hold their classes together
+    several = whole.groupBy("id").agg(F.min(F.xxhash64("code")).alias("lo"), F.max(F.xxhash64("code")).alias("hi")).filter("lo <> hi").select(F.col("id").alias("_d"))
+    reps = whole.join(several, F.col("id") == F.col("_d")).join(classes.select(F.col("code").alias("_c"), F.col("id").alias("rep")), F.col("code") == F.col("_c"))
+    ties = cut(reps.select(F.col("rep").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct(), "ties")
+
+    member, crowded = regions(classes)
+    edges = likely(member, classes, similarity / 100 - SLACK)
+    families = components(edges if crowded is None else edges.unionByName(crowded))
+    sized = families.join(classes.groupBy(F.col("id").alias("_i")).agg(F.sum("n").alias("n")), F.col("id") == F.col("_i")).select(F.col("label").alias("family"), "id", "n")
+    sized = cut(sized, "families")
+    blocks = lambda most: F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("n") / ELEMENTS)).cast("int")
+    sizes = cut(sized.groupBy("family").agg(F.count(F.lit(1)).alias("size"), blocks(BLOCK).alias("blocks"), blocks(SIDE).alias("sides")), "sizes")
+    member = sized.join(sizes.withColumnRenamed("family", "_f"), F.col("family") == F.col("_f"))
+    own = F.array(F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
+    anchor = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit("anchor")), F.col("size")) < ANCHORS)
+    dealt = F.when(anchor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
+    sets = cut(full_sets(docs, width, families.select("id"), key, text).join(families.select(F.col("id").alias("_i")), F.col("id") == F.col("_i"), "left_semi"), "sets")
+    links = cut(confirm(member.select("family", F.explode(dealt).alias("block"), "id"), sets, similarity), "links")
     labels = components(links.unionByName(ties))
-    out = rows.join(labels.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
-    return out, links
+    rest = rest_of_families(member.filter("blocks > 1").select("family", "id", "sides"), labels)
+    if rest is not None:
+        links = links.unionByName(cut(confirm_across(rest, sets, similarity), "links"))
+        labels = components(links.unionByName(ties))
+    # only classes of several documents or with links say anything that a row doesn't know itself
+    said = classes.join(labels.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").filter("copies > 1 or label is not null")
+    said = cut(said.select(F.col("code").alias("_c"), F.coalesce("label", "id").alias("label")), "classes")
+    out = rows.select("id", "n", "code").join(said, F.col("code") == F.col("_c"), "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component_id")), links
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,23 @@ def test_no_match_escapes_its_trigrams(rule):
             assert query is None or any(all(g in low for g in need) for need in query)
 
 
+def test_postings_are_those_of_every_row(spark):
+    source = docs(spark, [*TEXTS, *SECRETS])
+    grams = S.asked(S.plans())
+    want = sorted((g, r["doc_id"] or 0) for r in source.collect() for g in grams if g in (r["text"] or "").lower())
+    assert sorted((r["gram"], r["key"] or 0) for r in S.postings(source).collect()) == want
+
+
+def test_nothing_is_dealt_out_and_no_column_is_lost(spark):
+    source = docs(spark, SECRETS)
+    for c in ("_found", "_secret_low", "_secret_text", "_secret_held", "_id"):
+        source = source.withColumn(c, F.lit("clash"))
+    for got in (S.redact(source), S.scan(source, out="spans")):
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert set(source.columns) <= set(got.columns)
+        assert all(r["_found"] == r["_secret_low"] == r["found"] == "clash" for r in got.collect())
+
+
 def test_redaction(spark):
     source = docs(spark, [*TEXTS, *SECRETS])
     before = {(r["doc_id"], r["text"]) for r in source.collect()}

@@ -1,18 +1,19 @@
 r"""Secret scans by a trigram inverted index, in DataFrame and SQL functions only.
 
 From each rule's regular expression a Boolean trigram query is derived: a disjunction of
-conjunctions of trigrams that every match must contain. The index holds postings (trigram,
-document) for the trigrams that the rules ask for. Postings are intersected per document: a rule's
-candidates are the documents that satisfy its query. Only candidates are verified with the
-expression; a rule without a mandatory trigram scans every document.
+conjunctions of trigrams that every match must contain. The index holds postings for the trigrams that
+the rules ask for, a few dozen, so it is kept where its documents are: each row has the list of the trigrams that
+post it. A rule intersects these postings by its query; the documents that satisfy it are the rule's
+candidates, and only they are verified with the expression. A rule without a mandatory trigram scans
+every document. Nothing is shuffled, and rows need no id. ``postings`` gives the same index by trigram.
 
 Spans are code point offsets into the text, end exclusive. Places come from splitting at the
 expression: the pieces before a match and the matches before it add up to its start.
 
 Edge cases: a null text is empty; matches are leftmost and do not overlap within a rule; a match
-whose secret is too short is dropped but its characters stay consumed; documents that share an id
-share postings, which only adds candidates, never spans; null ids have no postings, and every rule
-scans their texts; repeated rows give repeated rows.
+whose secret is too short is dropped but its characters stay consumed; null and repeated ids are
+scanned like any others; repeated rows give repeated rows; an empty table gives no rows; other columns are
+kept, whatever their names (``scan`` replaces one that is named like its result).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import cut, table
+from thalweg.llm.common import spare, table
 
 
 @dataclass(frozen=True)
@@ -116,28 +117,31 @@ def plans(rules: tuple[Rule, ...] = RULES) -> dict[str, list[frozenset[str]] | N
     return {r.kind: trigram_query(r.regex) for r in rules}
 
 
-def postings(docs: DataFrame, grams: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index of the asked trigrams: (gram, key), distinct within a row."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    held = docs.select(F.col(key).alias("key"), low.alias("_low"))
-    held = held.select("key", F.explode(F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
-    return held.select("gram", "key")
+def posted(low: Column, grams: list[str]) -> Column:
+    """The asked trigrams that post a text, given in lower case."""
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
 
 
-def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]] | None]) -> DataFrame:
-    """(key, kinds): the rules whose trigram query the document's postings satisfy."""
-    grams = index.groupBy("key").agg(F.collect_set("gram").alias("grams"))
-    found = []
-    for kind, query in queries.items():
-        if query is not None:
-            some = F.lit(False)
-            for need in query:
-                every = F.lit(True)
-                for g in sorted(need):
-                    every = every & F.array_contains("grams", g)
-                some = some | every
-            found.append(F.when(some, F.lit(kind)))
-    return grams.select("key", F.array_compact(F.array(*found)).alias("kinds")).filter(F.size("kinds") > 0)
+def asked(queries: dict[str, list[frozenset[str]] | None]) -> list[str]:
+    """The trigrams that any query needs."""
+    return sorted({g for q in queries.values() if q for need in q for g in need})
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The inverted index by trigram: (gram, key), once for each row that the trigram posts."""
+    held = posted(F.lower(F.coalesce(F.col(text), F.lit(""))), asked(plans(rules)))
+    return docs.select(F.explode(held).alias("gram"), F.col(key).alias("key"))
+
+
+def candidate(held: str, query: list[frozenset[str]]) -> Column:
+    """Whether the postings in column ``held`` satisfy a trigram query."""
+    some = F.lit(False)
+    for need in query:
+        every = F.lit(True)
+        for g in sorted(need):
+            every = every & F.array_contains(held, g)
+        some = some | every
+    return some
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -157,30 +161,23 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.aggregate(rows, zero, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", out: str = "found") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "found") -> DataFrame:
     """All columns of ``docs`` and ``out``: array<struct<start, no, end, kind>> sorted by start,
-    then by the order of the rules.
-
-    The text is read twice and moves once, to meet its candidate rules; the join hashes the small
-    side, so texts are never sorted.
-    """
+    then by the order of the rules. Rows are scanned where they are."""
     queries = plans(rules)
-    grams = sorted({g for q in queries.values() if q for need in q for g in need})
-    index = postings(docs, grams, key, text)
-    kinds = candidates(index, queries)
-    joined = docs.join(kinds.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds")).hint("shuffle_hash"), F.col(key) == F.col("_key"), "left")
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole, low, held = (spare(docs, f"_secret_{c}") for c in ("text", "low", "held"))
+    rows = docs.withColumn(whole, F.coalesce(F.col(text), F.lit(""))).withColumn(low, F.lower(whole)).withColumn(held, posted(F.col(low), asked(queries)))
     parts = []
     for no, rule in enumerate(rules):
-        named = _named(spans_of(whole, rule), no, rule.kind)
+        named = _named(spans_of(F.col(whole), rule), no, rule.kind)
         empty = F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>")
         if queries[rule.kind] is None:
             # the scan's own quick test: a match of the least length exists
-            test = whole.rlike(f"(?:{rule.regex})" if not _run_class(rule) else f"{_run_class(rule)}{{{rule.least}}}")
+            test = F.col(whole).rlike(f"(?:{rule.regex})" if not _run_class(rule) else f"{_run_class(rule)}{{{rule.least}}}")
         else:
-            test = F.col(key).isNull() | F.array_contains("_kinds", rule.kind)
+            test = candidate(held, queries[rule.kind])
         parts.append(F.when(test, named).otherwise(empty))
-    return joined.withColumn(out, F.sort_array(F.concat(*parts))).drop("_key", "_kinds")
+    return rows.withColumn(out, F.sort_array(F.concat(*parts))).drop(whole, low, held)
 
 
 def _named(spans: Column, no: int, kind: str) -> Column:
@@ -197,9 +194,10 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans are replaced as one."""
-    found = scan(docs, rules, key, text, "_found")
+    own = spare(docs, "_found")
+    found = scan(docs, rules, text, own)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -208,8 +206,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id"
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)) - acc["at"]))
-    clean = F.when(F.size("_found") > 0, F.aggregate("_found", zero, step, rest)).otherwise(F.col(text))
-    return found.withColumn(text, clean).drop("_found")
+    clean = F.when(F.size(own) > 0, F.aggregate(own, zero, step, rest)).otherwise(F.col(text))
+    return found.withColumn(text, clean).drop(own)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

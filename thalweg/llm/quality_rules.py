@@ -1,13 +1,14 @@
 r"""Quality rules with risk-controlled thresholds, in DataFrame and SQL functions only.
 
 A rule rejects a document when a share (of signs, capitals, repeated words, ...) is above its
-cutoff. Cutoffs come from the labelled good documents as a holdout: for each stratum (language),
-rule and candidate cutoff, the exact binomial tail P(Bin(n, ALPHA) <= rejected good documents) is
-the p-value of "this cutoff falsely rejects more than ALPHA". A cutoff is certified if its p-value
-is at most DELTA divided by the number of all tests (Bonferroni), so that with confidence
-1 - DELTA no certified cutoff anywhere exceeds ALPHA. Of the certified ones the rule takes the one
-that rejects most bad documents less what it costs in good ones; none certified means the rule is
-off in that stratum.
+cutoff. Labelled documents are split in two by a hash of their id. The first half chooses: for each
+stratum (language) and rule the cutoff that rejects most bad documents less what it costs in good ones,
+and the order of the rules by that gain. The good documents of the second half are the holdout that
+certifies: for each stratum and each number j of leading rules, the exact binomial tail P(Bin(n, ALPHA) <= good
+documents that any of the j rules rejects) is the p-value of "these rules together falsely reject more
+than ALPHA". It must be at most DELTA divided by the number of all such tests in all strata (Bonferroni), so
+that with confidence 1 - DELTA no stratum loses more than ALPHA of its good documents to all its rules. The
+largest certified j is taken; none certified means no rule is on in that stratum.
 
 Edge cases: a null or empty text has no words and fails the base rule; a text of one or two words
 has no 3-word window; a null language is a stratum of its own; strata without enough labels have
@@ -23,9 +24,9 @@ from pyspark.sql.window import Window
 
 from thalweg.llm.common import WORD, cut, table
 
-#: Most good documents, as a share of a stratum, that one rule may reject.
+#: Most good documents, as a share of a stratum, that its rules may reject together.
 ALPHA = 0.01
-#: Chance that any certified cutoff exceeds ALPHA, over all tests together.
+#: Chance that the certified rules of any stratum exceed ALPHA, over all tests together.
 DELTA = 0.05
 #: What one falsely rejected good document weighs against one rejected bad one.
 COST = 2
@@ -96,27 +97,41 @@ def tail(n: str, k: str, alpha: float) -> str:
     return f"case when {k} > {n} * {alpha}D then 1D else {point} * {sums} end"
 
 
+def _value(rule: str) -> str:
+    return f"cast({RULES[rule][0]} as long)"
+
+
+def chosen(held: DataFrame, cost: float) -> DataFrame:
+    """(stratum, cutoffs, ranks): what each rule gains most by and its place among the rules that gain anything, as
+    maps by rule. ``held``: stratum, _good and the counts of the documents that choose."""
+    counts = held.groupBy("stratum").agg(*[F.count_if((F.col("_good") == g) & (F.expr(_value(r)) > c)).alias(f"{r}:{c}:{g}") for r, (_, cs) in RULES.items() for c in cs for g in (0, 1)])
+    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), (F.col(f"{r}:{c}:0") - cost * F.col(f"{r}:{c}:1")).alias("gain")) for r, (_, cs) in RULES.items() for c in cs])
+    tested = counts.select("stratum", F.explode(tests).alias("t")).select("stratum", "t.*").filter("gain > 0")
+    best = tested.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("b")).select("stratum", "rule", "b.*")
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("gain"), "rule")))
+    pairs = lambda v: F.map_from_entries(F.collect_list(F.struct("rule", v)))
+    return best.groupBy("stratum").agg(pairs("cutoff").alias("cutoffs"), pairs("rank").alias("ranks"))
+
+
 def certify(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA, cost: float = COST) -> DataFrame:
-    """One row for each stratum: stratum and a map from rule to its certified cutoff.
+    """One row for each stratum with certified rules: stratum and a map from rule to its cutoff.
 
     ``labels``: doc_id and quality. All labelled documents that pass the base rule count.
     """
     marks = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_good"))
     held = measured.filter(~base_failed()).join(marks, F.col("doc_id") == F.col("_id")).filter("_good is not null")
-    grid = ", ".join(f"struct('{r}' as rule, {v} as value, {c} as cutoff)" for r, (v, cs) in RULES.items() for c in cs)
-    rules = ", ".join(f"'{r}', cast({v} as long)" for r, (v, _) in RULES.items())
-    held = held.select(F.col(stratum).alias("stratum"), "_good", F.expr(f"map({rules})").alias("values"))
-    counts = held.groupBy("stratum").agg(
-        F.count_if(F.col("_good") == 1).alias("n"),
-        *[F.count_if((F.col("_good") == g) & (F.col("values")[r] > c)).alias(f"{r}:{c}:{g}") for r, (_, cs) in RULES.items() for c in cs for g in (0, 1)],
-    )
-    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}:{c}:1").alias("k"), F.col(f"{r}:{c}:0").alias("bad")) for r, (_, cs) in RULES.items() for c in cs])
-    tests_per = sum(len(cs) for _, cs in RULES.values())
-    strata = F.count(F.lit(1)).over(Window.partitionBy())
-    tested = counts.select("stratum", "n", (strata * tests_per).alias("m"), F.explode(tests).alias("t")).select("stratum", "n", "m", "t.*")
-    ok = tested.withColumn("p", F.expr(tail("n", "k", alpha))).filter(f"p <= {delta}D / m and bad > {cost} * k")
-    best = ok.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(F.col("bad") - cost * F.col("k"), "cutoff")).alias("cutoff"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    held = held.withColumn("stratum", F.col(stratum)).withColumn("_first", F.md5(F.col("doc_id").cast("string")) < "8")
+    rules = chosen(held.filter("_first"), cost).withColumnRenamed("stratum", "_s")
+    good = held.filter("not _first and _good = 1").join(rules, F.col("stratum").eqNullSafe(F.col("_s")))
+    broken = F.array_min(F.array(*[F.when(F.expr(_value(r)) > F.col("cutoffs")[r], F.col("ranks")[r]) for r in RULES]))
+    n = len(RULES)
+    counts = good.withColumn("_rank", F.coalesce(broken, F.lit(n + 1))).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("_rank") <= j).alias(f"k{j}") for j in range(1, n + 1)])
+    tested = counts.join(rules, F.col("stratum").eqNullSafe(F.col("_s"))).withColumn("m", F.sum(F.size("ranks")).over(Window.partitionBy()))
+    tests = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"k{j}").alias("k")) for j in range(1, n + 1)])
+    tested = tested.select("stratum", "n", "m", "cutoffs", "ranks", F.explode(tests).alias("t")).select("*", "t.j", "t.k").filter("j <= size(ranks)")
+    ok = tested.withColumn("p", F.expr(tail("n", "k", alpha))).filter(f"p <= {delta}D / m")
+    most = ok.groupBy(F.col("stratum").alias("_t")).agg(F.max("j").alias("most"))
+    return most.join(rules, F.col("_t").eqNullSafe(F.col("_s"))).select(F.col("_t").alias("stratum"), F.map_filter("cutoffs", lambda r, c: F.col("ranks")[r] <= F.col("most")).alias("cutoffs"))
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
@@ -155,16 +170,23 @@ b AS (
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 m AS (SELECT doc_id, min(quality) AS good FROM labels GROUP BY doc_id),
 rules(rule, cutoff) AS (VALUES {grid}),
-h AS (SELECT f.*, good FROM f JOIN m USING (doc_id) WHERE NOT base_failed AND good IS NOT NULL),
-k AS (
-  SELECT lang, rule, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND {pick} > cutoff) AS k, count(*) FILTER (good = 0 AND {pick} > cutoff) AS bad
-  FROM h, rules GROUP BY lang, rule, cutoff
+h AS (SELECT f.*, good, md5(doc_id::VARCHAR) < '8' AS first FROM f JOIN m USING (doc_id) WHERE NOT base_failed AND good IS NOT NULL),
+c1 AS (
+  SELECT lang, rule, cutoff, count(*) FILTER (good = 0 AND {pick} > cutoff) - {COST} * count(*) FILTER (good = 1 AND {pick} > cutoff) AS gain
+  FROM h, rules WHERE first GROUP BY lang, rule, cutoff
+), c2 AS (
+  SELECT lang, rule, max(gain) AS gain, arg_max(cutoff, gain * 1000000 + cutoff) AS cutoff FROM c1 WHERE gain > 0 GROUP BY lang, rule
+), c3 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY gain DESC, rule) AS rank FROM c2),
+g2 AS (
+  SELECT h.row, h.lang, coalesce(min(c3.rank) FILTER ({pick} > cutoff), 99) AS broken FROM h JOIN c3 ON h.lang IS NOT DISTINCT FROM c3.lang WHERE NOT first AND good = 1 GROUP BY h.row, h.lang
+), k AS (
+  SELECT c3.lang, c3.rank AS j, count(*) AS n, count(*) FILTER (broken <= c3.rank) AS k FROM c3 JOIN g2 ON c3.lang IS NOT DISTINCT FROM g2.lang GROUP BY c3.lang, c3.rank
 ), p AS (
   SELECT *, CASE WHEN k > n * {ALPHA}::DOUBLE THEN 1 ELSE list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}::DOUBLE) + (n - i) * ln({1 - ALPHA}::DOUBLE)) FOR i IN range(0, k + 1)]) END AS p,
     count(*) OVER () AS tests FROM k
-), best AS (
-  SELECT lang, rule, arg_max(cutoff, (bad - {COST} * k) * 1000000 + cutoff) AS cutoff FROM p WHERE p <= {DELTA}::DOUBLE / tests AND bad > {COST} * k GROUP BY lang, rule
-), v AS (
+), most AS (SELECT lang, max(j) AS j FROM p WHERE p <= {DELTA}::DOUBLE / tests GROUP BY lang),
+best AS (SELECT c3.lang, rule, cutoff FROM c3 JOIN most ON c3.lang IS NOT DISTINCT FROM most.lang WHERE rank <= j),
+v AS (
   SELECT row, string_agg(rule, ',' ORDER BY array_position([{', '.join(f"'{r}'" for r in RULES)}], rule)) AS failed FROM f JOIN best ON f.lang IS NOT DISTINCT FROM best.lang WHERE {pick} > cutoff GROUP BY row
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed_rules

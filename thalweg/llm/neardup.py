@@ -45,9 +45,11 @@ STEP, DEPTHS = VALUES // TREES, (3, 4)
 #: Classes that a region may hold before it is divided.
 REGION = 512
 #: Classes of a block of a family, anchors of a family in all its blocks, and shingles of a block.
-BLOCK, ANCHORS, ELEMENTS = 128, 32, 2_000_000
+BLOCK, ANCHORS, ELEMENTS = 128, 32, 1_000_000
 #: Classes of a side where blocks of one family meet, and columns of a membership matrix at once.
 SIDE, COLUMNS = 1024, 8192
+#: Words that a task remembers, and bytes of texts that it takes at once.
+KNOWN, TAKEN = 150_000, 4_000_000
 #: Bits of the map that tells which ids are asked for; a power of two.
 ID_BITS = 1 << 25
 #: How much lower than the threshold an estimate may be: four and a half standard deviations of 128 values.
@@ -70,7 +72,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 600_000:
+        if len(known) > KNOWN:
             known.clear()
         try:
             h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -111,7 +113,7 @@ def shingled(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for b in slices(batches):
+        for b in slices(batches, TAKEN):
             n, code, sig = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingler.of(t)
@@ -146,7 +148,7 @@ def full_sets(docs: DataFrame, width: int, wanted: DataFrame, key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for whole in batches:
-            for b in slices([whole.filter(pa.array(_hit(shared.value, whole.column(2))))]):
+            for b in slices([whole.filter(pa.array(_hit(shared.value, whole.column(2))))], TAKEN):
                 found = [shingler.of(t).view(np.int64) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "found"])
 

@@ -28,12 +28,12 @@ def folded(values, *more) -> int:
 
 def slots(text: str, lexicon: set) -> list:
     own = {term(w) for w in words(text.lower())}
-    kept = sorted(t for t in own if t % I.LEXICON_BITS in lexicon) or sorted(own)
+    kept = sorted(own & lexicon) or sorted(own)
     out = []
     for level, cover in enumerate(I.COVER):
         for s in range(I.SUBSETS):
             some = [t for t in kept if (t >> 20) % cover == s]
-            out.append(folded(some, level, I.SEED) if some else None)
+            out.append(folded(some, level, I.SEED) & 0x7FFFFFFF if some else None)
     return out
 
 
@@ -42,7 +42,7 @@ def brute(rows):
     rows = sorted((i, t or "") for i, t in rows)
     seen = Counter(t for _, x in rows for t in {term(w) for w in words(x.lower())})
     n = len(rows)
-    lexicon = {t % I.LEXICON_BITS for t, k in seen.items() if max(2, I.LOW * n) <= k <= max(2, I.HIGH * n)}
+    lexicon = {t for t, k in seen.items() if max(2, I.LOW * n) <= k <= max(2, I.HIGH * n)}
     out = {}
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % n][1]
@@ -56,14 +56,16 @@ def like(a, b) -> float:
     if all(x is None for x in (*a, *b)):
         return 1.0
     best = 0.0
-    for at in range(0, len(a), I.SUBSETS):
+    for level in range(len(I.COVER)):
+        at = level * I.SUBSETS
         pairs = [(x, y) for x, y in zip(a[at : at + I.SUBSETS], b[at : at + I.SUBSETS], strict=True) if x is not None or y is not None]
-        best = max(best, sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0)
+        if not level or len(pairs) >= I.SUBSETS * I.FILLED:
+            best = sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
     return best
 
 
 def text_of(s) -> str:
-    return "-".join("" if x is None else f"{x & (1 << 64) - 1:X}" for x in s)
+    return "-".join("" if x is None else f"{x:08X}" for x in s)
 
 
 def test_the_query_over_all_documents(spark):
@@ -82,6 +84,28 @@ def test_edits_are_nearer_than_strangers(spark):
     assert got[0] > 0.9 and got[1] > got[2] + 0.2
 
 
+def test_likeness_follows_the_shared_terms(spark):
+    """No neighbour that shares few of the terms looks like a copy, and no edit like a stranger."""
+    docs_ = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    order = sorted(docs_)
+    terms = {k: {w for w in words(t.lower())} for k, t in docs_.items()}
+    rows = I.op7_imatch(spark, "/root/testdata/sf0.01").collect()
+    for r in rows:
+        k = r["doc_id"]
+        near = terms[order[(order.index(k) + 1) % len(order)]]
+        if len(terms[k]) >= 20 and len(near) >= 20 and len(terms[k] & near) < 0.1 * len(terms[k] | near):
+            assert r["near_next"] < 0.5
+    edits = [r["near_edited"] for r in rows if len(terms[r["doc_id"]]) >= 40]
+    assert sum(x > 0.3 for x in edits) > 0.9 * len(edits)
+
+
+def test_membership_is_exact(spark):
+    found = [k * 32768 + j for k in range(-5, 40, 3) for j in (0, 1, 777, 32767)]
+    df = spark.createDataFrame([(t,) for f in found for t in (f, f + 1, f + 32768, -f)], "t long")
+    for some in (found, [], found[:1]):
+        assert all(r["hit"] == (r["t"] in set(some)) for r in df.select("t", I.held_by(some)(F.col("t")).alias("hit")).collect())
+
+
 def test_rows_of_every_kind(spark, tmp_path):
     source = docs(spark)
     rows = I.op7_imatch(spark, write(spark, tmp_path / "a", documents=source)).collect()

@@ -5,11 +5,12 @@ document frequency lies in a band. A document keeps its distinct lexicon terms,
 random subsets of the lexicon each leave some of them, and each subset's list is hashed to one
 slot of the fingerprint. Subsets come in levels, from parts of the whole lexicon down to thin
 samples of it, so that short and long documents both have slots that a partial edit leaves alone.
-The likeness of two fingerprints is the best level's share of equal slots.
+The likeness of two fingerprints is the share of equal slots among those that either fills, on one level: the
+thinnest on which at least FILLED of the slots are filled. How many are equal has no say in the choice.
 
-The lexicon is bounded: a term of the band stands in at least LOW of all documents, so there are
-at most (mean distinct terms of a document) / LOW such terms. It is carried as a bit map of
-LEXICON_BITS hash values; two terms that share a value are in or out together.
+The lexicon is an exact set of terms and bounded: a term of the band stands in at least LOW of all
+documents, so there are at most (mean distinct terms of a document) / LOW such terms. It is carried as one
+sorted list in buckets of its hash.
 
 Edge cases: a null text is empty; a text without lexicon terms takes all its terms instead; a text
 without words has empty slots only, and two such texts have likeness 1; documents with equal ids
@@ -19,6 +20,9 @@ returned; a null id comes first; in a table of one id the next document is itsel
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +30,13 @@ from thalweg.llm.common import WORD, cut, successors, table
 
 #: The band: shares of documents in which a lexicon term stands.
 LOW, HIGH = 0.0005, 0.15
-#: Hash values of the lexicon's bit map; a power of two.
-LEXICON_BITS = 1 << 20
+#: Buckets of the lexicon; a power of two.
+BUCKETS = 1 << 15
 #: Subsets of a level, and how many of them would cover the lexicon, by level.
-SUBSETS = 8
-COVER = (8, 32, 128, 512)
+SUBSETS = 64
+COVER = (64, 256, 1024)
+#: Share of a level's slots that must be filled for the level to count.
+FILLED = 1 / 4
 #: Part of every slot's hash.
 SEED = 11
 #: Stands for a null id; comes before all others in the order.
@@ -44,20 +50,29 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text") -> list[int]:
-    """The bit map (64 values a number) of the terms in the band, over all documents.
-
-    Terms are counted with partial sums before the shuffle; what is gathered is one number for
-    each of LEXICON_BITS / 64 words of the map at most.
-    """
+    """The terms in the band, over all documents, as hashes. Terms are counted with partial sums before the shuffle."""
     held = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
     n = docs.count()
     counts = held.groupBy("term").count().filter(F.col("count").between(max(2, LOW * n), max(2, HIGH * n)))
-    at = counts.select(F.pmod("term", F.lit(LEXICON_BITS)).alias("at"))
-    words = at.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    out = [0] * (LEXICON_BITS // 64)
-    for word, bits in words.collect():
-        out[word] = bits
-    return out
+    return counts.select("term").toArrow().column("term").to_pylist()
+
+
+def held_by(found: list[int]) -> Callable[[Column], Column]:
+    """A test of membership in a set of hashes, for columns: the set in the order of its buckets, and where each starts;
+    both are folded to literals."""
+    bucket = np.array(found, np.int64) & (BUCKETS - 1)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    literal = lambda x, kind: F.split(F.lit(",".join(map(str, x))), ",").cast(f"array<{kind}>")
+    if not found:
+        return lambda t: F.lit(False)
+    members, starts = literal(np.array(found, np.int64)[order].tolist(), "bigint"), literal(edges.tolist(), "int")
+
+    def test(t: Column) -> Column:
+        at = t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+        return F.array_contains(F.slice(members, F.get(starts, at) + 1, F.get(starts, at + 1) - F.get(starts, at)), t)
+
+    return test
 
 
 def slots_sql(kept: str) -> str:
@@ -67,14 +82,14 @@ def slots_sql(kept: str) -> str:
     for level, cover in enumerate(COVER):
         for s in range(SUBSETS):
             own = f"filter({kept}_{level}, t -> pmod(shiftright(t, 20), {cover}) = {s})"
-            parts.append(f"nullif(xxhash64({own}, {level}, {SEED}), xxhash64(cast(array() as array<bigint>), {level}, {SEED}))")
+            parts.append(f"cast(nullif(xxhash64({own}, {level}, {SEED}), xxhash64(cast(array() as array<bigint>), {level}, {SEED})) & 2147483647L as int)")
     return "array(" + ", ".join(parts) + ")"
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, bits: Column) -> DataFrame:
-    """Add ``out``: array<long>, the slots of the column ``text``; ``bits`` is the lexicon's map."""
+def with_fingerprint(df: DataFrame, text: str, out: str, known: Callable[[Column], Column]) -> DataFrame:
+    """Add ``out``: array<int>, the slots of the column ``text``; ``known`` tests for the lexicon."""
     df = df.withColumn("_terms", terms(F.coalesce(F.col(text), F.lit(""))))
-    inside = F.filter("_terms", lambda t: F.bit_get(F.get(bits, F.floor(F.pmod(t, F.lit(LEXICON_BITS)) / 64).cast("int")), F.pmod(t, F.lit(64)).cast("int")) == 1)
+    inside = F.filter("_terms", known)
     df = df.withColumn("_in", inside)
     df = df.withColumn("_k_0", F.sort_array(F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_terms"))))
     for level in range(1, len(COVER)):
@@ -83,21 +98,23 @@ def with_fingerprint(df: DataFrame, text: str, out: str, bits: Column) -> DataFr
 
 
 def likeness(a: str, b: str) -> Column:
-    """0 to 1: the best level's share of equal slots among those that either fingerprint fills."""
-    shares = []
+    """0 to 1: the share of equal slots among those that either fingerprint fills, on the thinnest level of which enough
+    are filled, or on the first; 1 if both are empty."""
+    levels = []
     for level in range(len(COVER)):
         x, y = f"slice({a}, {level * SUBSETS + 1}, {SUBSETS})", f"slice({b}, {level * SUBSETS + 1}, {SUBSETS})"
         both = f"zip_with({x}, {y}, (p, q) -> case when p is null and q is null then 0 when p <=> q then 1000 + 1 else 1 end)"
         # thousands count equal slots, units all filled ones
-        total = f"aggregate({both}, 0, (s, v) -> s + v)"
-        shares.append(f"coalesce(try_divide(cast(({total}) div 1000 as double), ({total}) % 1000), 0D)")
+        levels.append(f"aggregate({both}, 0, (s, v) -> s + v)")
+    pick = " ".join(f"when ({t}) % 1000 >= {int(SUBSETS * FILLED)} then ({t})" for t in reversed(levels[1:]))
+    total = f"case {pick} else {levels[0]} end"
     empty = f"forall({a}, v -> v is null) and forall({b}, v -> v is null)"
-    return F.expr(f"case when {empty} then 1D else greatest({', '.join(shares)}) end")
+    return F.expr(f"case when {empty} then 1D else coalesce(try_divide(cast(({total}) div 1000 as double), ({total}) % 1000), 0D) end")
 
 
 def as_text(slots: str) -> Column:
     """A fingerprint as one string: slots in hexadecimal, empty ones as nothing."""
-    return F.array_join(F.transform(slots, lambda v: F.hex(v)), "-", "")
+    return F.array_join(F.transform(slots, lambda v: F.lpad(F.hex(v), 8, "0")), "-", "")
 
 
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +126,7 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_k")  # never null, so that no filter sets one use of the exchange apart
     docs = table(spark, sf_dir, "documents").select(key, F.coalesce("text", F.lit("")).alias("text"))
-    words = lexicon(docs)
-    bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to one literal
+    known = held_by(lexicon(docs))
     keys = docs.groupBy("_k").agg(F.max(F.floor(F.length("text") / 4)).alias("cut"))
     order = cut(successors(keys, ["_k"]), "order")
     low = order.agg(F.min("_k")).first()[0]
@@ -124,8 +140,8 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.expr("left(text, cast(length(text) - length(text) div 4 as int)) || left(head, cast(length(text) div 4 as int))")
     rows = rows.select("_k", "next_id", "text", edited.alias("edited"))
     rows = rows.select("*", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    rows = with_fingerprint(rows, "text", "slots", bits).drop("text")
-    rows = cut(with_fingerprint(rows, "edited", "edited_slots", bits).drop("edited"), "fingerprints")
+    rows = with_fingerprint(rows, "text", "slots", known).drop("text")
+    rows = cut(with_fingerprint(rows, "edited", "edited_slots", known).drop("edited"), "fingerprints")
     nexts = rows.groupBy(F.col("_k").alias("_id")).agg(F.min("slots").alias("next_slots"))
     return rows.join(nexts, F.col("next_id") == F.col("_id")).select(
         F.nullif("_k", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", as_text("slots").alias("fingerprint"), as_text("edited_slots").alias("edited_fingerprint"),

@@ -13,15 +13,13 @@ from thalweg.llm import bpe, langid, mixing, neardup, secret_scan
 from thalweg.llm.common import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Of the smallest size's distance to the next; under it a document's language is in doubt.
-MARGIN = 0.001
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is beyond doubt, with that language in ``lang``; texts that are null,
-    without a letter, or equally close to two languages go."""
+    without a letter, or closer than the operator's margin to two languages go."""
     model = langid.fit(docs)
-    found = langid.classify(docs.select(*COLUMNS), model, margin=MARGIN, keep_text=True)
+    found = langid.classify(docs.select(*COLUMNS), model, keep_text=True)
     return found.filter("accepted").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

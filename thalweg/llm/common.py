@@ -73,9 +73,9 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def fold(doc_id: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo n: how the contracts hold rows out."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % n
+def held_out(doc_id: Column, n: int, r: int) -> Column:
+    """Whether crc32 of the id as text is r modulo n: how the contracts hold rows out. False without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n == r, F.lit(False))
 
 
 def running(df: DataFrame, group: list[str], order: list[str], value: str, out: str, salt: str) -> DataFrame:

@@ -10,8 +10,9 @@ of which only features are gathered.
 
 Edge cases: a null or empty text has no words and the statistics of an empty text; null metadata
 is a bucket of its own; a document labelled twice is good only if all its labels are 1; null
-labels are left out; without labels of both classes every score is the share of good ones;
-repeated rows give repeated rows.
+labels are left out; without labels of both classes every score is the share of good ones; rows
+without an id are scored, never learned from and not held out; repeated rows give repeated rows; other columns pass
+through, whatever their names, but score is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import fold, slices, small_batches, table
+from thalweg.llm.common import held_out, slices, small_batches, spare, table
 from thalweg.llm.features import N_STRUCTURE, WordIds, structure
 
 #: Buckets of words; then come the statistics, their steps and the metadata's.
@@ -137,7 +138,7 @@ def score(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = (), tex
     """Columns of ``docs`` but the text, plus score (0 to 1); nothing is shuffled."""
     small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text, "score")]
-    source = docs.select(*rest, *[F.col(m).cast("double").alias(f"_m{j}") for j, m in enumerate(metadata)], F.col(text).alias("_text"))
+    source = docs.select(*rest, *[F.col(m).cast("double").alias(spare(docs, f"m{j}")) for j, m in enumerate(metadata)], F.col(text).alias(spare(docs, "text")))
     schema = docs.select(*rest).schema.add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
 
@@ -155,7 +156,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labelled ones whose crc32 mod 5 is not 0; n_chars is
     the metadata."""
     docs = table(spark, sf_dir, "documents")
-    marks = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality is not null")
+    marks = table(spark, sf_dir, "labels").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality is not null")
     machine = fit(docs.select("doc_id", "text", "n_chars").join(marks, "doc_id"), "quality", ("n_chars",))
     got = score(docs.select("doc_id", "text", "n_chars"), machine, ("n_chars",))
-    return got.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return got.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

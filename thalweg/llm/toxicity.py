@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thalweg.llm.common import cut, fold, slices, small_batches, table
+from thalweg.llm.common import cut, held_out, slices, small_batches, table
 from thalweg.llm.features import CACHE_WORDS, WordIds, spellings
 
 #: Slots of words and of word pairs in the models; powers of two.
@@ -251,7 +251,7 @@ def marks_of(labels: DataFrame, mark: str = "toxic") -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labelled ones whose crc32 mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
-    seen = fold(F.col("doc_id"), 4) != 2
+    seen = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)
     model = fit(docs.filter(seen), marks_of(table(spark, sf_dir, "labels").filter(seen)))
     got = score(docs.select("doc_id", "text"), model)
-    return got.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return got.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -73,13 +73,35 @@ def test_slots_follow_their_shares_all_along(spark):
 
 
 def test_the_mix_holds_the_taken_words(spark):
-    source = docs(spark, clash=False).filter("doc_id is not null")
+    source = docs(spark).filter("doc_id is not null").withColumn("_spans", F.lit("clash"))
     sizes = source.select("doc_id", "source", mixing.n_words("text").alias("size"))
-    rows, _, pieces = mixing.mix(sizes.distinct())
+    rows, _, pieces = mixing.mix(sizes)
     want = pieces.agg(F.sum(F.col("word_to") - F.col("word_from"))).first()[0]
     got = mixing.mixed_documents(source)
-    assert got.columns == source.columns
+    assert got.columns == [*source.columns, "slot"]
     assert sum(len(words(r["text"])) for r in got.collect()) == want
     held = {r["text"] for r in source.collect()}
     for r in got.collect():
-        assert any(h and r["text"].strip() in h for h in held)
+        assert any(h and r["text"].strip() in h for h in held) and r["_spans"] == "clash"
+
+
+@pytest.mark.parametrize("block", [2, 2048])
+def test_repeated_rows_count_singly(spark, block):
+    rows = [(1, "one two three four", "s"), (1, "one two three four", "s"), (2, "five six seven eight", "t"), (3, "a b c", "t"), (3, "a b c", "t"), (3, "a b c", "t"), (None, "x y", None), (None, "x y", None)]
+    source = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = source.select("doc_id", "source", mixing.n_words("text").alias("size"))
+    _, goals, _ = mixing.mix(sizes, block=block)
+    target = {r["source"]: r["target"] for r in goals.collect()}
+    got: dict = {}
+    for r in mixing.mixed_documents(source, block=block).collect():
+        got[r["source"]] = got.get(r["source"], 0) + len(words(r["text"]))
+    assert got == {s: int(t + 1e-6) for s, t in target.items() if int(t + 1e-6)}
+
+
+def test_partitions_are_in_the_order_of_slots(spark):
+    source = spark.createDataFrame([(k, f"word{k} " * 30, "abc"[k % 3]) for k in range(90)], "doc_id long, text string, source string")
+    got = mixing.mixed_documents(source, block=64).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r["slot"] for r in got}) > 20
+    for p in {r["part"] for r in got}:
+        own = [r["slot"] for r in got if r["part"] == p]
+        assert own == sorted(own)

@@ -6,7 +6,8 @@ by the level at which each of them is full). Schedule: the points of a golden-ra
 through the cumulative slot shares and name a source for each slot; slots are ranked per source,
 and the k-th slot of a source takes the k-th block of its shuffled stream, round after round. The
 few slots that the sequence still owes a source at the end follow in a tail. The last slot of a
-source is cut so that it takes exactly the whole part of its target.
+source is cut so that it takes exactly the whole part of its target. What a slot takes keeps the slot's
+number, which is the order of the mix: every stretch of it holds the sources in about their shares.
 
 Edge cases: a null text or one without words has size 0 and is taken 0 times; a null source is a
 source of its own and comes last; rows that repeat are rows of their own; ties of the shuffle are
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thalweg.llm.common import WORD, cut, running, table
+from thalweg.llm.common import WORD, cut, running, spare, table
 
 #: The expression of a word inside a SQL string.
 SQL_WORD = WORD.replace("\\", "\\\\")
@@ -138,42 +139,47 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs`` (doc_id, source, text, ...), one row for each round in
-    which a document is taken. A document taken in part in a round keeps the taken words with the
-    blanks between them. Rows that share id, source and text are one document to the mix."""
+    """The mix itself: the columns of ``docs`` (doc_id, source, text, ...) and slot (replaced if there is one), one row
+    for each round in which a row is taken; slot is the first that takes of it in that round, and rows of a partition are in the order of
+    slots. A row taken in part in a round keeps the taken words with the blanks between them. Rows that
+    share id, source and text are rows of their own, and other columns of theirs come from the least of them."""
+    d, s, c, o, spans_ = (spare(docs, f"_{x}") for x in ("doc", "source", "code", "offset", "spans"))
     code = F.xxhash64(F.coalesce("text", F.lit("")))
-    sizes = docs.select("doc_id", "source", code.alias("code"), n_words("text").alias("size")).distinct()
-    rows, _, pieces = mix(cut(sizes, "sizes"), **options)
-    spans = pieces.groupBy(F.col("source").alias("_s"), F.col("offset").alias("_o"), "epoch").agg(F.min("word_from").alias("from"), F.max("word_to").alias("to"))
-    spans = rows.filter("size > 0").join(spans, F.col("source").eqNullSafe(F.col("_s")) & (F.col("offset") == F.col("_o")))
-    spans = spans.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("code").alias("_c")).agg(F.first("size").alias("size"), F.collect_list(F.struct("epoch", "from", "to")).alias("spans"))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (code == F.col("_c"))
-    taken = docs.join(spans.hint("shuffle_hash"), on).withColumn("span", F.explode("spans"))
+    rows, _, pieces = mix(cut(docs.select("doc_id", "source", code.alias("code"), n_words("text").alias("size")), "sizes"), **options)
+    spans = pieces.groupBy(F.col("source").alias(s), F.col("offset").alias(o), "epoch").agg(F.min("word_from").alias("from"), F.max("word_to").alias("to"), F.min("slot").alias("slot"))
+    spans = rows.filter("size > 0").join(spans, F.col("source").eqNullSafe(F.col(s)) & (F.col("offset") == F.col(o)), "left")
+    one = F.when(F.col("epoch").isNotNull(), F.struct("slot", "from", "to", "size"))
+    spans = spans.groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("code").alias(c)).agg(F.sort_array(F.collect_list(one)).alias(spans_), F.count_if(F.coalesce("epoch", F.lit(0)) == 0).alias(o)).filter(F.size(spans_) > 0)
+    on = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (code == F.col(c))
+    both = docs.join(spans.hint("shuffle_hash"), on)
+    again = both.filter(F.col(o) > 1).groupBy(d, s, c).agg(F.min(F.struct(*docs.columns)).alias(o), F.first(spans_).alias(spans_))
+    taken = both.filter(F.col(o) == 1).select(*docs.columns, F.explode(spans_).alias(s)).unionByName(again.select(f"{o}.*", F.explode(spans_).alias(s)))
     part = F.expr(f"""
-      array_join(zip_with(slice(regexp_extract_all(text, '{SQL_WORD}', 0), cast(span.from + 1 as int), cast(span.to - span.from as int)),
-        slice(split(text, '{SQL_WORD}', -1), cast(span.from + 2 as int), cast(span.to - span.from - 1 as int)), (w, b) -> concat(w, coalesce(b, ''))), '')
+      array_join(zip_with(slice(regexp_extract_all(text, '{SQL_WORD}', 0), cast({s}.from + 1 as int), cast({s}.to - {s}.from as int)),
+        slice(split(text, '{SQL_WORD}', -1), cast({s}.from + 2 as int), cast({s}.to - {s}.from - 1 as int)), (w, b) -> concat(w, coalesce(b, ''))), '')
     """)
-    whole = (F.col("span.from") == 0) & (F.col("span.to") == F.col("size"))
-    return taken.withColumn("text", F.when(whole, F.col("text")).otherwise(part)).select(*docs.columns)
+    whole = (F.col(f"{s}.from") == 0) & (F.col(f"{s}.to") == F.col(f"{s}.size"))
+    got = taken.withColumn("text", F.when(whole, F.col("text")).otherwise(part)).withColumn("slot", F.col(f"{s}.slot"))
+    return got.select(*[x for x in docs.columns if x != "slot"], "slot").sortWithinPartitions("slot")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, from the pieces of its slots."""
+    """How many words of each document the mix takes, from the pieces of its slots, and the first slot that does."""
     docs = table(spark, sf_dir, "documents")
     sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     rows, goals, pieces = mix(sizes)
-    taken = pieces.groupBy(F.col("source").alias("_s"), F.col("offset").alias("_o")).agg(F.sum(F.col("word_to") - F.col("word_from")).alias("_taken"))
+    taken = pieces.groupBy(F.col("source").alias("_s"), F.col("offset").alias("_o")).agg(F.sum(F.col("word_to") - F.col("word_from")).alias("_taken"), F.min("slot").alias("first_slot"))
     got = rows.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("offset") == F.col("_o")) & (F.col("size") > 0), "left").drop("_s", "_o")
     goals = goals.withColumnRenamed("source", "_s")
     got = got.join(goals, F.col("source").eqNullSafe(F.col("_s")))
-    return got.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    return got.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-#: The same counts without the schedule: the slots of a source take whole rounds of its stream and
-#: then its first words.
-OP2_SQL = r"""
+#: The slots of a source take whole rounds of its stream and then its first words, so the counts need no schedule; the
+#: schedule gives each document the slot of the block in which its words begin.
+OP2_SQL = rf"""
 WITH s AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), t AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 w AS (SELECT *, ([5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM t),
 f AS (SELECT *, 3 * source_size / w AS full_at FROM w),
@@ -182,12 +188,25 @@ l AS (
   FROM f WINDOW b AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), g AS (
   SELECT source, source_size, coalesce(least(3.0::DOUBLE * source_size, w * (SELECT arg_min(level, full_at) FROM l WHERE level <= full_at)), 0) AS target FROM l
+), q0 AS (
+  SELECT *, floor(target + 1e-6)::BIGINT AS take, (source_size + {BLOCK - 1}) // {BLOCK} AS blocks FROM g
 ), q AS (
-  SELECT *, floor(target + 1e-6)::BIGINT AS take FROM g
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE take // source_size END AS rounds, CASE WHEN source_size = 0 THEN 0 ELSE take % source_size END AS rest FROM q0
+), n AS (SELECT *, (rounds * blocks + (rest + {BLOCK - 1}) // {BLOCK})::BIGINT AS slots FROM q),
+i AS (SELECT *, (coalesce(sum(slots) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before, (sum(slots) OVER ())::BIGINT AS every FROM n),
+e AS (SELECT *, floor(before / every * {UNIT}::DOUBLE)::BIGINT AS lo, floor((before + slots) / every * {UNIT}::DOUBLE)::BIGINT AS hi FROM i WHERE every > 0),
+p AS (SELECT slot, (slot + 1) % {UNIT} * {GOLDEN} % {UNIT} AS point FROM range((SELECT coalesce(max(every), 0) FROM e)) AS r(slot)),
+m AS (SELECT slot, source, slots, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM p JOIN e ON point >= lo AND point < hi),
+had AS (SELECT source, count(*) AS had FROM m GROUP BY source),
+owed AS (SELECT e.source, e.slots, e.every, unnest(range(coalesce(had, 0), e.slots)) AS k FROM e LEFT JOIN had ON e.source IS NOT DISTINCT FROM had.source),
+c AS (
+  SELECT slot, source, k FROM m WHERE k < slots
+  UNION ALL SELECT every + row_number() OVER (ORDER BY k / slots, source NULLS LAST, k) - 1, source, k FROM owed
 ), o AS (
   SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', 7, doc_id, size)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM s
 )
 SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size = 0 THEN 0 ELSE (take // source_size) * size + greatest(0, least(off + size, take % source_size) - off) END::BIGINT AS taken
+  CASE WHEN source_size = 0 THEN 0 ELSE rounds * size + greatest(0, least(off + size, rest) - off) END::BIGINT AS taken, c.slot::BIGINT AS first_slot
 FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source
+LEFT JOIN c ON c.source IS NOT DISTINCT FROM o.source AND c.k = off // {BLOCK} AND size > 0 AND (rounds > 0 OR off < rest)
 """

@@ -41,7 +41,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: documents as often and as far as their slots take them."""
+    """The mix of the sources: documents as often and as far as their slots take them, each partition in the order of
+    the slots."""
     taken = mixing.mixed_documents(docs.select(*COLUMNS))
     return taken.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

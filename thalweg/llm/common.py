@@ -6,8 +6,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +22,9 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch. Texts are long, so the default of 10,000 would be far too many.
 BATCH_ROWS = 256
 
+#: Bits of the map that tells which ids are asked for; a power of two.
+ID_BITS = 1 << 25
+
 #: Used where the session names no shared folder (tests on one machine).
 FALLBACK_DIR = "/tmp/checkpoints/thalweg"
 _CUTS: set[str] = set()
@@ -121,6 +126,28 @@ def successors(keys: DataFrame, order: list[str], within: list[str] | None = Non
     return out.select(*cols, "next")
 
 
+def id_bit(key: str | Column) -> Column:
+    """The place of an id in an id map."""
+    return F.pmod(F.xxhash64(key), F.lit(ID_BITS))
+
+
+def id_map(ids: DataFrame, key: str = "id") -> np.ndarray:
+    """A map of ID_BITS bits of the hashed ids. Of fixed size whatever their number; it
+    lets through all that are asked for, and the more others the fuller it is."""
+    at = ids.select(id_bit(key).alias("at"))
+    words = at.groupBy(F.expr("at div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    out = np.zeros(ID_BITS // 64, np.int64)
+    got = words.toArrow()
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out
+
+
+def hits(bits: np.ndarray, at: pa.Array) -> np.ndarray:
+    """Which places of the map are set."""
+    h = at.to_numpy(zero_copy_only=False)
+    return (bits[h >> 6] >> (h & 63) & 1).astype(bool)
+
+
 def slices(batches: Iterator, most_bytes: int = 16_000_000) -> Iterator:
     """Arrow batches cut so that none holds much more than ``most_bytes`` (one row at least)."""
     for batch in batches:
@@ -130,8 +157,3 @@ def slices(batches: Iterator, most_bytes: int = 16_000_000) -> Iterator:
         step = max(1, int(n * most_bytes / max(batch.nbytes, 1)))
         for at in range(0, n, step):
             yield batch.slice(at, step)
-
-
-def words_of(texts: Iterable[str | None]) -> list[list[bytes]]:
-    """The ASCII-blank separated words of each text, as UTF-8."""
-    return [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]

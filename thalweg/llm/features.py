@@ -47,22 +47,24 @@ class WordIds:
             return np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
 
 
-def spellings(words: list[str], slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context slot, letter slot, which word) for each letter of the words and each word's end; the
-    context is the up to four letters before, back to the word's start."""
-    marked = [f"\x02{w}\x03" for w in words]
+#: Bits of a letter in a key of letters: a code point modulo 4095, from 1; 0 stands before a word.
+LETTER = 12
+
+
+def spellings(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, which word) for each letter of the words and each word's end. A key holds the four letters before, the
+    nearest lowest, and the letter itself, LETTER bits each."""
+    marked = [f"{w}\x03" for w in words]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
-    chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % ((1 << LETTER) - 1) + 1
     which = np.repeat(np.arange(len(marked)), size)
     place = np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)
-    context = np.zeros(len(chars), np.uint64)
-    for back in (4, 3, 2, 1):
-        before = np.zeros(len(chars), np.uint64)
+    key = chars.copy()
+    for back in range(1, 5):
+        before = np.zeros(len(chars), np.int64)
         before[back:] = chars[:-back] if back < len(chars) else 0
-        context = context * np.uint64(0x9E3779B97F4A7C15) + np.where(place >= back, before, 0)
-    context = (context * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-    use = place >= 1
-    return (context % np.uint64(slots)).astype(np.int64)[use], (chars % np.uint64(slots)).astype(np.int64)[use], which[use]
+        key |= np.where(place >= back, before, 0) << LETTER * back
+    return key, which
 
 
 _UPPER, _DIGIT, _SIGN, _BAR = (bytes(b for b in range(128) if t(chr(b))) for t in (str.isupper, str.isdigit, lambda c: c in "#*$%&|<>~^{}[]\\", lambda c: c == "|"))

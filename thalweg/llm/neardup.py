@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import cut, slices, small_batches, table
+from thalweg.llm.common import cut, hits, id_bit, id_map, slices, small_batches, table
 
 TREES, VALUES = 16, 128
 #: Values of a tree's sequence, and the prefixes by which regions are made.
@@ -50,8 +50,6 @@ BLOCK, ANCHORS, ELEMENTS = 128, 32, 1_000_000
 SIDE, COLUMNS = 1024, 8192
 #: Words that a task remembers, and bytes of texts that it takes at once.
 KNOWN, TAKEN = 150_000, 4_000_000
-#: Bits of the map that tells which ids are asked for; a power of two.
-ID_BITS = 1 << 25
 #: How much lower than the threshold an estimate may be: four and a half standard deviations of 128 values.
 SLACK = 0.16
 _RNG = np.random.default_rng(2024)
@@ -125,21 +123,6 @@ def shingled(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
     return _rows(docs, key, text).mapInArrow(run, "id long, n long, code binary, sig binary")
 
 
-def id_map(ids: DataFrame) -> np.ndarray:
-    """A map of ID_BITS bits of the hashed ids (column id). Of fixed size whatever their number; it
-    lets through all that are asked for, and the more others the fuller it is."""
-    words = ids.groupBy(F.expr(f"pmod(xxhash64(id), {ID_BITS}) div 64").cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {ID_BITS}) % 64 as int))")).alias("bits"))
-    out = np.zeros(ID_BITS // 64, np.int64)
-    got = words.toArrow()
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out
-
-
-def _hit(bits: np.ndarray, at: pa.Array) -> np.ndarray:
-    h = at.to_numpy(zero_copy_only=False)
-    return (bits[h >> 6] >> (h & 63) & 1).astype(bool)
-
-
 def full_sets(docs: DataFrame, width: int, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, found): the sorted distinct shingle hashes of the documents that ``wanted`` (id) asks for, and
     of some others. Texts are not dealt out: a map of the ids goes to them."""
@@ -148,11 +131,11 @@ def full_sets(docs: DataFrame, width: int, wanted: DataFrame, key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for whole in batches:
-            for b in slices([whole.filter(pa.array(_hit(shared.value, whole.column(2))))], TAKEN):
+            for b in slices([whole.filter(pa.array(hits(shared.value, whole.column(2))))], TAKEN):
                 found = [shingler.of(t).view(np.int64) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "found"])
 
-    rows = _rows(docs, key, text).filter("id is not null").withColumn("_at", F.pmod(F.xxhash64("id"), F.lit(ID_BITS)))
+    rows = _rows(docs, key, text).filter("id is not null").withColumn("_at", id_bit("id"))
     return rows.mapInArrow(run, "id long, found array<long>")
 
 

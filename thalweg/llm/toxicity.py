@@ -1,20 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Bigram models of toxic and of ordinary labelled documents, with absolute discounts and continuation
-counts; both back off to one shared distribution of continuation counts, so an expression that one
-class has hardly seen costs both alike. A second couple of models of the same kind spells: it gives
-each letter after up to four letters before it, for expressions whose words are rare. A document's
-evidence is the difference of its length-normalised log-likelihoods, over the whole text and over
-its most toxic stretches of a few words; a small logistic model, fitted on labelled documents that the counts
-haven't seen, turns it into a score.
-
-Counts are gathered from all labelled training documents and grow with them: distinct
-(class, word, word) rows are summed in Spark. What reaches the driver is of fixed size: words
-share WORDS slots, pairs PAIRS slots, whatever the corpus.
+Two models of toxic and two of ordinary labelled documents: one gives each word after the word before
+it, one each letter of a word after up to four letters before it. Both are interpolated Kneser-Ney
+models with an absolute discount: each order backs off to the continuation counts of the next shorter
+one, down to single words or letters, whose own back-off is a distribution of continuation counts that the
+classes share; so an expression that one class has hardly seen costs both alike. The comparison is the
+difference of a text's length-normalised log-likelihoods, ``log_ratio``. It dilutes a few toxic
+expressions in a long text, so the score also takes the largest differences over stretches of a few words,
+of words alone and of their spelling, by a small logistic model, which is fitted on labelled documents that
+the counts haven't seen.
+
+Counts are gathered from all labelled training documents, keyed by (word, word) or by letters, and summed in
+Spark; they grow with the documents. What a model needs for scoring goes to the executors whole: all that
+was seen LEAST times in either class together. What was seen less often is in the back-off weight. Words are
+32-bit hashes, of which two words in a million share one per 10,000 words known.
 
 Edge cases: a null or empty text, or one without words, has the score of no evidence; a document
 labelled twice is toxic if any label is 1; null labels are left out; with no training document of
-one class every score is the other class's share; repeated rows give repeated rows.
+one class every score is the other class's share; rows without an id are scored, never learned from and not
+held out; very long texts count whole; repeated rows give repeated rows; other columns pass through, whatever
+their names, but score and log_ratio are replaced.
 """
 
 from __future__ import annotations
@@ -28,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thalweg.llm.common import cut, held_out, slices, small_batches, table
-from thalweg.llm.features import CACHE_WORDS, WordIds, spellings
+from thalweg.llm.common import cut, held_out, hits, id_bit, id_map, slices, small_batches, spare, table
+from thalweg.llm.features import CACHE_WORDS, LETTER, WordIds, spellings
 
-#: Slots of words and of word pairs in the models; powers of two.
-WORDS, PAIRS = 1 << 18, 1 << 20
 DISCOUNT = 0.75
+#: Times that a word, a pair or a run of letters must have been seen to be in a model.
+LEAST = 2
+#: Stands before the first word.
+START = 0xFFFFFFFF
 #: Words of the stretches whose best mean counts.
 STRETCHES = (2, 6, 20, 60)
 #: Places, in falling order of toxicity, of the distinct words whose ratios count by themselves:
@@ -43,162 +50,257 @@ PLACES = (1, 2, 3, 5, 8)
 HOLD, MOST_CALIBRATION = 4, 6000
 #: Documents with at least this score are called toxic.
 THRESHOLD = 0.3
-
-
-def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (x >> np.uint64(44)).astype(np.int64)
+WIDTH = 3 + 3 * len(STRETCHES) + 2 * len(PLACES)
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(key, n), to be unpacked into (kind, toxic, a, b, n): how often slot b follows slot a in each class, over all of ``docs``
-    (text, toxic). kind 0: words; 1: letters after their contexts. Batches are summed before they
-    are dealt out."""
+    """(kind, key, n0, n1): how often each key stands in ordinary (0) and toxic (1) documents, over all of ``docs``
+    (text, toxic). kind 0: a word and the one before it, 32 bits each; 1: a letter and the four before it. Batches are
+    summed before they are dealt out."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in slices(batches):
-            keys, seen = [], (Counter(), Counter())
+            pairs, seen = ([], []), (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = (ids.of(text) % WORDS).astype(np.int64)
+                w = ids.of(text).astype(np.uint64)
                 if len(w):
-                    a = np.concatenate([[WORDS], w[:-1]])
-                    keys.append(toxic << 40 | a << 20 | w)
+                    before = np.concatenate([[np.uint64(START)], w[:-1]])
+                    pairs[toxic].append((before << np.uint64(32) | w).view(np.int64))
                     seen[toxic].update(text.encode("utf-8", "surrogatepass").split())
-            if not keys:
-                continue
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            for k in (0, 1):
-                if seen[k]:
-                    a, b, which = spellings([ids.bare(w) for w in seen[k]], WORDS)
-                    times = np.fromiter(seen[k].values(), np.int64, len(seen[k]))[which]
-                    own, at = np.unique(1 << 41 | k << 40 | a << 20 | b, return_inverse=True)
-                    key, n = np.concatenate([key, own]), np.concatenate([n, np.bincount(at, times, len(own)).astype(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            for toxic in (0, 1):
+                if not pairs[toxic]:
+                    continue
+                words = list(seen[toxic])
+                letters, which = spellings([WordIds.bare(w) for w in words])
+                times = np.fromiter(seen[toxic].values(), np.int64, len(words))[which]
+                own, at = np.unique(letters, return_inverse=True)
+                for kind, (key, n) in enumerate((np.unique(np.concatenate(pairs[toxic]), return_counts=True), (own, np.bincount(at, times, len(own)).astype(np.int64)))):
+                    none = np.zeros(len(key), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), *map(pa.array, (none, n) if toxic else (n, none))], ["kind", "key", "n0", "n1"])
+
+    got = docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "kind int, key long, n0 long, n1 long")
+    return got.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their counts in both classes, of those that were seen LEAST times."""
+    got = df.filter(f"n0 + n1 >= {LEAST}").select("key", F.col("n0").cast("float").alias("n0"), F.col("n1").cast("float").alias("n1")).toArrow()
+    key = got.column("key").to_numpy()
+    order = np.argsort(key)
+    return key[order], np.stack([got.column(c).to_numpy()[order] for c in ("n0", "n1")])
+
+
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked key is among sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+class Level:
+    """One order of both classes: what follows a context, backing off to a shorter one."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, total: np.ndarray, shift: int):
+        self.keys, self.n, self.contexts, self.total = keys, n, contexts, total
+        at, here = _find(contexts, keys.view(np.uint64) >> np.uint64(shift) if shift == 32 else keys >> shift)
+        assert here.all()  # a key that is kept was seen as often as its context at least
+        own = np.stack([np.bincount(at, np.maximum(x - DISCOUNT, 0), len(contexts)) for x in n])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.left = np.where(total > 0, 1 - own / total, 1).astype(np.float32)
+
+    def weights(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how often each context was seen, the weight of its back-off), each for both classes."""
+        at, here = _find(self.contexts, context)
+        if not len(self.contexts):
+            return np.zeros((2, len(context)), np.float32), np.ones((2, len(context)), np.float32)
+        return np.where(here, self.total[:, at], 0), np.where(here, self.left[:, at], 1)
+
+    def over(self, key: np.ndarray, seen: np.ndarray, left: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """The chances of keys whose contexts have these weights, ``back`` being those of the shorter context."""
+        at, here = _find(self.keys, key)
+        n = np.where(here, self.n[:, at], 0) if len(self.keys) else np.zeros_like(back)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(seen > 0, np.maximum(n - DISCOUNT, 0) / seen + left * back, back)
+
+
+class Base:
+    """Single words or letters of both classes by continuation counts, backing off to what the classes share."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: int):
+        self.keys = keys
+        every = np.maximum(total, 1)[:, None]
+        shared = (n.sum(0) + 0.5) / (total.sum() + 0.5 * (kinds + 1))
+        unknown = 0.5 / (total.sum() + 0.5 * (kinds + 1))
+        own = np.maximum(n - DISCOUNT, 0) / every
+        left = 1 - own.sum(1, keepdims=True)
+        self.p = np.concatenate([own + left * shared, left * unknown], axis=1)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at, here = _find(self.keys, keys)
+        return self.p[:, np.where(here, at, len(self.keys))]
+
 
-    got = docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "key long, n long")
-    return got.groupBy("key").agg(F.sum("n").alias("n"))
+def level(counted: DataFrame, shift: int) -> Level:
+    """``counted``: key, n0, n1; the bits of a key above ``shift`` are its context."""
+    contexts = counted.groupBy(F.shiftrightunsigned("key", shift).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    keys, n = _gathered(counted)
+    return Level(keys, n, *(x.astype(np.uint64) if x.ndim == 1 and shift == 32 else x for x in _gathered(contexts)), shift)
 
 
-def unpacked(counted: DataFrame, kind: int) -> DataFrame:
-    """(toxic, a, b, n) of one kind; counts travel as one number for kind, class and both slots."""
-    part = lambda shift, mask: F.shiftright("key", shift).bitwiseAND(mask).cast("int")
-    return counted.filter(part(41, 1) == kind).select(part(40, 1).alias("toxic"), part(20, 0xFFFFF).alias("a"), part(0, 0xFFFFF).alias("b"), "n")
+def continuations(counted: DataFrame, bits: int) -> DataFrame:
+    """(key, n0, n1): after how many distinct contexts the last ``bits`` bits of the keys stand in each class."""
+    return counted.groupBy(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("key")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"))
+
+
+def base(counted: DataFrame) -> Base:
+    """``counted``: key, n0, n1 of single words or letters."""
+    n0, n1, kinds = counted.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0)), F.count(F.lit(1))).first()
+    return Base(*_gathered(counted), np.array([n0, n1], float), kinds)
 
 
 class Models:
-    """Both models as arrays of fixed size; index 0 is the ordinary class, 1 the toxic one."""
-
-    def __init__(self, pair_n: np.ndarray, ctx_n: np.ndarray, ctx_types: np.ndarray, follow: np.ndarray):
-        self.pair_n, self.ctx_n, self.ctx_types = pair_n, ctx_n, ctx_types
-        total = follow.sum(0)
-        shared = (total + 0.5) / (total.sum() + 0.5 * WORDS)
-        self.word_p = np.empty((2, WORDS), np.float32)
-        for k in (0, 1):
-            all_ = max(follow[k].sum(), 1)
-            left = DISCOUNT * np.count_nonzero(follow[k]) / all_ if follow[k].any() else 1.0
-            self.word_p[k] = np.maximum(follow[k] - DISCOUNT, 0) / all_ + left * shared
-
-    def log_p(self, k: int, a: np.ndarray, b: np.ndarray, pair: np.ndarray | None = None) -> np.ndarray:
-        n, types = self.ctx_n[k][a], self.ctx_types[k][a]
-        seen = np.minimum(self.pair_n[k][pair_slot(a, b) if pair is None else pair], n)
-        back = self.word_p[k][b]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(n > 0, (np.maximum(seen - DISCOUNT, 0) + DISCOUNT * types * back) / n, back)
-        return np.log(np.maximum(p, 1e-12))
+    """The models of words and of letters; letters from the longest context to the shortest."""
+
+    def __init__(self, words: Level, word: Base, letters: list[Level], letter: Base):
+        self.words, self.word, self.letters, self.letter = words, word, letters, letter
+
+    def spelt(self, keys: np.ndarray) -> np.ndarray:
+        """The log ratio of each letter."""
+        p = self.letter.of(keys & ((1 << LETTER) - 1))
+        for order, one in reversed(list(enumerate(self.letters))):
+            key = keys & ((1 << LETTER * (5 - order)) - 1)
+            p = one.over(key, *one.weights(key >> LETTER), p)
+        p = np.log(np.maximum(p, 1e-12))
+        return p[1] - p[0]
 
-    def ratio(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        pair = pair_slot(a, b)
-        return self.log_p(1, a, b, pair) - self.log_p(0, a, b, pair)
+
+def models_of(counted: DataFrame) -> Models:
+    """``counted``: as counts gives it, in a table."""
+    words, letters = counted.filter("kind = 0").drop("kind"), counted.filter("kind = 1").drop("kind")
+    levels = []
+    for k in range(4, 0, -1):
+        levels.append(level(letters, LETTER))
+        letters = continuations(letters, LETTER * k)
+    return Models(level(words, 32), base(continuations(words, 32)), levels, base(letters))
 
 
 class Evidence:
-    """What the models say of texts; remembers the spelling of words, within a bound."""
-
-    WIDTH = 3 + 3 * len(STRETCHES) + 2 * len(PLACES)
-
-    def __init__(self, words: Models, letters: Models):
-        self.words, self.letters = words, letters
-        self.alone = np.log(words.word_p[1] / words.word_p[0])
-        self.known: dict[bytes, int] = {}
-        self.slot, self.spelt = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS)
-
-    def learn(self, raw: list[bytes]) -> None:
-        """Remember slot and spelling of the words; forget all others when there are too many."""
-        new = [w for w in set(raw) if w not in self.known]
-        at = len(self.known)
-        if at + len(new) > len(self.slot):
-            self.known.clear()
-            new, at = list(set(raw)), 0
-            if len(new) > len(self.slot):
-                self.slot, self.spelt = np.zeros(len(new), np.int64), np.zeros(len(new))
-        bare = [WordIds.bare(w) for w in new]
-        self.slot[at : at + len(new)] = [WordIds.id_of(w, b) % WORDS for w, b in zip(new, bare, strict=True)]
-        x, y, which = spellings(bare, WORDS)
-        self.spelt[at : at + len(new)] = np.bincount(which, self.letters.ratio(x, y), len(new))
-        self.known.update(zip(new, range(at, at + len(new)), strict=True))
-
-    def of(self, text: str | None) -> list[float]:
-        """Mean log ratio over the text and its largest mean over stretches of words: of words after
-        words, of words alone, and of their spelling; then the ratios of the most toxic words."""
-        raw = text.encode("utf-8", "surrogatepass").split() if text else []
-        if not raw:
-            return [0.0] * self.WIDTH
-        try:
-            k = np.fromiter(map(self.known.__getitem__, raw), np.int64, len(raw))
-        except KeyError:
-            self.learn(raw)
-            k = np.fromiter(map(self.known.__getitem__, raw), np.int64, len(raw))
-        b = self.slot[k]
-        a = np.concatenate([[WORDS], b[:-1]])
-        spelt, alone = self.spelt[k], self.alone[b]
-        means, best = [], []
-        for x in (self.words.ratio(a, b), alone, spelt):
-            means.append(float(x.mean()))
-            sums = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
-            best += [float((sums[s:] - sums[:-s]).max() / s) if len(x) >= s else float(sums[-1] / s) for s in STRETCHES]
-        _, one = np.unique(b, return_index=True)
-        for x in (alone[one], spelt[one]):
-            top = np.sort(np.partition(x, len(x) - PLACES[-1])[-PLACES[-1] :] if len(x) > PLACES[-1] else x)[::-1]
-            best += [float(top[k - 1]) if len(top) >= k else float(min(top[-1], 0.0)) for k in PLACES]
-        return means + best
-
-
-def arrays(counted: DataFrame) -> Models:
-    """The models of one kind of counts (toxic, a, b, n), gathered as arrays of fixed size."""
-    pair_n, ctx_n, ctx_types, follow = (np.zeros((2, n), np.float32) for n in (PAIRS, WORDS + 1, WORDS + 1, WORDS))
-    got = counted.groupBy("toxic", F.col("a").alias("at")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).toArrow().to_pandas()
-    ctx_n[got["toxic"], got["at"]], ctx_types[got["toxic"], got["at"]] = got["n"], got["types"]
-    got = counted.groupBy("toxic", F.col("b").alias("at")).agg(F.count(F.lit(1)).alias("types")).toArrow().to_pandas()
-    follow[got["toxic"], got["at"]] = got["types"]
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the models say of texts. Words are remembered within a bound: raw ones by their bare form, bare ones with
+    all that doesn't depend on the word before."""
+
+    def __init__(self, models: Models):
+        self.models = models
+        self.forget()
+
+    def forget(self) -> None:
+        self.raw: dict[bytes, int] = {}
+        self.bare: dict[bytes, int] = {}
+        size = 1 << 12
+        self.id, self.p, self.seen, self.left = np.zeros(size, np.uint64), np.zeros((2, size)), np.zeros((2, size)), np.zeros((2, size))
+        self.alone, self.spelt = np.zeros(size), np.zeros(size)
+        self.add([b"\x00start"], [""], np.array([START], np.uint64))
+
+    def add(self, names: list[bytes], bare: list[str], ids: np.ndarray) -> None:
+        at, n = len(self.bare), len(names)
+        while at + n > len(self.id):
+            grow = lambda x: np.concatenate([x, np.zeros_like(x)], axis=-1)
+            self.id, self.p, self.seen, self.left, self.alone, self.spelt = map(grow, (self.id, self.p, self.seen, self.left, self.alone, self.spelt))
+        here = slice(at, at + n)
+        self.id[here] = ids
+        self.p[:, here] = self.models.word.of(ids.astype(np.int64))
+        self.seen[:, here], self.left[:, here] = self.models.words.weights(ids)
+        self.alone[here] = np.log(self.p[1, here] / self.p[0, here])
+        keys, which = spellings(bare)
+        self.spelt[here] = np.bincount(which, self.models.spelt(keys), n)
+        self.bare.update(zip(names, range(at, at + n), strict=True))
+
+    def learn(self, words: list[bytes]) -> None:
+        bare = {w: WordIds.bare(w) for w in words}
+        named = {w: b.encode() or b"\x00" + w[:3] for w, b in bare.items()}
+        new = {named[w]: w for w in words if named[w] not in self.bare}
+        if new:
+            ids = np.array([WordIds.id_of(w, bare[w]) for w in new.values()], np.uint64)
+            self.add(list(new), [bare[w] for w in new.values()], ids)
+        self.raw.update((w, self.bare[x]) for w, x in named.items())
+
+    def of(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text: mean log ratio over the text and its largest mean over stretches of words, of words
+        after words, of words alone and of their spelling; then the ratios of the most toxic words."""
+        rows = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        out = np.zeros((len(texts), WIDTH))
+        some = [k for k, r in enumerate(rows) if r]
+        if not some:
+            return out
+        if len(self.raw) > CACHE_WORDS:
+            self.forget()
+        if new := list({w for k in some for w in rows[k]}.difference(self.raw)):
+            self.learn(new)
+        size = np.array([len(rows[k]) for k in some])
+        ends = np.cumsum(size)
+        starts = ends - size
+        get = self.raw.__getitem__
+        k = np.fromiter((i for j in some for i in map(get, rows[j])), np.int64, int(ends[-1]))
+        before = np.concatenate([[0], k[:-1]])
+        before[starts] = 0
+        key = (self.id[before] << np.uint64(32) | self.id[k]).view(np.int64)
+        p = np.log(np.maximum(self.models.words.over(key, self.seen[:, before], self.left[:, before], self.p[:, k]), 1e-12))
+        doc = np.repeat(np.arange(len(some)), size)
+        values = (p[1] - p[0], self.alone[k], self.spelt[k])
+        columns = [np.add.reduceat(x, starts) / size for x in values]
+        for x in values:
+            sums = np.concatenate([[0.0], np.cumsum(x)])
+            total = sums[ends] - sums[starts]
+            for s in STRETCHES:
+                means = np.full(len(x), -np.inf)
+                if len(x) >= s:
+                    means[: len(x) - s + 1] = np.where(doc[s - 1 :] == doc[: len(x) - s + 1], sums[s:] - sums[:-s], -np.inf)
+                best = np.maximum.reduceat(means, starts)
+                columns.append(np.where(size >= s, best, total) / s)
+        distinct = np.unique(doc << 32 | k)
+        whose, word = distinct >> 32, distinct & 0xFFFFFFFF
+        first = np.searchsorted(whose, np.arange(len(some)))
+        many = np.diff(np.append(first, len(whose)))
+        for x in (self.alone[word], self.spelt[word]):
+            ranked = x[np.lexsort((-x, whose))]
+            last = ranked[first + np.minimum(many, PLACES[-1]) - 1]
+            for place in PLACES:
+                columns.append(np.where(many >= place, ranked[first + np.minimum(place, many) - 1], np.minimum(last, 0.0)))
+        out[some] = np.stack(columns, axis=1)
+        return out
+
+
+def labelled(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, toxic) of the documents that have a mark. Texts of others aren't dealt out: a map of the ids, of fixed
+    size, goes to the texts."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(id_map(marks.select(F.col(key).alias("id"))))
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), id_bit(key).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = pair_slot(b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at.astype(np.int32)), b.column(3)], ["toxic", "at", "n"])
+            yield b.filter(pa.array(hits(shared.value, b.column(2)))).select([0, 1])
 
-    placed = counted.select("toxic", "a", "b", "n").mapInArrow(slots, "toxic int, at int, n long")
-    got = placed.groupBy("toxic", "at").agg(F.sum("n").cast("float").alias("n")).toArrow().to_pandas()
-    pair_n[got["toxic"], got["at"]] = got["n"]
-    return Models(pair_n, ctx_n, ctx_types, follow)
+    asked = rows.mapInArrow(run, rows.drop("at").schema)
+    return asked.join(marks.select(F.col(key).alias("_key"), "toxic").hint("shuffle_hash"), F.col("key") == F.col("_key")).select("key", "text", "toxic")
 
 
-def fit(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[tuple[Models, Models], np.ndarray]:
+def fit(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Models, np.ndarray]:
     """Models and the weights of the logistic model. ``docs``: key, text; ``marks``: key, toxic, one
-    row a key. Ids are drawn before texts move, so only counted and calibrating texts do."""
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(key)), F.lit(HOLD))
-    luck = F.pmod(F.xxhash64(F.lit("calibration"), F.col(key)), F.lit(1 << 30))
-    rate = min(1.0, MOST_CALIBRATION / max(marks.filter(draw == 0).count(), 1))
-    drawn = (draw == 0) & (luck < int((1 << 30) * rate))
-    meet = lambda some: docs.filter(some).select(key, text).join(marks.filter(some).hint("shuffle_hash"), key).select(F.col(text).alias("text"), "toxic")
-    counted = cut(counts(meet(draw != 0)), "toxic-counts")
-    models = (arrays(unpacked(counted, 0)), arrays(unpacked(counted, 1)))
+    row a key."""
+    held = cut(labelled(docs, marks, key, text), "labelled")
+    draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("key")), F.lit(HOLD))
+    luck = F.pmod(F.xxhash64(F.lit("calibration"), F.col("key")), F.lit(1 << 30))
+    rate = min(1.0, MOST_CALIBRATION / max(held.filter(draw == 0).count(), 1))
+    models = models_of(cut(counts(held.filter(draw != 0)), "toxic-counts"))
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    rows = evidence(meet(drawn), shared).select("toxic", "evidence").toArrow().to_pandas()
+    some = held.filter((draw == 0) & (luck < int((1 << 30) * rate)))
+    rows = evidence(some.select("toxic", "text"), shared).toArrow().to_pandas()
     if not len(rows) or rows["toxic"].nunique() < 2:
         share = marks.agg(F.avg("toxic")).first()[0] or 0.0
-        return models, np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), *[0.0] * Evidence.WIDTH])
+        return models, np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), *[0.0] * WIDTH])
     return models, logistic(np.array(rows["evidence"].tolist()), rows["toxic"].to_numpy(float))
 
 
@@ -217,41 +319,45 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return np.concatenate([[w[0] - own @ mean], own])
 
 
-def evidence(docs: DataFrame, shared, text: str = "text") -> DataFrame:
-    """Columns of ``docs`` but the text, plus evidence array<double>."""
+def evidence(docs: DataFrame, shared, text: str = "text", weights: np.ndarray | None = None) -> DataFrame:
+    """Columns of ``docs`` but the text, plus evidence array<double>; with weights, score and log_ratio instead."""
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in (text, "evidence")]
-    source = docs.select(*rest, F.col(text).alias("_text"))
-    schema = source.drop("_text").schema.add("evidence", T.ArrayType(T.DoubleType()))
+    made = ("evidence",) if weights is None else ("score", "log_ratio")
+    rest = [c for c in docs.columns if c not in (text, *made)]
+    source = docs.select(*rest, F.col(text).alias(spare(docs, "text")))
+    schema = docs.select(*rest).schema
+    for c in made:
+        schema = schema.add(c, T.ArrayType(T.DoubleType()) if weights is None else T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Evidence(*shared.value)
+        models = Evidence(shared.value)
         for b in slices(batches):
-            got = [models.of(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.list_(pa.float64()))], [*b.schema.names[:-1], "evidence"])
+            got = models.of(b.column(b.num_columns - 1).to_pylist())
+            if weights is None:
+                new = [pa.array(got.tolist(), pa.list_(pa.float64()))]
+            else:
+                new = [pa.array(1 / (1 + np.exp(-np.clip(weights[0] + got @ weights[1:], -500, 500)))), pa.array(got[:, 0])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, model: tuple[tuple[Models, Models], np.ndarray], text: str = "text") -> DataFrame:
-    """Columns of ``docs`` but the text, plus score (0 to 1); nothing is shuffled."""
+def score(docs: DataFrame, model: tuple[Models, np.ndarray], text: str = "text") -> DataFrame:
+    """Columns of ``docs`` but the text, plus score (0 to 1) and log_ratio, the difference of the length-normalised
+    log-likelihoods; nothing is shuffled."""
     models, w = model
-    got = evidence(docs.drop("score"), docs.sparkSession.sparkContext.broadcast(models), text)
-    sums = F.lit(float(w[0]))
-    for k, x in enumerate(w[1:]):
-        sums = sums + F.col("evidence")[k] * float(x)
-    return got.withColumn("score", 1 / (1 + F.exp(-sums))).drop("evidence")
+    return evidence(docs, docs.sparkSession.sparkContext.broadcast(models), text, w)
 
 
 def marks_of(labels: DataFrame, mark: str = "toxic") -> DataFrame:
     """doc_id and label, one row a document: the largest label, nulls left out."""
-    return labels.groupBy("doc_id").agg(F.max(mark).alias(mark)).filter(F.col(mark).isNotNull())
+    return labels.groupBy("doc_id").agg(F.max(mark).alias(mark)).filter(F.col(mark).isNotNull() & F.col("doc_id").isNotNull())
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labelled ones whose crc32 mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
-    seen = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)
-    model = fit(docs.filter(seen), marks_of(table(spark, sf_dir, "labels").filter(seen)))
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = fit(docs.filter(~held), marks_of(table(spark, sf_dir, "labels").filter(~held)))
     got = score(docs.select("doc_id", "text"), model)
-    return got.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "log_ratio")

@@ -31,7 +31,8 @@ def slots(text: str, lexicon: set) -> list:
     kept = sorted(own & lexicon) or sorted(own)
     out = []
     for level, cover in enumerate(I.COVER):
-        for s in range(I.SUBSETS):
+        parts = I.SUBSETS // I.SPLIT
+        for s in (g + parts * j for g in range(parts) for j in range(I.SPLIT)):
             some = [t for t in kept if (t >> 20) % cover == s]
             out.append(folded(some, level, I.SEED) & 0x7FFFFFFF if some else None)
     return out

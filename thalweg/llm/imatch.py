@@ -21,6 +21,7 @@ returned; a null id comes first; in a table of one id the next document is itsel
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,10 +34,12 @@ LOW, HIGH = 0.0005, 0.15
 #: Buckets of the lexicon; a power of two.
 BUCKETS = 1 << 15
 #: Subsets of a level, and how many of them would cover the lexicon, by level.
-SUBSETS = 64
-COVER = (64, 256, 1024)
+SUBSETS = 32
+COVER = (32, 128, 512, 2048)
+#: Subsets that are told apart at once; then each of SUBSETS / SPLIT parts is told apart.
+SPLIT = 8
 #: Share of a level's slots that must be filled for the level to count.
-FILLED = 1 / 4
+FILLED = 1 / 3
 #: Part of every slot's hash.
 SEED = 11
 #: Stands for a null id; comes before all others in the order.
@@ -77,13 +80,16 @@ def held_by(found: list[int]) -> Callable[[Column], Column]:
 
 def slots_sql(kept: str) -> str:
     """SQL for the slots of a sorted array of term hashes. Level by level, each subset keeps the
-    terms whose hash falls to it; finer levels only look at what the coarser ones could hold."""
-    parts = []
+    terms whose hash falls to it; finer levels only look at what the coarser ones could hold. Terms are told apart in two
+    steps, by parts and then by the subsets of a part, which take far fewer looks than one for each subset."""
+    parts, levels = SUBSETS // SPLIT, []
     for level, cover in enumerate(COVER):
-        for s in range(SUBSETS):
-            own = f"filter({kept}_{level}, t -> pmod(shiftright(t, 20), {cover}) = {s})"
-            parts.append(f"cast(nullif(xxhash64({own}, {level}, {SEED}), xxhash64(cast(array() as array<bigint>), {level}, {SEED})) & 2147483647L as int)")
-    return "array(" + ", ".join(parts) + ")"
+        number = f"pmod(shiftright(t, 20), {cover})"
+        none = f"xxhash64(cast(array() as array<bigint>), {level}, {SEED})"
+        slot = f"cast(nullif(xxhash64(filter(part, t -> {number} = g + {parts} * s), {level}, {SEED}), {none}) & 2147483647L as int)"
+        own = f"transform(array(filter({kept}_{level}, t -> {number} < {SUBSETS} and pmod(shiftright(t, 20), {parts}) = g)), part -> transform(sequence(0, {SPLIT - 1}), s -> {slot}))"
+        levels.append(f"flatten(flatten(transform(sequence(0, {parts - 1}), g -> {own})))")
+    return f"concat({', '.join(levels)})"
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, known: Callable[[Column], Column]) -> DataFrame:
@@ -106,7 +112,7 @@ def likeness(a: str, b: str) -> Column:
         both = f"zip_with({x}, {y}, (p, q) -> case when p is null and q is null then 0 when p <=> q then 1000 + 1 else 1 end)"
         # thousands count equal slots, units all filled ones
         levels.append(f"aggregate({both}, 0, (s, v) -> s + v)")
-    pick = " ".join(f"when ({t}) % 1000 >= {int(SUBSETS * FILLED)} then ({t})" for t in reversed(levels[1:]))
+    pick = " ".join(f"when ({t}) % 1000 >= {ceil(SUBSETS * FILLED)} then ({t})" for t in reversed(levels[1:]))
     total = f"case {pick} else {levels[0]} end"
     empty = f"forall({a}, v -> v is null) and forall({b}, v -> v is null)"
     return F.expr(f"case when {empty} then 1D else coalesce(try_divide(cast(({total}) div 1000 as double), ({total}) % 1000), 0D) end")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thalweg.network import GridHeader, Network
 from thalweg.sources import geotiff
-from thalweg.sources.interval_rasters import aligned, dfs_interval_geotiff
+from thalweg.sources.interval_rasters import _publish, aligned, dfs_interval_geotiff
 from thalweg.sources.outlets import outlets_of, read_outlets
 from thalweg.sources.synthetic import synthetic_d8
 
@@ -177,7 +177,7 @@ def test_interval_rasters(spark, tmp_path):
     table.write_text("local_outlet_row,local_outlet_col,basin_cell_count\n" + "".join(f"{v // 8},{v % 8},{sizes[v]}\n" for v in pits))
     assert dfs_interval_geotiff(spark, at("seq.tif"), at("upg.tif"), at("in2.tif"), at("out2.tif"), str(table)) == n
     table.write_text(table.read_text().replace(f",{sizes[pits[0]]}\n", f",{sizes[pits[0]] + 1}\n", 1))
-    for outlets, said in ((str(table), "basin_cell_count other"), (([0], [0]), None), (7, "basin table")):
+    for outlets, said in ((str(table), "table and raster disagree"), (([0], [0]), None), (7, "table of basins")):
         with pytest.raises(ValueError, match=said):
             dfs_interval_geotiff(spark, at("seq.tif"), at("upg.tif"), at("in3.tif"), at("out3.tif"), outlets)
     with pytest.raises(FileExistsError):
@@ -187,6 +187,19 @@ def test_interval_rasters(spark, tmp_path):
     assert not [p.name for p in tmp_path.iterdir() if "3" in p.name or "4" in p.name or p.name.endswith(".part")]
 
 
+def test_both_outputs_or_none(tmp_path):
+    parts = {str(tmp_path / f"{n}.part"): str(tmp_path / n) for n in "ab"}
+    for part in parts:
+        open(part, "w").close()
+    (tmp_path / "b").write_text("older")
+    with pytest.raises(FileExistsError):
+        _publish(parts)
+    assert not (tmp_path / "a").exists() and (tmp_path / "b").read_text() == "older"
+    (tmp_path / "b").unlink()
+    _publish(parts)
+    assert (tmp_path / "a").exists() and (tmp_path / "b").exists()
+
+
 def test_alignment():
     world = GridHeader(720, 360, "int32", 0, (-180.0, 0.5, 0.0, 90.0, 0.0, -0.5))
     inner = lambda x, y, side=0.5: GridHeader(4, 4, "int32", 0, (x, side, 0.0, y, 0.0, -side))
@@ -195,6 +208,10 @@ def test_alignment():
     for bad in (inner(0.0, 10.0, 0.25), inner(0.1, 10.0), inner(0.0, 91.0)):
         with pytest.raises(ValueError):
             aligned(bad, world)
+    north = GridHeader(720, 100, "int32", 0, (-180.0, 0.5, 0.0, 50.0, 0.0, -0.5))
+    for bad in (inner(0.0, 51.0), inner(0.0, 1.0)):
+        with pytest.raises(ValueError, match="cover"):
+            aligned(bad, north)
     with pytest.raises(ValueError, match="cover"):
         aligned(inner(219.0, 10.0), GridHeader(100, 100, "int32", 0, (170.0, 0.5, 0.0, 20.0, 0.0, -0.5)))
 

@@ -117,15 +117,15 @@ def interval_input(spark, rows):
 @pytest.mark.parametrize(
     ("rows", "outlets", "message"),
     [
-        ([(0, 0, 1), (1, 0, 1), (2, 2, 3)], [2], "no cell at position 1 and another position twice"),
-        ([(0, 0, 1), (1, 1, 2), (2, 2, 4)], [2], "above 3"),
-        ([(0, 0, 1), (1, 1, 0), (2, 2, 3)], [2], "below 1"),
-        ([(0, 0, 1), (1, 1, 1), (2, 3, 3)], [2], "not whole"),
-        ([(0, 0, 1), (1, 1, 2), (2, 2, 3)], [], "no outlets"),
-        ([(0, 0, 1), (1, 1, 2), (2, 2, 3)], [2, 2], "given twice"),
-        ([(0, 0, 1), (1, 1, 2), (2, 2, 3)], [1], "one after another"),
-        ([(0, 0, 1), (1, 1, 2), (2, -1, 3)], [2], "off the network"),
-        ([(0, 0, 1), (1, 1, 2), (2, 2, 3)], [9], "outside the grid"),
+        ([(0, 0, 1), (1, 0, 1), (2, 2, 3)], [2], "no cell has place 1"),
+        ([(0, 0, 1), (1, 1, 2), (2, 2, 4)], [2], "more than the 3 cells"),
+        ([(0, 0, 1), (1, 1, 0), (2, 2, 3)], [2], "less than 1"),
+        ([(0, 0, 1), (1, 1, 1), (2, 3, 3)], [2], "last place is 3"),
+        ([(0, 0, 1), (1, 1, 2), (2, 2, 3)], [], "needs outlets"),
+        ([(0, 0, 1), (1, 1, 2), (2, 2, 3)], [2, 2], "one cell"),
+        ([(0, 0, 1), (1, 1, 2), (2, 2, 3)], [1], "gaps"),
+        ([(0, 0, 1), (1, 1, 2), (2, -1, 3)], [2], "without a place"),
+        ([(0, 0, 1), (1, 1, 2), (2, 2, 3)], [9], "no cell of the grid"),
     ],
 )
 def test_intervals_refuse_what_does_not_belong_together(spark, rows, outlets, message):

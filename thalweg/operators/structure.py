@@ -221,20 +221,20 @@ def interval_blocks(outlets: DataFrame, n: int) -> DataFrame:
     got = outlets.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("last") < 0).alias("off"), F.count_if((F.col("upg") < 1) | (F.col("upg") > n)).alias("odd"), F.count_distinct("last").alias("places")).first()
     if not got["rows"]:
         if n:
-            raise ValueError(f"no outlets are given for a sequence of {n} cells")
+            raise ValueError(f"a sequence of {n} cells needs outlets, and there are none")
         return outlets.select((F.col("last") - F.col("upg") + 1).alias("first"), "last")
     if got["off"]:
-        raise ValueError(f"{got['off']} outlets are off the network: the sequence and the outlets do not belong together")
+        raise ValueError(f"{got['off']} of the outlets are cells without a place in the sequence")
     if got["odd"]:
-        raise ValueError(f"{got['odd']} outlets have an upstream count below 1 or above {n}: the counts and the outlets do not belong together")
+        raise ValueError(f"{got['odd']} of the outlets have an upstream count that can't be: less than 1 or more than the {n} cells there are")
     if got["places"] < got["rows"]:
-        raise ValueError("an outlet is given twice")
+        raise ValueError("two outlets are one cell")
     summed = running_sum(outlets.select("last", F.col("upg").cast("long").alias("upg")), [F.col("last")], "upg", "before")
     first = F.col("last") - F.col("upg") + 1
     wrong = summed.filter(F.col("before") != first).agg(F.min("before").alias("at"), F.count(F.lit(1)).alias("n")).first()
     total = outlets.agg(F.sum("upg")).first()[0]
     if wrong["n"] or total != n:
-        raise ValueError(f"the {got['rows']} basins of these outlets do not take positions 0 to {n - 1} one after another (first mismatch near position {wrong['at'] if wrong['n'] else n - 1})")
+        raise ValueError(f"the basins of these {got['rows']} outlets leave gaps in the {n} places of the sequence or overlap, first near place {wrong['at'] if wrong['n'] else n - 1}")
     return summed.select(first.alias("first"), "last")
 
 
@@ -261,20 +261,20 @@ def dfs_interval(cells: DataFrame, outlets: DataFrame) -> DataFrame:
     got = on.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("seq"), F.lit(-1)).alias("top")).first()
     n = got["n"]
     if n != got["top"] + 1:
-        raise ValueError(f"the sequence holds {n} cells of the network and positions up to {got['top']}: it is not whole")
+        raise ValueError(f"the sequence has {n} cells but its last place is {got['top']}, so places are missing or taken twice")
     asked = outlets.select(F.col("idx").alias("_o"))
     ends = asked.join(cells, F.col("_o") == F.col("idx"), "left")
     if ends.filter("idx is null").limit(1).count():
-        raise ValueError("an outlet lies outside the grid")
+        raise ValueError("one of the outlets is no cell of the grid")
     blocks = cut(interval_blocks(ends.select(F.col("seq").alias("last"), "upg"), n), "blocks")
     placed = _block_of(on, blocks)
     odd = placed.filter((F.col("upg") < 1) | (F.col("upg") > F.col("seq") - F.col("first") + 1)).limit(1).count()
     if odd:
-        raise ValueError("some cells have an upstream count below 1 or more upstream cells than their basin holds before them")
+        raise ValueError("a cell has an upstream count that can't be: less than 1, or more cells than come before it in its basin")
     twice = on.groupBy("seq").count().filter("count > 1").limit(1).count()
     if twice:
         missing = on.sparkSession.range(n).join(on.select(F.col("seq").alias("id")), "id", "left_anti").agg(F.min("id")).first()[0]
-        raise ValueError(f"the sequence has no cell at position {missing} and another position twice: it is not whole")
+        raise ValueError(f"no cell has place {missing} of the sequence, and another place is taken twice")
     start = F.col("first") + F.col("last") - F.col("seq")
     found = placed.select("idx", start.alias("dfs_in"), (start + F.col("upg") - 1).alias("dfs_out"))
     off = cells.filter("seq < 0 or seq is null").select("idx", F.lit(-1).cast("long").alias("dfs_in"), F.lit(-1).cast("long").alias("dfs_out"))

@@ -85,10 +85,10 @@ def slots_sql(kept: str) -> str:
     parts, levels = SUBSETS // SPLIT, []
     for level, cover in enumerate(COVER):
         number = f"pmod(shiftright(t, 20), {cover})"
-        none = f"xxhash64(cast(array() as array<bigint>), {level}, {SEED})"
-        slot = f"cast(nullif(xxhash64(filter(part, t -> {number} = g + {parts} * s), {level}, {SEED}), {none}) & 2147483647L as int)"
-        own = f"transform(array(filter({kept}_{level}, t -> {number} < {SUBSETS} and pmod(shiftright(t, 20), {parts}) = g)), part -> transform(sequence(0, {SPLIT - 1}), s -> {slot}))"
-        levels.append(f"flatten(flatten(transform(sequence(0, {parts - 1}), g -> {own})))")
+        some = f"filter({kept}_{level}, t -> {number} < {SUBSETS} and pmod(shiftright(t, 20), {parts}) = g)"
+        lists = f"transform(array({some}), part -> transform(sequence(0, {SPLIT - 1}), s -> filter(part, t -> {number} = g + {parts} * s)))"
+        own = f"transform(flatten({lists}), x -> case when size(x) > 0 then cast(xxhash64(x, {level}, {SEED}) & 2147483647L as int) end)"
+        levels.append(f"flatten(transform(sequence(0, {parts - 1}), g -> {own}))")
     return f"concat({', '.join(levels)})"
 
 

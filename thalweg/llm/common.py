@@ -67,7 +67,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         _CUTS.add(own)
         atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), own)
     path = f"{own}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from thalweg.llm.features import CACHE_WORDS, LETTER, WordIds, spellings
 DISCOUNT = 0.75
 #: Times that a word, a pair or a run of letters must have been seen to be in a model.
 LEAST = 2
+#: Words that a task counts before it gives their sums, and bytes of texts that it scores at once.
+PIECE, TAKEN = 2_000_000, 3_000_000
 #: Stands before the first word.
 START = 0xFFFFFFFF
 #: Words of the stretches whose best mean counts.
@@ -55,30 +58,39 @@ WIDTH = 3 + 3 * len(STRETCHES) + 2 * len(PLACES)
 
 def counts(docs: DataFrame) -> DataFrame:
     """(kind, key, n0, n1): how often each key stands in ordinary (0) and toxic (1) documents, over all of ``docs``
-    (text, toxic). kind 0: a word and the one before it, 32 bits each; 1: a letter and the four before it. Batches are
-    summed before they are dealt out."""
+    (text, toxic). kind 0: a word and the one before it, 32 bits each; 1: a letter and the four before it. Pieces of
+    about PIECE words are summed before they are dealt out."""
     small_batches(docs.sparkSession)
 
+    def summed(pairs: list[np.ndarray], seen: Counter, toxic: int) -> Iterator[pa.RecordBatch]:
+        words = list(seen)
+        letters, which = spellings([WordIds.bare(w) for w in words])
+        times = np.fromiter(seen.values(), np.int64, len(words))[which]
+        own, at = np.unique(letters, return_inverse=True)
+        for kind, (key, n) in enumerate((np.unique(np.concatenate(pairs), return_counts=True), (own, np.bincount(at, times, len(own)).astype(np.int64)))):
+            none = np.zeros(len(key), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), *map(pa.array, (none, n) if toxic else (n, none))], ["kind", "key", "n0", "n1"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
+        pairs, seen, held = ([], []), (Counter(), Counter()), [0, 0]
         for batch in slices(batches):
-            pairs, seen = ([], []), (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = ids.of(text).astype(np.uint64)
                 if len(w):
                     before = np.concatenate([[np.uint64(START)], w[:-1]])
                     pairs[toxic].append((before << np.uint64(32) | w).view(np.int64))
                     seen[toxic].update(text.encode("utf-8", "surrogatepass").split())
+                    held[toxic] += len(w)
             for toxic in (0, 1):
-                if not pairs[toxic]:
-                    continue
-                words = list(seen[toxic])
-                letters, which = spellings([WordIds.bare(w) for w in words])
-                times = np.fromiter(seen[toxic].values(), np.int64, len(words))[which]
-                own, at = np.unique(letters, return_inverse=True)
-                for kind, (key, n) in enumerate((np.unique(np.concatenate(pairs[toxic]), return_counts=True), (own, np.bincount(at, times, len(own)).astype(np.int64)))):
-                    none = np.zeros(len(key), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), *map(pa.array, (none, n) if toxic else (n, none))], ["kind", "key", "n0", "n1"])
+                if held[toxic] > PIECE:
+                    yield from summed(pairs[toxic], seen[toxic], toxic)
+                    pairs[toxic].clear()
+                    seen[toxic].clear()
+                    held[toxic] = 0
+        for toxic in (0, 1):
+            if held[toxic]:
+                yield from summed(pairs[toxic], seen[toxic], toxic)
 
     got = docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "kind int, key long, n0 long, n1 long")
     return got.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -105,12 +117,17 @@ class Level:
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, total: np.ndarray, shift: int):
         self.keys, self.n, self.contexts, self.total = keys, n, contexts, total
-        at, here = _find(contexts, keys.view(np.uint64) >> np.uint64(shift) if shift == 32 else keys >> shift)
+        at, here = _find(contexts, self.context(keys, shift))
         assert here.all()  # a key that is kept was seen as often as its context at least
+        self.shift, self.at = shift, at.astype(np.int32)
         own = np.stack([np.bincount(at, np.maximum(x - DISCOUNT, 0), len(contexts)) for x in n])
         with np.errstate(divide="ignore", invalid="ignore"):
             self.left = np.where(total > 0, 1 - own / total, 1).astype(np.float32)
 
+    @staticmethod
+    def context(key: np.ndarray, shift: int) -> np.ndarray:
+        return key.view(np.uint64) >> np.uint64(shift) if shift == 32 else key >> shift
+
     def weights(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(how often each context was seen, the weight of its back-off), each for both classes."""
         at, here = _find(self.contexts, context)
@@ -126,6 +143,21 @@ class Level:
             return np.where(seen > 0, np.maximum(n - DISCOUNT, 0) / seen + left * back, back)
 
 
+    def after(self, key: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """As ``over``; the contexts of known keys needn't be looked for."""
+        at, here = _find(self.keys, key)
+        if not len(self.keys):
+            return back
+        where = self.at[at]
+        miss = np.flatnonzero(~here)
+        place, there = _find(self.contexts, self.context(key[miss], self.shift))
+        where[miss] = place
+        seen, left, n = self.total[:, where], self.left[:, where], np.where(here, self.n[:, at], 0)
+        seen[:, miss[~there]] = 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(seen > 0, np.maximum(n - DISCOUNT, 0) / seen + left * back, back)
+
+
 class Base:
     """Single words or letters of both classes by continuation counts, backing off to what the classes share."""
 
@@ -169,12 +201,13 @@ class Models:
 
     def spelt(self, keys: np.ndarray) -> np.ndarray:
         """The log ratio of each letter."""
+        keys, every = np.unique(keys, return_inverse=True)  # words share most of their letters
         p = self.letter.of(keys & ((1 << LETTER) - 1))
         for order, one in reversed(list(enumerate(self.letters))):
             key = keys & ((1 << LETTER * (5 - order)) - 1)
-            p = one.over(key, *one.weights(key >> LETTER), p)
+            p = one.after(key, p)
         p = np.log(np.maximum(p, 1e-12))
-        return p[1] - p[0]
+        return (p[1] - p[0])[every]
 
 
 def models_of(counted: DataFrame) -> Models:
@@ -236,13 +269,13 @@ class Evidence:
             return out
         if len(self.raw) > CACHE_WORDS:
             self.forget()
-        if new := list({w for k in some for w in rows[k]}.difference(self.raw)):
+        if new := list(set(chain.from_iterable(rows)).difference(self.raw)):
             self.learn(new)
         size = np.array([len(rows[k]) for k in some])
         ends = np.cumsum(size)
         starts = ends - size
         get = self.raw.__getitem__
-        k = np.fromiter((i for j in some for i in map(get, rows[j])), np.int64, int(ends[-1]))
+        k = np.fromiter(map(get, chain.from_iterable(rows)), np.int64, int(ends[-1]))
         before = np.concatenate([[0], k[:-1]])
         before[starts] = 0
         key = (self.id[before] << np.uint64(32) | self.id[k]).view(np.int64)
@@ -331,7 +364,7 @@ def evidence(docs: DataFrame, shared, text: str = "text", weights: np.ndarray |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = Evidence(shared.value)
-        for b in slices(batches):
+        for b in slices(batches, TAKEN):
             got = models.of(b.column(b.num_columns - 1).to_pylist())
             if weights is None:
                 new = [pa.array(got.tolist(), pa.list_(pa.float64()))]

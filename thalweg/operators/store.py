@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -12,9 +14,31 @@ from pyspark.sql.window import Window
 FALLBACK_DIR = "/tmp/checkpoints/thalweg"
 
 
+_WRITTEN: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local folder does if
+    all runs on this machine; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or FALLBACK_DIR
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the application ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/thalweg-{spark.sparkContext.applicationId}-network"
+    if own not in _WRITTEN:
+        _WRITTEN.add(own)
+        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), own)
+    return own
+
+
+def _remove(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        to = jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(conf).delete(to, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -25,7 +49,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def cut_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
     """As ``cut``; the aggregates ``measures`` are taken while the rows are written."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/thalweg-{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     seen = Observation()
     watched = df.observe(seen, *[c.alias(k) for k, c in measures.items()]) if measures else df
     watched.write.parquet(path)

@@ -396,6 +396,7 @@ def oracle_sql() -> dict[str, str]:
         "upstream_area": CLOSURE_SQL + "SELECT v AS idx, sum(cents)::DOUBLE AS upa FROM w JOIN g ON g.idx = u GROUP BY v",
         "upstream_area_lossy_push": _lossy(_ASAP) + "SELECT v AS idx, sum(cents)::DOUBLE AS upa FROM w2 JOIN g ON g.idx = u GROUP BY v",
         "distance_to_outlet": _LDN + "SELECT idx, ldn FROM ln",
+        "distance_to_outlet_exact": _LDN + ", hx AS (SELECT idx, 0::FLOAT AS ldn FROM e WHERE idx = ds UNION ALL SELECT e.idx, (hx.ldn + plen::FLOAT)::FLOAT FROM hx JOIN e ON e.ds = hx.idx AND e.idx <> e.ds JOIN st2 ON st2.idx = e.idx) SELECT idx, ldn FROM hx",
         "longest_upstream_path": _LDN + "SELECT v AS idx, (max(a.ldn) - any_value(b.ldn))::FLOAT AS lup FROM w JOIN ln a ON a.idx = u JOIN ln b ON b.idx = v GROUP BY v",
         "strahler_order": CLOSURE_SQL + _orders("e", "w"),
         "strahler_order_channels": CLOSURE_SQL + f", ch AS MATERIALIZED ({channel}), ce AS (SELECT e.* FROM e JOIN ch USING (idx))" + _orders("ce", "w", "SELECT idx FROM ch"),

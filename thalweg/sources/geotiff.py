@@ -260,14 +260,14 @@ def write_geotiff(cells: DataFrame, header: GridHeader, path: str, compression:
     """Write (idx, value) as a tiled single-band file; cells without a row are no data. An existing
     path is refused; the file appears when it is complete."""
     if os.path.lexists(path):
-        raise FileExistsError(f"{path} exists and is not written over: move it away or give another name")
+        raise FileExistsError(f"there is a file named {path} already; nothing is written over it")
     part = f"{path}.part"
     if os.path.lexists(part):
-        raise FileExistsError(f"{part} exists and is not written over: move it away or give another name")
+        raise FileExistsError(f"there is a file named {part} already; nothing is written over it")
     try:
         _write(cells, header, part, compression)
         if os.path.lexists(path):
-            raise FileExistsError(f"{path} appeared while it was written")
+            raise FileExistsError(f"another file took the name {path} meanwhile")
         os.replace(part, path)
     except BaseException:
         if os.path.lexists(part):

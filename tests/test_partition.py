@@ -199,3 +199,29 @@ def test_options_that_are_refused(spark):
     for labels in ([(0, 1), (1, 2)], [(0, 0), (1, 0)]):
         with pytest.raises(ValueError):
             net.partition(2, basins=spark.createDataFrame(labels, "idx long, basin long"))
+
+
+def test_splinters_join_the_part_of_their_longest_boundary():
+    # a row of nodes: 0 0 1 0 2 2, node 2 light; node 6 is an island of part 0
+    g = P.Graph(np.array([5.0, 5, 0.1, 0.2, 5, 5, 0.1]), np.zeros(7), np.arange(7.0), {(0, 1): 1, (1, 2): 3, (2, 3): 1, (3, 4): 2, (4, 5): 1})
+    got = P.settled(g, np.array([0, 0, 1, 0, 2, 2, 0]), 1.0)
+    assert got.tolist() == [0, 0, 1, 2, 2, 2, 0]  # the only piece of a part stays, whatever its weight
+    got = P.settled(g, np.array([0, 0, 2, 0, 2, 2, 0]), 1.0)
+    assert got.tolist() == [0, 0, 0, 2, 2, 2, 0]  # two splinters side by side never swap
+    assert P.settled(g, np.array([0, 0, 1, 0, 2, 2, 0]), 0.01).tolist() == [0, 0, 1, 0, 2, 2, 0]
+
+
+def test_nodes_without_cells_follow_their_neighbours():
+    g = P.Graph(np.array([4.0, 0, 4, 4, 0, 0]), np.array([0.0, np.nan, 0, 0, np.nan, 0]), np.array([0.0, 1, 2, 3, 4, 5]), {(0, 1): 1, (1, 2): 1, (2, 3): 1, (3, 4): 1})
+    part = P.divide(g, 3)
+    assert len({part[0], part[2], part[3]}) == 3 and part[1] in (part[0], part[2]) and part[4] == part[3] and part[5] == 0
+    assert P.divide(P.Graph(np.zeros(3), np.zeros(3), np.zeros(3), {}), 2).tolist() == [0, 0, 0]
+    assert P.with_neighbours(g, np.array([7, 0, 5, 5, 0, 0]), np.array([True, False, True, True, False, False])).tolist() == [7, 5, 5, 5, 5, 0]
+
+
+def test_a_dominant_node_takes_what_it_cuts_off():
+    # a star: the centre is above its share, and the small leaves it separates go with it
+    weight = np.array([50.0, *[1.0] * 5, 20.0, 20.0])
+    g = P.Graph(weight, np.zeros(8), np.arange(8.0), {**{(0, k): 1 for k in range(1, 6)}, (0, 6): 1, (6, 7): 1})
+    part = P.divide(g, 3)
+    assert {int(part[k]) for k in range(6)} == {int(part[0])} and len({int(part[0]), int(part[6]), int(part[7])}) == 3

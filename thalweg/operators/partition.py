@@ -302,11 +302,64 @@ def _chain(graph: Graph, part: np.ndarray, loads: np.ndarray, apply) -> bool:
     return False
 
 
+def settled(graph: Graph, part: np.ndarray, limit: float) -> np.ndarray:
+    """Splinters go home: of a part in several pieces, every piece but the heaviest that weighs less than ``limit`` joins
+    the part with which it shares the longest boundary (the smallest of equal ones). A piece that touches nothing else is
+    an island and stays; one that touches only splinters waits until one of them has settled."""
+    part = part.copy()
+    while True:
+        held = [(p, graph.pieces(set(np.flatnonzero(part == p).tolist()))) for p in np.unique(part)]
+        splinters = [(float(sum(graph.weight[list(x)])), min(x), x) for _, pieces in held for x in pieces[1:]]
+        splinters = sorted((w, v, x) for w, v, x in splinters if w < limit)
+        loose = set().union(*(x for _, _, x in splinters)) if splinters else set()
+        moves = []
+        for _, _, x in splinters:
+            beside: dict[int, float] = {}
+            for v in x:
+                for u, b in graph.near[v].items():
+                    if u not in loose:
+                        beside[int(part[u])] = beside.get(int(part[u]), 0.0) + b
+            if beside:
+                moves.append((x, min(beside, key=lambda q: (-beside[q], q))))
+        if not moves:
+            return part
+        for x, q in moves:
+            part[list(x)] = q
+
+
+def with_neighbours(graph: Graph, part: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """Nodes that don't have a part of their own take that of the nearest node, in steps, that has one, the smallest where
+    several are as near; 0 where none is reached."""
+    out, near = np.where(has, part, 0), set(np.flatnonzero(has).tolist())
+    left = set(range(len(graph))) - near
+    while near and left:
+        asked = {u for v in near for u in graph.near[v] if u in left}
+        found = {u: min(int(out[v]) for v in graph.near[u] if v in near) for u in asked}
+        out[list(found)] = list(found.values())
+        near, left = asked, left - asked
+    return out
+
+
 def divide(graph: Graph, n_parts: int, target: float = 1.005, refine: bool = True) -> np.ndarray:
-    """A part for each node."""
+    """A part for each node. Nodes without cells or without a centre weigh nothing: the others are divided, tied to each other
+    through them, and they follow."""
+    n = len(graph)
+    live = (graph.weight > 0) & np.isfinite(graph.row) & np.isfinite(graph.col)
+    if not live.any():
+        return np.zeros(n, int)
+    if not live.all():
+        owner = with_neighbours(graph, np.arange(n), live)
+        _, group = np.unique(owner, return_inverse=True)
+        kept = Graph(np.where(live, graph.weight, 0.0), np.where(live, graph.row, 0.0), np.where(live, graph.col, 0.0), graph.links)
+        part = divide(kept.contracted(group), n_parts, target, refine)[group]
+        return with_neighbours(graph, part, live)
+    return settled(graph, _divided(graph, n_parts, target, refine), graph.weight.sum() / max(n_parts, 1) / 100)
+
+
+def _divided(graph: Graph, n_parts: int, target: float, refine: bool) -> np.ndarray:
     n = len(graph)
     part = np.zeros(n, int)
-    if n_parts == 1 or n == 0:
+    if n_parts == 1:
         return part
     if n <= n_parts:
         return np.arange(n)

@@ -1,10 +1,14 @@
+import hashlib
 import re
 
 import corpus_pipeline as P
 import pytest
 from samples import SF, docs, empty, words
+from test_op10_language import brute as languages
+from test_op2_mixing import shares
 from test_op5_secrets import SECRETS, spans
 from test_op8_neardup import brute
+from tokenizers import Tokenizer
 
 from thalweg.llm import bpe
 from thalweg.llm.common import cut
@@ -73,8 +77,6 @@ def test_the_mix_and_its_tokens(stages):
         by[r["source"]] = by.get(r["source"], 0) + n
         assert r["text"] == size[r["doc_id"]][2] or r["text"] in size[r["doc_id"]][2]
     assert all(n <= 3 * size[k][1] for k, n in taken.items())
-    from test_op2_mixing import shares
-
     totals: dict = {}
     for s, n, _ in size.values():
         totals[s] = totals.get(s, 0) + n
@@ -91,6 +93,52 @@ def test_run_gives_the_last_stage(spark, stages):
     assert key(P.run(spark, SF)) == key(stages[-1])
 
 
+def redacted(text):
+    out, at = [], 0
+    for start, _, end, _ in spans(text):
+        if start >= at:
+            out += [text[at:start], "[secret]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def mixed(rows):
+    """(id, text, source) of each row that the mix takes in each round, from plain streams of words."""
+    sources: dict = {}
+    for d, text, source in rows:
+        sources.setdefault(source, []).append((d, text, len(words(text))))
+    target = shares({s: sum(n for _, _, n in x) for s, x in sources.items()})
+    out = []
+    for source, docs_ in sources.items():
+        order = sorted(docs_, key=lambda x: (hashlib.md5(f"7:{x[0]}:{x[2]}".encode()).hexdigest(), x[0], x[2]))
+        left = int(target[source] + 1e-6)
+        while left and any(n for _, _, n in order):
+            for d, text, n in order:
+                n = min(n, left)
+                if n:
+                    ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+                    starts = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+                    out.append((d, text if n == len(ends) else text[starts[0] : ends[n - 1]], source))
+                left -= n
+    return out
+
+
+def test_the_whole_pipeline_against_loops(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    told = languages([r[:3] for r in rows], hold=False)
+    kept = sorted((d, t, told[d][1], s) for d, t, _, s in rows if told[d][3])
+    low = brute([t for _, t, _, _ in kept], 5, 80)
+    clean = [(d, redacted(t), lang, s) for k, (d, t, lang, s) in enumerate(kept) if low[k] == k]
+    lang = {d: x for d, _, x, _ in clean}
+    library = Tokenizer.from_file(bpe.vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    want = [(d, lang[d], s, tuple(library.encode(t, add_special_tokens=False).ids)) for d, t, s in mixed([(d, t, s) for d, t, _, s in clean])]
+    got = [(r["doc_id"], r["lang"], r["source"], tuple(r["ids"])) for r in P.run(spark, SF).collect()]
+    assert len(want) > 100
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("stage", [f for _, f in P.STAGES], ids=[n for n, _ in P.STAGES])
 def test_each_stage_bears_rows_of_every_kind(spark, stage):
     source = docs(spark)

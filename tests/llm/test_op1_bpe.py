@@ -44,13 +44,14 @@ def test_any_text(library, coder, texts):
 def test_a_small_memory_changes_nothing(library, coder, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
     small = bpe.PairIndexBPE.__new__(bpe.PairIndexBPE)
-    small.__dict__ |= coder.__dict__ | {"chunks": bpe.Memory(), "words": bpe.Memory()}
+    small.__dict__ |= coder.__dict__ | {"memory": {d: (bpe.Memory(), bpe.Memory()) for d in (True, False)}}
     texts = [f"river{k % 7} and%% {k} <|endoftext|> again river{k % 3}" for k in range(60)]
     for at in range(0, 60, 4):
         for t, (raw, said) in zip(texts[at : at + 4], small.coded(texts[at : at + 4]), strict=True):
             want = library.encode(t, add_special_tokens=False).ids
             assert np.frombuffer(raw, "<u4").tolist() == want and said.decode() == library.decode(want, skip_special_tokens=False)
-        assert len(small.chunks.ids) + len(small.words.ids) < 60
+        assert small.encode_batch(texts[at : at + 4]) == coder.encode_batch(texts[at : at + 4])
+        assert all(len(m.ids) < 40 for pair in small.memory.values() for m in pair)
 
 
 def test_documents(spark, library):

@@ -73,7 +73,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memory:
-    """Codes of strings, as two tables: of ids and of decoded text. Of what two generations of CACHE_WORDS hold, what
+    """Codes of strings, as two tables: of ids as little-endian 32-bit numbers, and of decoded text. Of what two generations of CACHE_WORDS hold, what
     the last one asked for stays."""
 
     def __init__(self) -> None:
@@ -89,7 +89,9 @@ class Memory:
         out = []
         for w in set(asked).difference(ids):
             if w in old:
-                ids[w], text[w] = old[w], old_text[w]
+                ids[w] = old[w]
+                if w in old_text:
+                    text[w] = old_text[w]
             else:
                 out.append(w)
         return out
@@ -118,9 +120,8 @@ class PairIndexBPE:
         letters = byte_letters()
         self.first_symbol = np.array([self.vocab[letters[b]] for b in range(256)], np.int32)
         self.last_symbol = np.array([self.vocab[letters[b] + self.suffix] for b in range(256)], np.int32)
-        #: What is remembered: (ids as little-endian 32-bit numbers, decoded text) of chunks and special tokens, and
-        #: of pre-tokens.
-        self.chunks, self.words = Memory(), Memory()
+        #: What is remembered of chunks and special tokens, and of pre-tokens: with decoded text and without.
+        self.memory = {True: (Memory(), Memory()), False: (Memory(), Memory())}
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of one text without special tokens."""
@@ -213,20 +214,20 @@ class PairIndexBPE:
         cuts = np.searchsorted(alive, heads).tolist() + [len(ids)]
         return [tuple(ids[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str], decoded: bool) -> None:
         """Remember what chunks are coded to; their new pre-tokens pass through the pair index together."""
         rows = [self.pieces(c) for c in chunks]
-        words, known = self.words, self.chunks
+        known, words = self.memory[decoded]
         new = words.missing(chain.from_iterable(rows))
         for w, coded in zip(new, self.merge(new), strict=True):
             words.ids[w] = pack(f"<{len(coded)}I", *coded)
-            words.text[w] = self.decode(coded).encode("utf-8", "surrogatepass")
+            if decoded:
+                words.text[w] = self.decode(coded).encode("utf-8", "surrogatepass")
         ids, text = words.ids, words.text
         for c, row in zip(chunks, rows, strict=True):
-            if len(row) == 1:
-                known.ids[c], known.text[c] = ids[row[0]], text[row[0]]
-            else:
-                known.ids[c], known.text[c] = b"".join([ids[w] for w in row]), b" ".join([text[w] for w in row])
+            known.ids[c] = ids[row[0]] if len(row) == 1 else b"".join([ids[w] for w in row])
+            if decoded:
+                known.text[c] = text[row[0]] if len(row) == 1 else b" ".join([text[w] for w in row])
 
     def cut(self, text: str | None) -> list[str]:
         """A text as chunks and special tokens. No pre-token spans a blank, so texts are cut at blanks and each
@@ -240,12 +241,12 @@ class PairIndexBPE:
         """(ids as little-endian 32-bit numbers, decoded text in UTF-8) of each text; special tokens in a
         text count as such."""
         rows = [self.cut(t) for t in texts]
-        chunks = self.chunks
+        chunks = self.memory[decoded][0]
         new = chunks.missing(chain.from_iterable(rows))
         for c in new:
             if c in self.special:
                 chunks.ids[c], chunks.text[c] = pack("<I", self.special[c]), c.encode()
-        self.learn([c for c in new if c not in self.special])
+        self.learn([c for c in new if c not in self.special], decoded)
         ids, text = chunks.ids.__getitem__, chunks.text.__getitem__
         for row in rows:
             # a chunk without ids leaves no gap in the text

@@ -151,9 +151,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     one = F.when(F.col("epoch").isNotNull(), F.struct("slot", "from", "to", "size"))
     spans = spans.groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("code").alias(c)).agg(F.sort_array(F.collect_list(one)).alias(spans_), F.count_if(F.coalesce("epoch", F.lit(0)) == 0).alias(o)).filter(F.size(spans_) > 0)
     on = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (code == F.col(c))
-    both = docs.join(spans.hint("shuffle_hash"), on)
-    again = both.filter(F.col(o) > 1).groupBy(d, s, c).agg(F.min(F.struct(*docs.columns)).alias(o), F.first(spans_).alias(spans_))
-    taken = both.filter(F.col(o) == 1).select(*docs.columns, F.explode(spans_).alias(s)).unionByName(again.select(f"{o}.*", F.explode(spans_).alias(s)))
+    spans = cut(spans, "spans")
+    taken = docs.join(spans.filter(F.col(o) == 1).hint("shuffle_hash"), on).select(*docs.columns, F.explode(spans_).alias(s))
+    if spans.filter(F.col(o) > 1).limit(1).count():  # else texts move once
+        again = docs.join(spans.filter(F.col(o) > 1).hint("shuffle_hash"), on).groupBy(d, s, c).agg(F.min(F.struct(*docs.columns)).alias(o), F.first(spans_).alias(spans_))
+        taken = taken.unionByName(again.select(f"{o}.*", F.explode(spans_).alias(s)))
     part = F.expr(f"""
       array_join(zip_with(slice(regexp_extract_all(text, '{SQL_WORD}', 0), cast({s}.from + 1 as int), cast({s}.to - {s}.from as int)),
         slice(split(text, '{SQL_WORD}', -1), cast({s}.from + 2 as int), cast({s}.to - {s}.from - 1 as int)), (w, b) -> concat(w, coalesce(b, ''))), '')

@@ -186,3 +186,12 @@ def test_areas_of_the_whole_globe(spark):
     assert abs(rows[0] / (4 * np.pi * 6371.0**2) - 1) < 1e-4 and abs(rows[1] / 510065621.7 - 1) < 1e-4
     flat = spark.range(1).select(geodesy.pixel_area_km2(F.col("id"), METRES, False)).first()[0]
     assert abs(flat - 0.01) < 1e-9
+
+
+def test_skeletons_are_taken_apart_as_well(spark, net, ds, monkeypatch):
+    from thalweg.operators import blocks
+
+    monkeypatch.setattr(blocks, "SKELETON", 12)
+    assert found(kernels.strahler_order(net.edges, net.base, limit=6), "strahler") == brute.strahler(ds)
+    whole = found(kernels.distance_to_outlet(net.edges, net.pixel_length, exact=True, base=net.base, limit=100_000), "ldn")
+    assert found(kernels.distance_to_outlet(net.edges, net.pixel_length, exact=True, base=net.base, limit=6), "ldn") == whole

@@ -7,8 +7,8 @@ depend on nothing but the cell's subtree, so the forest is taken apart: subtrees
 cells above, each of which drains more than ``limit`` cells, form a thin skeleton per basin; it is
 evaluated afterwards with the blocks' results as its leaves. Top-down recursions run in reverse.
 
-The skeleton of a basin is one group: of N cells drained by its outlet those with more than
-``limit`` cells upstream, which on a raster is a small part of them (trunk rivers only).
+A skeleton of more than SKELETON cells is taken apart in the same way, by the number of its own cells upstream,
+and so on, so no group holds more than about SKELETON cells of one basin.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from thalweg.operators.forest import Wanted, solve
 from thalweg.operators.store import cut
 
-#: Cells of a block at most, and of a bucket about.
-LIMIT = 200_000
+#: Cells of a block at most, and of a bucket about; and of one basin's skeleton before it is taken apart itself.
+LIMIT = SKELETON = 200_000
 
 
 def _blocks(cells: DataFrame, limit: int) -> tuple[DataFrame, bool]:
@@ -44,6 +44,17 @@ def _buckets(blocks: DataFrame, limit: int) -> DataFrame:
     return blocks.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(n)))
 
 
+def _own_sizes(cells: DataFrame) -> DataFrame | None:
+    """``cells`` with ``size`` counted among themselves, if any basin holds more than SKELETON of them; else None."""
+    if not cells.groupBy("root").count().filter(F.col("count") > SKELETON).limit(1).count():
+        return None
+    cells = cut(cells, "skeleton")
+    there = cells.select(F.col("idx").alias("_p"))
+    forest = cells.join(there, F.col("par") == F.col("_p"), "left").select("idx", F.col("_p").alias("par"), F.lit(1).cast("long").alias("one"))
+    found = solve(forest, Wanted(sums=("one",)), "sizes").select(F.col("idx").alias("_i"), F.col("sum_one").alias("_n"))
+    return cells.join(found, F.col("idx") == F.col("_i")).withColumn("size", F.col("_n")).drop("_i", "_n")
+
+
 def fold_up(cells: DataFrame, extras: tuple[str, ...], outputs: str, fn: Callable[[pd.DataFrame], pd.DataFrame], limit: int = LIMIT) -> DataFrame:
     """idx and ``outputs`` of every cell, leaf to root.
 
@@ -52,29 +63,27 @@ def fold_up(cells: DataFrame, extras: tuple[str, ...], outputs: str, fn: Callabl
     are then left out), and returns idx and the outputs of all rows.
     """
     fields = [x.strip().split() for x in outputs.split(",")]
-    names = [n for n, _ in fields]
-    cells, tall = _blocks(cells.select("idx", "par", "root", "size", "depth", *extras), limit)
-    ask = ["idx", "par", "depth", *extras]
-    schema = f"idx long, {outputs}"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        for n in names:
-            if f"known_{n}" not in frame:
-                frame[f"known_{n}"] = None
-        return fn(frame.sort_values(["depth", "idx"], kind="stable", ignore_index=True))
-
-    low = _buckets(cells.filter("block is not null"), limit).groupBy("bucket").applyInPandas(lambda f: run(f[ask].copy()), schema)
+    known = [F.lit(None).cast(kind).alias(f"known_{n}") for n, kind in fields]
+    return _fold_up(cells.select("idx", "par", "root", "size", "depth", *extras, *known), extras, outputs, [n for n, _ in fields], fn, limit)
+
+
+def _fold_up(cells: DataFrame, extras: tuple[str, ...], outputs: str, names: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], limit: int) -> DataFrame:
+    known = [f"known_{n}" for n in names]
+    ask, schema = ["idx", "par", "depth", *extras, *known], f"idx long, {outputs}"
+    run = lambda f: fn(f[ask].sort_values(["depth", "idx"], kind="stable", ignore_index=True))
+    cells, tall = _blocks(cells, limit)
+    low = _buckets(cells.filter("block is not null"), limit).groupBy("bucket").applyInPandas(run, schema)
     if not tall:
         return low
     low = cut(low, "low")
-    known = low.select(F.col("idx").alias("_i"), *[F.col(n).alias(f"known_{n}") for n in names])
-    leaves = cells.filter("idx = block").join(known, F.col("idx") == F.col("_i")).drop("_i")
+    got = low.select(F.col("idx").alias("_i"), *[F.col(n).alias(f"known_{n}") for n in names])
+    leaves = cells.filter("idx = block").drop(*known).join(got, F.col("idx") == F.col("_i"))
     above = cells.filter("block is null")
-    for n, kind in fields:
-        above = above.withColumn(f"known_{n}", F.lit(None).cast(kind))
-    both = above.unionByName(leaves.select(*above.columns))
+    both = above.drop("block").unionByName(leaves.select(*above.drop("block").columns))
+    smaller = _own_sizes(both)
+    high = both.groupBy("root").applyInPandas(run, schema) if smaller is None else _fold_up(smaller, extras, outputs, names, fn, limit)
     # a block root's own outputs may be settled by its receiver, so the skeleton speaks for it
-    high = cut(both.groupBy("root").applyInPandas(lambda f: run(f[[*ask, *[f"known_{n}" for n in names]]].copy()), schema), "high")
+    high = cut(high, "high")
     return low.join(high.select("idx"), "idx", "left_anti").unionByName(high)
 
 
@@ -82,15 +91,22 @@ def fold_down(cells: DataFrame, extras: tuple[str, ...], output: str, fn: Callab
     """idx and ``output`` (name and type) of every cell, root to leaf: skeletons first, then blocks.
     ``fn`` gets rows sorted by rank with ``given``: the receiver's result where it isn't in the frame."""
     name, kind = output.split()
-    cells, tall = _blocks(cells.select("idx", "par", "root", "size", "rank", *extras), limit)
-    ask, schema = ["idx", "par", "rank", *extras], f"idx long, {output}"
-    run = lambda f: fn(f[[*ask, "given"]].sort_values(["rank", "idx"], kind="stable", ignore_index=True))
-    bare = cells.withColumn("given", F.lit(None).cast(kind))
+    return _fold_down(cells.select("idx", "par", "root", "size", "rank", *extras), extras, name, kind, fn, limit)
+
+
+def _fold_down(cells: DataFrame, extras: tuple[str, ...], name: str, kind: str, fn: Callable[[pd.DataFrame], pd.DataFrame], limit: int) -> DataFrame:
+    ask, schema = ["idx", "par", "rank", *extras, "given"], f"idx long, {name} {kind}"
+    run = lambda f: fn(f[ask].sort_values(["rank", "idx"], kind="stable", ignore_index=True))
+    cells, tall = _blocks(cells, limit)
+    none = F.lit(None).cast(kind)
     if not tall:
-        return _buckets(bare, limit).groupBy("bucket").applyInPandas(run, schema)
-    high = cut(bare.filter("block is null").groupBy("root").applyInPandas(run, schema), "high")
-    above = high.select(F.col("idx").alias("_p"), F.col(name).alias("_given"))
-    low = cells.filter("block is not null").join(above, F.col("par") == F.col("_p"), "left").drop("_p").withColumnRenamed("_given", "given")
+        return _buckets(cells.withColumn("given", none), limit).groupBy("bucket").applyInPandas(run, schema)
+    above = cells.filter("block is null").drop("block")
+    smaller = _own_sizes(above)
+    high = above.withColumn("given", none).groupBy("root").applyInPandas(run, schema) if smaller is None else _fold_down(smaller, extras, name, kind, fn, limit)
+    high = cut(high, "high")
+    given = high.select(F.col("idx").alias("_p"), F.col(name).alias("given"))
+    low = cells.filter("block is not null").join(given, F.col("par") == F.col("_p"), "left").drop("_p")
     return high.unionByName(_buckets(low, limit).groupBy("bucket").applyInPandas(run, schema))
 
 

@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thalweg.llm.common import cut, held_out, hits, id_bit, id_map, slices, small_batches, spare, table
-from thalweg.llm.features import CACHE_WORDS, LETTER, WordIds, spellings
+from thalweg.llm.features import LETTER, WordIds, spellings
 
 DISCOUNT = 0.75
 #: Times that a word, a pair or a run of letters must have been seen to be in a model.
 LEAST = 2
+#: Raw and bare words that a worker remembers.
+CACHE_WORDS = 400_000
 #: Words that a task counts before it gives their sums, and bytes of texts that it scores at once.
 PIECE, TAKEN = 2_000_000, 3_000_000
 #: Stands before the first word.
@@ -93,7 +95,11 @@ def counts(docs: DataFrame) -> DataFrame:
                 yield from summed(pairs[toxic], seen[toxic], toxic)
 
     got = docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "kind int, key long, n0 long, n1 long")
-    return got.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # dealt out by context, so that sums by context find their rows together in what is written
+    shift = F.when(F.col("kind") == 0, F.shiftrightunsigned("key", 32)).otherwise(F.shiftright("key", LETTER))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = got.withColumn("context", shift).repartition(n, "kind", "context")
+    return dealt.groupBy("kind", "context", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).drop("context")
 
 
 def _gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -228,13 +234,20 @@ class Evidence:
         self.models = models
         self.forget()
 
+    @classmethod
+    def of_worker(cls, models: Models) -> Evidence:
+        """That of the models' copy in this process: tasks of a worker share what they remember."""
+        if not hasattr(models, "evidence"):
+            models.evidence = cls(models)
+        return models.evidence
+
     def forget(self) -> None:
         self.raw: dict[bytes, int] = {}
         self.bare: dict[bytes, int] = {}
         size = 1 << 12
         self.id, self.p, self.seen, self.left = np.zeros(size, np.uint64), np.zeros((2, size)), np.zeros((2, size)), np.zeros((2, size))
         self.alone, self.spelt = np.zeros(size), np.zeros(size)
-        self.add([b"\x00start"], [""], np.array([START], np.uint64))
+        self.add([b"\xffstart"], [""], np.array([START], np.uint64))
 
     def add(self, names: list[bytes], bare: list[str], ids: np.ndarray) -> None:
         at, n = len(self.bare), len(names)
@@ -251,13 +264,15 @@ class Evidence:
         self.bare.update(zip(names, range(at, at + n), strict=True))
 
     def learn(self, words: list[bytes]) -> None:
-        bare = {w: WordIds.bare(w) for w in words}
-        named = {w: b.encode() or b"\x00" + w[:3] for w, b in bare.items()}
-        new = {named[w]: w for w in words if named[w] not in self.bare}
+        # ASCII letters need no trimming and no decoding
+        named = {w: w.lower() if w.isalpha() else WordIds.bare(w).encode() or b"\xff" + w[:3] for w in words}
+        known = self.bare
+        new = {x: w for w, x in named.items() if x not in known}
         if new:
-            ids = np.array([WordIds.id_of(w, bare[w]) for w in new.values()], np.uint64)
-            self.add(list(new), [bare[w] for w in new.values()], ids)
-        self.raw.update((w, self.bare[x]) for w, x in named.items())
+            bare = ["" if x[0] == 0xFF else x.decode() for x in new]
+            ids = np.array([WordIds.id_of(w, b) for w, b in zip(new.values(), bare, strict=True)], np.uint64)
+            self.add(list(new), bare, ids)
+        self.raw.update((w, known[x]) for w, x in named.items())
 
     def of(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: mean log ratio over the text and its largest mean over stretches of words, of words
@@ -267,8 +282,10 @@ class Evidence:
         some = [k for k, r in enumerate(rows) if r]
         if not some:
             return out
-        if len(self.raw) > CACHE_WORDS:
+        if len(self.bare) > CACHE_WORDS:
             self.forget()
+        elif len(self.raw) > CACHE_WORDS:
+            self.raw = {}
         if new := list(set(chain.from_iterable(rows)).difference(self.raw)):
             self.learn(new)
         size = np.array([len(rows[k]) for k in some])
@@ -363,7 +380,7 @@ def evidence(docs: DataFrame, shared, text: str = "text", weights: np.ndarray |
         schema = schema.add(c, T.ArrayType(T.DoubleType()) if weights is None else T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Evidence(shared.value)
+        models = Evidence.of_worker(shared.value)
         for b in slices(batches, TAKEN):
             got = models.of(b.column(b.num_columns - 1).to_pylist())
             if weights is None:

@@ -103,17 +103,16 @@ def test_likeness_follows_the_shared_terms(spark):
 def test_membership_is_exact(spark):
     found = [k * 32768 + j for k in range(-5, 40, 3) for j in (0, 1, 777, 32767)]
     df = spark.createDataFrame([(t,) for f in found for t in (f, f + 1, f + 32768, -f)], "t long")
-    for some in (found, [], found[:1]):
+    for some in (found, [], found[:1], [0], [7 << 40, 7 << 41, 0, 1, 2]):
         assert all(r["hit"] == (r["t"] in set(some)) for r in df.select("t", I.held_by(some)(F.col("t")).alias("hit")).collect())
 
 
-def test_rows_of_every_kind(spark, tmp_path):
-    source = docs(spark)
-    rows = I.op7_imatch(spark, write(spark, tmp_path / "a", documents=source)).collect()
-    assert len(rows) == source.count() and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
-    same = {r["doc_id"]: r["fingerprint"] for r in rows}
-    assert same[6] == same[7]
-    one = source.filter("doc_id = 6")
-    r = I.op7_imatch(spark, write(spark, tmp_path / "b", documents=one)).first()
-    assert r["near_next"] == 1.0
-    assert I.op7_imatch(spark, write(spark, tmp_path / "c", documents=empty(spark))).count() == 0
+def test_two_places_hold_all_numbers_or_none():
+    import random
+
+    rng = random.Random(3)
+    found = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(5000)]
+    table = I.two_places(found, 1 << 14)
+    assert sorted(t for t in table if t is not None) == sorted(found)
+    assert all(t is None or k in (t & 16383, t >> 31 & 16383) for k, t in enumerate(table))
+    assert I.two_places(found, 1 << 12) is None

@@ -10,7 +10,7 @@ thinnest on which at least FILLED of the slots are filled. How many are equal ha
 
 The lexicon is an exact set of terms and bounded: a term of the band stands in at least LOW of all
 documents, so there are at most (mean distinct terms of a document) / LOW such terms. It is carried as one
-sorted list in buckets of its hash.
+table in which each term has two places.
 
 Edge cases: a null text is empty; a text without lexicon terms takes all its terms instead; a text
 without words has empty slots only, and two such texts have likeness 1; documents with equal ids
@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import ceil
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +30,11 @@ from thalweg.llm.common import WORD, cut, successors, table
 
 #: The band: shares of documents in which a lexicon term stands.
 LOW, HIGH = 0.0005, 0.15
-#: Buckets of the lexicon; a power of two.
-BUCKETS = 1 << 15
 #: Subsets of a level, and how many of them would cover the lexicon, by level.
-SUBSETS = 32
-COVER = (32, 128, 512, 2048)
+SUBSETS = 24
+COVER = (24, 96, 384, 1536)
 #: Subsets that are told apart at once; then each of SUBSETS / SPLIT parts is told apart.
-SPLIT = 8
+SPLIT = 6
 #: Share of a level's slots that must be filled for the level to count.
 FILLED = 1 / 3
 #: Part of every slot's hash.
@@ -60,22 +57,33 @@ def lexicon(docs: DataFrame, text: str = "text") -> list[int]:
     return counts.select("term").toArrow().column("term").to_pylist()
 
 
-def held_by(found: list[int]) -> Callable[[Column], Column]:
-    """A test of membership in a set of hashes, for columns: the set in the order of its buckets, and where each starts;
-    both are folded to literals."""
-    bucket = np.array(found, np.int64) & (BUCKETS - 1)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-    literal = lambda x, kind: F.split(F.lit(",".join(map(str, x))), ",").cast(f"array<{kind}>")
-    if not found:
-        return lambda t: F.lit(False)
-    members, starts = literal(np.array(found, np.int64)[order].tolist(), "bigint"), literal(edges.tolist(), "int")
+def two_places(found: list[int], size: int) -> list[int | None] | None:
+    """A table of ``size`` (a power of two) in which each number stands at one of its two places; None if they don't fit."""
+    out: list[int | None] = [None] * size
+    for t in found:
+        at = t & (size - 1)
+        for _ in range(200):
+            t, out[at] = out[at], t
+            if t is None:
+                break
+            at = (t >> 31 if at == t & (size - 1) else t) & (size - 1)  # whoever was there moves to the other place
+        else:
+            return None
+    return out
 
-    def test(t: Column) -> Column:
-        at = t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-        return F.array_contains(F.slice(members, F.get(starts, at) + 1, F.get(starts, at + 1) - F.get(starts, at)), t)
 
-    return test
+def held_by(found: list[int]) -> Callable[[Column], Column]:
+    """A test of membership in a set of hashes, for columns: a look at the two places of a hash in one table, which is
+    folded to a literal."""
+    size = 1 << max(4, (3 * len(found)).bit_length())
+    while (table_ := two_places(found, size)) is None:
+        size *= 2
+    known = set(found)
+    none = next(k for k in range(len(found) + 1) if k not in known)
+    literal = F.split(F.lit(",".join(str(none if t is None else t) for t in table_)), ",").cast("array<bigint>")
+    mask = F.lit(size - 1)
+    places = lambda t: F.array(t.bitwiseAND(mask), F.shiftright(t, 31).bitwiseAND(mask))
+    return lambda t: (t != none) & F.exists(places(t), lambda k: F.get(literal, k.cast("int")) == t)
 
 
 def slots_sql(kept: str) -> str:
@@ -145,11 +153,11 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dealt.join(heads.hint("shuffle_hash"), F.col("_k") == F.col("before_id"), "left")
     edited = F.expr("left(text, cast(length(text) - length(text) div 4 as int)) || left(head, cast(length(text) div 4 as int))")
     rows = rows.select("_k", "next_id", "text", edited.alias("edited"))
-    rows = rows.select("*", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    rows = rows.select("*", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha"))
     rows = with_fingerprint(rows, "text", "slots", known).drop("text")
     rows = cut(with_fingerprint(rows, "edited", "edited_slots", known).drop("edited"), "fingerprints")
     nexts = rows.groupBy(F.col("_k").alias("_id")).agg(F.min("slots").alias("next_slots"))
     return rows.join(nexts, F.col("next_id") == F.col("_id")).select(
-        F.nullif("_k", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", as_text("slots").alias("fingerprint"), as_text("edited_slots").alias("edited_fingerprint"),
+        F.nullif("_k", F.lit(NO_ID)).alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"), as_text("slots").alias("fingerprint"), as_text("edited_slots").alias("edited_fingerprint"),
         likeness("slots", "edited_slots").alias("near_edited"), likeness("slots", "next_slots").alias("near_next"),
     )

@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -337,21 +338,20 @@ def labelled(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str =
     return asked.join(marks.select(F.col(key).alias("_key"), "toxic").hint("shuffle_hash"), F.col("key") == F.col("_key")).select("key", "text", "toxic")
 
 
-def fit(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Models, np.ndarray]:
-    """Models and the weights of the logistic model. ``docs``: key, text; ``marks``: key, toxic, one
-    row a key."""
+def fit(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Broadcast, np.ndarray]:
+    """Models, as they were sent to the executors, and the weights of the logistic model. ``docs``: key, text;
+    ``marks``: key, toxic, one row a key."""
     held = cut(labelled(docs, marks, key, text), "labelled")
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("key")), F.lit(HOLD))
     luck = F.pmod(F.xxhash64(F.lit("calibration"), F.col("key")), F.lit(1 << 30))
     rate = min(1.0, MOST_CALIBRATION / max(held.filter(draw == 0).count(), 1))
-    models = models_of(cut(counts(held.filter(draw != 0)), "toxic-counts"))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = docs.sparkSession.sparkContext.broadcast(models_of(cut(counts(held.filter(draw != 0)), "toxic-counts")))
     some = held.filter((draw == 0) & (luck < int((1 << 30) * rate)))
     rows = evidence(some.select("toxic", "text"), shared).toArrow().to_pandas()
     if not len(rows) or rows["toxic"].nunique() < 2:
         share = marks.agg(F.avg("toxic")).first()[0] or 0.0
-        return models, np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), *[0.0] * WIDTH])
-    return models, logistic(np.array(rows["evidence"].tolist()), rows["toxic"].to_numpy(float))
+        return shared, np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), *[0.0] * WIDTH])
+    return shared, logistic(np.array(rows["evidence"].tolist()), rows["toxic"].to_numpy(float))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -392,11 +392,11 @@ def evidence(docs: DataFrame, shared, text: str = "text", weights: np.ndarray |
     return source.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, model: tuple[Models, np.ndarray], text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[Broadcast | Models, np.ndarray], text: str = "text") -> DataFrame:
     """Columns of ``docs`` but the text, plus score (0 to 1) and log_ratio, the difference of the length-normalised
     log-likelihoods; nothing is shuffled."""
     models, w = model
-    return evidence(docs, docs.sparkSession.sparkContext.broadcast(models), text, w)
+    return evidence(docs, docs.sparkSession.sparkContext.broadcast(models) if isinstance(models, Models) else models, text, w)
 
 
 def marks_of(labels: DataFrame, mark: str = "toxic") -> DataFrame:

@@ -6,6 +6,7 @@ Rasters and tables are written to the shared folder and read again, so a twin sa
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ NORTH, WEST = 3, 5
 
 
 def _folder(spark: SparkSession) -> str:
-    at = os.path.join(shared_dir(spark).removeprefix("file://"), f"thalweg-rasters-{uuid.uuid4().hex}")
+    at = os.path.join(re.sub("^file:(//)?", "", shared_dir(spark)), f"thalweg-rasters-{uuid.uuid4().hex}")
     os.makedirs(at)
     return at
 

@@ -103,9 +103,19 @@ def test_chances_are_those_of_the_book(spark):
         assert got.spelt(spellings([w])[0]) == pytest.approx(want, rel=1e-4, abs=1e-5)
 
 
+def test_keys_are_found():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        asked = np.concatenate([keys, keys + 1, rng.integers(0, 100, 50)])
+        at, here = toxicity.Keys(keys).find(asked)
+        assert here.tolist() == np.isin(asked, keys).tolist()
+        assert (keys[at[here]] == asked[here]).all()
+
+
 def test_chances_add_up(spark):
     got = models(spark, CORPUS)
-    keys = got.word.keys
+    keys = got.word.keys.keys
     for a in (toxicity.START, int(WordIds().of("bad")[0]), int(WordIds().of("good")[0])):
         one = np.full(len(keys), a, np.uint64)
         p = got.words.over((one << np.uint64(32) | keys.astype(np.uint64)).view(np.int64), *got.words.weights(one), got.word.of(keys))

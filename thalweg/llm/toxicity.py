@@ -111,20 +111,57 @@ def _gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], np.stack([got.column(c).to_numpy()[order] for c in ("n0", "n1")])
 
 
-def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each asked key is among sorted keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return at, keys[at] == asked
+class Keys:
+    """A set of distinct numbers in which many are looked for at once: a table of places by their hash, with free places
+    between; made in each process when it is first needed."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys}
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ x >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _make(self) -> None:
+        self.bits = max(4, int(4 * len(self.keys)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left, slots = np.arange(len(self.keys), dtype=np.int32), self._slots(self.keys)
+        while len(left):
+            free = self.table[slots] < 0
+            self.table[slots[free]] = left[free]
+            over = self.table[slots] != left  # somebody else's place: the next one
+            left, slots = left[over], (slots[over] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each asked number is among the keys (0 if nowhere), and whether it is there."""
+        at, here = np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        if not len(self.keys) or not len(asked):
+            return at, here
+        if not hasattr(self, "table"):
+            self._make()
+        left, slots = np.arange(len(asked)), self._slots(asked)
+        while len(left):
+            found = self.table[slots]
+            hit = self.keys[found] == asked[left]
+            hit &= found >= 0
+            at[left[hit]], here[left[hit]] = found[hit], True
+            on = ~hit & (found >= 0)
+            left, slots = left[on], (slots[on] + 1) & ((1 << self.bits) - 1)
+        return at, here
 
 
 class Level:
     """One order of both classes: what follows a context, backing off to a shorter one."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, total: np.ndarray, shift: int):
-        self.keys, self.n, self.contexts, self.total = keys, n, contexts, total
-        at, here = _find(contexts, self.context(keys, shift))
+        self.keys, self.n, self.contexts, self.total = Keys(keys), n, Keys(contexts), total
+        at, here = self.contexts.find(self.context(keys, shift))
         assert here.all()  # a key that is kept was seen as often as its context at least
         self.shift, self.at = shift, at.astype(np.int32)
         own = np.stack([np.bincount(at, np.maximum(x - DISCOUNT, 0), len(contexts)) for x in n])
@@ -137,14 +174,14 @@ class Level:
 
     def weights(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(how often each context was seen, the weight of its back-off), each for both classes."""
-        at, here = _find(self.contexts, context)
+        at, here = self.contexts.find(context)
         if not len(self.contexts):
             return np.zeros((2, len(context)), np.float32), np.ones((2, len(context)), np.float32)
         return np.where(here, self.total[:, at], 0), np.where(here, self.left[:, at], 1)
 
     def over(self, key: np.ndarray, seen: np.ndarray, left: np.ndarray, back: np.ndarray) -> np.ndarray:
         """The chances of keys whose contexts have these weights, ``back`` being those of the shorter context."""
-        at, here = _find(self.keys, key)
+        at, here = self.keys.find(key)
         n = np.where(here, self.n[:, at], 0) if len(self.keys) else np.zeros_like(back)
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(seen > 0, np.maximum(n - DISCOUNT, 0) / seen + left * back, back)
@@ -152,12 +189,12 @@ class Level:
 
     def after(self, key: np.ndarray, back: np.ndarray) -> np.ndarray:
         """As ``over``; the contexts of known keys needn't be looked for."""
-        at, here = _find(self.keys, key)
+        at, here = self.keys.find(key)
         if not len(self.keys):
             return back
         where = self.at[at]
         miss = np.flatnonzero(~here)
-        place, there = _find(self.contexts, self.context(key[miss], self.shift))
+        place, there = self.contexts.find(self.context(key[miss], self.shift))
         where[miss] = place
         seen, left, n = self.total[:, where], self.left[:, where], np.where(here, self.n[:, at], 0)
         seen[:, miss[~there]] = 0
@@ -169,7 +206,7 @@ class Base:
     """Single words or letters of both classes by continuation counts, backing off to what the classes share."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: int):
-        self.keys = keys
+        self.keys = Keys(keys)
         every = np.maximum(total, 1)[:, None]
         shared = (n.sum(0) + 0.5) / (total.sum() + 0.5 * (kinds + 1))
         unknown = 0.5 / (total.sum() + 0.5 * (kinds + 1))
@@ -178,8 +215,8 @@ class Base:
         self.p = np.concatenate([own + left * shared, left * unknown], axis=1)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        at, here = _find(self.keys, keys)
-        return self.p[:, np.where(here, at, len(self.keys))]
+        at, here = self.keys.find(keys)
+        return self.p[:, np.where(here, at, len(self.keys.keys))]
 
 
 def level(counted: DataFrame, shift: int) -> Level:
@@ -246,8 +283,8 @@ class Evidence:
         self.raw: dict[bytes, int] = {}
         self.bare: dict[bytes, int] = {}
         size = 1 << 12
-        self.id, self.p, self.seen, self.left = np.zeros(size, np.uint64), np.zeros((2, size)), np.zeros((2, size)), np.zeros((2, size))
-        self.alone, self.spelt = np.zeros(size), np.zeros(size)
+        self.id, (self.p, self.seen, self.left) = np.zeros(size, np.uint64), np.zeros((3, 2, size), np.float32)
+        self.alone, self.spelt = np.zeros((2, size), np.float32)
         self.add([b"\xffstart"], [""], np.array([START], np.uint64))
 
     def add(self, names: list[bytes], bare: list[str], ids: np.ndarray) -> None:
@@ -300,9 +337,9 @@ class Evidence:
         p = np.log(np.maximum(self.models.words.over(key, self.seen[:, before], self.left[:, before], self.p[:, k]), 1e-12))
         doc = np.repeat(np.arange(len(some)), size)
         values = (p[1] - p[0], self.alone[k], self.spelt[k])
-        columns = [np.add.reduceat(x, starts) / size for x in values]
+        columns = [np.add.reduceat(x, starts, dtype=np.float64) / size for x in values]
         for x in values:
-            sums = np.concatenate([[0.0], np.cumsum(x)])
+            sums = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
             total = sums[ends] - sums[starts]
             for s in STRETCHES:
                 means = np.full(len(x), -np.inf)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thalweg.operators.store import dealt
+
 # Fixed values of the convention: powers of two clockwise from east; 0 and 255 end a path; 247 is
 # no data. code: (step in rows, step in columns)
 STEPS = {1: (0, 1), 2: (1, 1), 4: (1, 0), 8: (1, -1), 16: (0, -1), 32: (-1, -1), 64: (-1, 0), 128: (-1, 1)}
@@ -55,4 +57,4 @@ def receivers(grid: DataFrame, nrow: int, ncol: int, nodata: float | None = None
     inside = (row >= 0) & (row < nrow) & (col >= 0) & (col < ncol)
     aimed = cells.select("idx", F.when(inside, row * ncol + col).otherwise(F.col("idx")).cast("long").alias("aim"))
     there = cells.select(F.col("idx").alias("_there"))
-    return aimed.join(there, F.col("aim") == F.col("_there"), "left").select("idx", F.coalesce("_there", "idx").alias("ds"))
+    return aimed.join(dealt(there), F.col("aim") == F.col("_there"), "left").select("idx", F.coalesce("_there", "idx").alias("ds"))

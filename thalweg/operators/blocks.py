@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.operators.forest import Wanted, solve
-from thalweg.operators.store import cut
+from thalweg.operators.store import cut, dealt
 
 #: Cells of a block at most, and of a bucket about; and of one basin's skeleton before it is taken apart itself.
 LIMIT = SKELETON = 200_000
@@ -33,10 +33,10 @@ def _blocks(cells: DataFrame, limit: int) -> tuple[DataFrame, bool]:
     if most <= limit:
         return cells.withColumn("block", F.col("root")), False
     over = cells.select(F.col("idx").alias("_p"), F.col("size").alias("_p_size"))
-    low = cells.filter(F.col("size") <= limit).select("idx", "par").join(over, F.col("par") == F.col("_p"), "left")
+    low = cells.filter(F.col("size") <= limit).select("idx", "par").join(dealt(over), F.col("par") == F.col("_p"), "left")
     low = low.select("idx", F.when(F.col("_p_size") <= limit, F.col("par")).alias("par"))
     found = solve(low, Wanted(), "blocks").select(F.col("idx").alias("_i"), F.col("root").alias("block"))
-    return cut(cells.join(found, F.col("idx") == F.col("_i"), "left").drop("_i"), "blocks"), True
+    return cut(cells.join(dealt(found), F.col("idx") == F.col("_i"), "left").drop("_i"), "blocks"), True
 
 
 def _buckets(blocks: DataFrame, limit: int) -> DataFrame:
@@ -50,9 +50,9 @@ def _own_sizes(cells: DataFrame) -> DataFrame | None:
         return None
     cells = cut(cells, "skeleton")
     there = cells.select(F.col("idx").alias("_p"))
-    forest = cells.join(there, F.col("par") == F.col("_p"), "left").select("idx", F.col("_p").alias("par"), F.lit(1).cast("long").alias("one"))
+    forest = cells.join(dealt(there), F.col("par") == F.col("_p"), "left").select("idx", F.col("_p").alias("par"), F.lit(1).cast("long").alias("one"))
     found = solve(forest, Wanted(sums=("one",)), "sizes").select(F.col("idx").alias("_i"), F.col("sum_one").alias("_n"))
-    return cells.join(found, F.col("idx") == F.col("_i")).withColumn("size", F.col("_n")).drop("_i", "_n")
+    return cells.join(dealt(found), F.col("idx") == F.col("_i")).withColumn("size", F.col("_n")).drop("_i", "_n")
 
 
 def fold_up(cells: DataFrame, extras: tuple[str, ...], outputs: str, fn: Callable[[pd.DataFrame], pd.DataFrame], limit: int = LIMIT) -> DataFrame:
@@ -77,14 +77,14 @@ def _fold_up(cells: DataFrame, extras: tuple[str, ...], outputs: str, names: lis
         return low
     low = cut(low, "low")
     got = low.select(F.col("idx").alias("_i"), *[F.col(n).alias(f"known_{n}") for n in names])
-    leaves = cells.filter("idx = block").drop(*known).join(got, F.col("idx") == F.col("_i"))
+    leaves = cells.filter("idx = block").drop(*known).join(dealt(got), F.col("idx") == F.col("_i"))
     above = cells.filter("block is null")
     both = above.drop("block").unionByName(leaves.select(*above.drop("block").columns))
     smaller = _own_sizes(both)
     high = both.groupBy("root").applyInPandas(run, schema) if smaller is None else _fold_up(smaller, extras, outputs, names, fn, limit)
     # a block root's own outputs may be settled by its receiver, so the skeleton speaks for it
     high = cut(high, "high")
-    return low.join(high.select("idx"), "idx", "left_anti").unionByName(high)
+    return low.join(dealt(high.select("idx")), "idx", "left_anti").unionByName(high)
 
 
 def fold_down(cells: DataFrame, extras: tuple[str, ...], output: str, fn: Callable[[pd.DataFrame], pd.DataFrame], limit: int = LIMIT) -> DataFrame:
@@ -106,7 +106,7 @@ def _fold_down(cells: DataFrame, extras: tuple[str, ...], name: str, kind: str,
     high = above.withColumn("given", none).groupBy("root").applyInPandas(run, schema) if smaller is None else _fold_down(smaller, extras, name, kind, fn, limit)
     high = cut(high, "high")
     given = high.select(F.col("idx").alias("_p"), F.col(name).alias("given"))
-    low = cells.filter("block is not null").join(given, F.col("par") == F.col("_p"), "left").drop("_p")
+    low = cells.filter("block is not null").join(dealt(given), F.col("par") == F.col("_p"), "left").drop("_p")
     return high.unionByName(_buckets(low, limit).groupBy("bucket").applyInPandas(run, schema))
 
 

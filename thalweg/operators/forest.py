@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thalweg.operators.store import cut, cut_with
+from thalweg.operators.store import cut, cut_with, dealt
 
 #: Consecutive cells of a tile, how many times wider tiles are on the next level, and the largest part of the cells that
 #: may be left over for another level to be worth it.
@@ -155,7 +155,7 @@ class Tiles:
         if seen["stuck"]:
             raise CyclicError("some cells drain into a cycle")
         on = found.filter("kind = 1").select(F.col("idx").alias("_i"), F.col("jump").alias("_jump"), *[F.col(c).alias(f"_{c}") for c in self.ways])
-        rest = found.filter("kind = 0").join(on, F.col("idx") == F.col("_i"), "left")
+        rest = found.filter("kind = 0").join(dealt(on), F.col("idx") == F.col("_i"), "left")
         far = [F.struct("depth", "head").alias("far")] if self.want.depth else []
         rest = rest.select("idx", F.col("_jump").alias("jump"), F.coalesce("_jump", "idx").alias("root"), *[F.coalesce(f"_{c}", F.lit(0)).cast(self.schema[c].dataType).alias(c) for c in self.ways], *[c for c in self.values if c not in ("depth", "head")], *far)
         return inward, rest.select(*self.state.columns)
@@ -166,7 +166,7 @@ class Tiles:
         if total is not None:
             flat = total.select(*total.columns, *([F.col("far.depth"), F.col("far.head")] if self.want.depth else []))
             parts.append((2, "idx", flat))
-            came = inward.select(F.col("idx").alias("_i"), F.col("jump").alias("_to"), *[F.col(c).alias(f"_{c}") for c in self.ways]).join(flat.select("idx", *self.values), F.col("_i") == F.col("idx"))
+            came = inward.select(F.col("idx").alias("_i"), F.col("jump").alias("_to"), *[F.col(c).alias(f"_{c}") for c in self.ways]).join(dealt(flat.select("idx", *self.values)), F.col("_i") == F.col("idx"))
             parts.append((1, "jump", came.select("idx", F.col("_to").alias("jump"), *[F.col(f"_{c}").alias(c) for c in self.ways], *self.values)))
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -292,11 +292,11 @@ def _round(state: DataFrame, paths: tuple[str, ...], want: Wanted) -> DataFrame:
         sent.append(F.max(F.struct((F.col("far.depth") + F.col("rank")).alias("depth"), F.col("far.head").alias("head"))).alias("_far"))
     active = state.filter("jump is not null")
     ahead = state.select(F.col("idx").alias("_at"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("rank").alias("_rank"), *[F.col(f"path_{c}").alias(f"_path_{c}") for c in paths])
-    looked = active.select(F.col("idx").alias("_from"), F.col("jump").alias("_by")).join(ahead, F.col("_by") == F.col("_at")).drop("_by", "_at")
-    now = state.join(looked, F.col("idx") == F.col("_from"), "left")
+    looked = active.select(F.col("idx").alias("_from"), F.col("jump").alias("_by")).join(dealt(ahead), F.col("_by") == F.col("_at")).drop("_by", "_at")
+    now = state.join(dealt(looked), F.col("idx") == F.col("_from"), "left")
     if sent:
         got = active.groupBy(F.col("jump").alias("_to")).agg(*sent)
-        now = now.join(got, F.col("idx") == F.col("_to"), "left")
+        now = now.join(dealt(got), F.col("idx") == F.col("_to"), "left")
     zero = lambda c: F.lit(0).cast(state.schema[c].dataType)
     return now.select(
         "idx", F.col("_jump").alias("jump"), F.coalesce("_root", "root").alias("root"), (F.col("rank") + F.coalesce("_rank", F.lit(0))).alias("rank"),
@@ -319,7 +319,7 @@ def cycle_cells(edges: DataFrame) -> DataFrame:
     while True:
         # a jump onto a cell without an entry is a jump to a pit: it leaves
         ahead = state.select(F.col("idx").alias("_at"), F.col("jump").alias("_jump"))
-        state = state.join(ahead, F.col("jump") == F.col("_at")).select("idx", F.col("_jump").alias("jump"))
+        state = state.join(dealt(ahead), F.col("jump") == F.col("_at")).select("idx", F.col("_jump").alias("jump"))
         state, seen = cut_with(state, "cycles", n=F.count(F.lit(1)))
         if not seen["n"]:
             return state.select("idx")
@@ -336,7 +336,7 @@ def forest_of(edges: DataFrame, loops: DataFrame | None = None) -> DataFrame:
     """idx, par and ``looped`` (on a cycle): pits and cells on cycles have no ``par``."""
     if loops is None:
         return edges.select("idx", F.when(F.col("ds") != F.col("idx"), F.col("ds")).alias("par"), F.lit(False).alias("looped"))
-    marked = edges.join(loops.select(F.col("idx").alias("_loop")), F.col("idx") == F.col("_loop"), "left")
+    marked = edges.join(dealt(loops.select(F.col("idx").alias("_loop"))), F.col("idx") == F.col("_loop"), "left")
     looped = F.col("_loop").isNotNull()
     return marked.select("idx", F.when(~looped & (F.col("ds") != F.col("idx")), F.col("ds")).alias("par"), looped.alias("looped"))
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from thalweg.operators.blocks import LIMIT, donors_of, fold_down, fold_up
 from thalweg.operators.forest import Wanted, solve
+from thalweg.operators.store import dealt
 
 NODATA = -9999.0
 MANNERS = ("serial", "pull", "push", "atomic_push")
@@ -47,24 +48,24 @@ def masked_forest(edges: DataFrame, mask: DataFrame | None) -> DataFrame:
     if mask is None:
         return edges.select("idx", F.when(F.col("ds") != F.col("idx"), F.col("ds")).alias("par"))
     inside = mask.select(F.col("idx").alias("_m")).distinct()
-    held = edges.join(inside, F.col("idx") == F.col("_m"), "left_semi")
-    return held.join(inside, F.col("ds") == F.col("_m"), "left").select("idx", F.when(F.col("ds") != F.col("idx"), F.col("_m")).alias("par"))
+    held = edges.join(dealt(inside), F.col("idx") == F.col("_m"), "left_semi")
+    return held.join(dealt(inside), F.col("ds") == F.col("_m"), "left").select("idx", F.when(F.col("ds") != F.col("idx"), F.col("_m")).alias("par"))
 
 
 def surviving(forest: DataFrame, layering: DataFrame) -> DataFrame:
     """The forest after a plain push under ``layering``: of the donors of a receiver that write in one
     layer only the one with the largest index keeps its edge."""
     layers = layering.select(F.col("idx").alias("_i"), "layer")
-    placed = forest.join(layers, F.col("idx") == F.col("_i"), "left").drop("_i")
+    placed = forest.join(dealt(layers), F.col("idx") == F.col("_i"), "left").drop("_i")
     last = placed.filter("par is not null").groupBy(F.col("par").alias("_p"), F.col("layer").alias("_l")).agg(F.max("idx").alias("_last"))
-    kept = placed.join(last, (F.col("par") == F.col("_p")) & (F.col("layer") == F.col("_l")) & (F.col("idx") == F.col("_last")), "left")
+    kept = placed.join(dealt(last), (F.col("par") == F.col("_p")) & (F.col("layer") == F.col("_l")) & (F.col("idx") == F.col("_last")), "left")
     return kept.select("idx", F.when(F.col("_last").isNotNull(), F.col("par")).alias("par"))
 
 
 def _outside(edges: DataFrame, found: DataFrame, column: str, value, kind: str) -> DataFrame:
     """``found`` (idx, column) over all cells of ``edges``, ``value`` where it has none."""
     got = found.select(F.col("idx").alias("_i"), F.col(column).alias("_v"))
-    return edges.select("idx").join(got, F.col("idx") == F.col("_i"), "left").select("idx", F.coalesce("_v", F.lit(value)).cast(kind).alias(column))
+    return edges.select("idx").join(dealt(got), F.col("idx") == F.col("_i"), "left").select("idx", F.coalesce("_v", F.lit(value)).cast(kind).alias(column))
 
 
 def upstream_area(edges: DataFrame, area: DataFrame, mask: DataFrame | None = None, layering: DataFrame | None = None, nodata: float = NODATA) -> DataFrame:
@@ -79,9 +80,9 @@ def upstream_area(edges: DataFrame, area: DataFrame, mask: DataFrame | None = No
     if layering is not None:
         forest = surviving(forest, layering)
     own = area.select(F.col("idx").alias("_a"), F.col("area").cast("double").alias("area"))
-    weighed = forest.join(own, F.col("idx") == F.col("_a")).filter(F.col("area") != nodata).select("idx", "par", "area")
+    weighed = forest.join(dealt(own), F.col("idx") == F.col("_a")).filter(F.col("area") != nodata).select("idx", "par", "area")
     there = weighed.select(F.col("idx").alias("_there"))
-    weighed = weighed.join(there, F.col("par") == F.col("_there"), "left").select("idx", F.col("_there").alias("par"), "area")
+    weighed = weighed.join(dealt(there), F.col("par") == F.col("_there"), "left").select("idx", F.col("_there").alias("par"), "area")
     got = solve(weighed, Wanted(sums=("area",)), "area").select("idx", F.col("sum_area").alias("upa"))
     return _outside(edges, got, "upa", nodata, kind)
 
@@ -95,12 +96,12 @@ def distance_to_outlet(edges: DataFrame, plen: DataFrame, mask: DataFrame | None
     nodata = check_nodata(nodata, "float")
     forest = masked_forest(edges, mask)
     steps = plen.select(F.col("idx").alias("_a"), F.col("plen").cast("double").alias("plen"))
-    weighed = forest.join(steps, F.col("idx") == F.col("_a")).select("idx", "par", "plen")
+    weighed = forest.join(dealt(steps), F.col("idx") == F.col("_a")).select("idx", "par", "plen")
     if not exact:
         got = solve(weighed, Wanted(path=("plen",)), "length").select("idx", F.col("path_plen").cast("float").alias("ldn"))
     else:
         sizes = base.select(F.col("idx").alias("_b"), "root", "size", "rank")
-        cells = weighed.join(sizes, F.col("idx") == F.col("_b")).drop("_b")
+        cells = weighed.join(dealt(sizes), F.col("idx") == F.col("_b")).drop("_b")
         got = fold_down(cells, ("plen",), "ldn float", _hop_by_hop, limit)
     return _outside(edges, got, "ldn", nodata, "float")
 
@@ -128,16 +129,16 @@ def longest_upstream_path(edges: DataFrame, ldn: DataFrame, mask: DataFrame | No
     is longer than what the receiver had before the layer wins."""
     nodata = check_nodata(nodata, "float")
     own = ldn.select(F.col("idx").alias("_a"), F.col("ldn").cast("float").alias("ldn"))
-    forest = masked_forest(edges, mask).join(own, F.col("idx") == F.col("_a")).filter(F.col("ldn") != nodata).select("idx", "par", "ldn")
+    forest = masked_forest(edges, mask).join(dealt(own), F.col("idx") == F.col("_a")).filter(F.col("ldn") != nodata).select("idx", "par", "ldn")
     there = forest.select(F.col("idx").alias("_there"))
-    forest = forest.join(there, F.col("par") == F.col("_there"), "left").select("idx", F.col("_there").alias("par"), "ldn")
+    forest = forest.join(dealt(there), F.col("par") == F.col("_there"), "left").select("idx", F.col("_there").alias("par"), "ldn")
     if layering is None:
         got = solve(forest, Wanted(most=("ldn",)), "longest").select(F.col("idx").alias("_i"), F.col("most_ldn").alias("_h"))
     else:
-        more = base.select(F.col("idx").alias("_b"), "root", "size", "depth").join(layering.select("idx", "layer"), F.col("_b") == F.col("idx")).drop("idx")
-        cells = forest.join(more, F.col("idx") == F.col("_b")).drop("_b")
+        more = base.select(F.col("idx").alias("_b"), "root", "size", "depth").join(dealt(layering.select("idx", "layer")), F.col("_b") == F.col("idx")).drop("idx")
+        cells = forest.join(dealt(more), F.col("idx") == F.col("_b")).drop("_b")
         got = fold_up(cells, ("ldn", "layer"), "h float", _last_taker, limit).select(F.col("idx").alias("_i"), F.col("h").alias("_h"))
-    got = got.join(own, F.col("_i") == F.col("_a")).select(F.col("_i").alias("idx"), "_h", F.col("ldn").alias("_own"))
+    got = got.join(dealt(own), F.col("_i") == F.col("_a")).select(F.col("_i").alias("idx"), "_h", F.col("ldn").alias("_own"))
     return _outside(edges, got.select("idx", _settled().cast("float").alias("lup")), "lup", nodata, "float")
 
 
@@ -165,10 +166,10 @@ def strahler_order(edges: DataFrame, base: DataFrame, mask: DataFrame | None = N
         forest = surviving(forest, layering)
     # the sizes of the whole forest bound those of the masked one, so blocks stay in their limit
     more = base.select(F.col("idx").alias("_b"), "size", "depth", "root")
-    cells = forest.join(more, F.col("idx") == F.col("_b")).drop("_b")
+    cells = forest.join(dealt(more), F.col("idx") == F.col("_b")).drop("_b")
     if mask is not None or layering is not None:  # roots of what is left
         own = solve(forest.select("idx", "par"), Wanted(), "orders").select(F.col("idx").alias("_o"), F.col("root").alias("_root"))
-        cells = cells.join(own, F.col("idx") == F.col("_o")).withColumn("root", F.col("_root")).drop("_o", "_root")
+        cells = cells.join(dealt(own), F.col("idx") == F.col("_o")).withColumn("root", F.col("_root")).drop("_o", "_root")
     got = fold_up(cells, (), "strahler short", _orders, limit)
     return _outside(edges, got, "strahler", 0, "short")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thalweg.operators.store import at_ranks, cut, running_sum
+from thalweg.operators.store import at_ranks, cut, dealt, running_sum
 from thalweg.operators.structure import decomposition
 
 LINE_BYTES = 64
@@ -51,7 +51,7 @@ def _statistics(values: DataFrame, value: str, ranks: dict[str, float]) -> dict:
 def _accesses(ordering: DataFrame, edges: DataFrame) -> DataFrame:
     """idx, pos and, where there is one, the receiver ds."""
     receivers = edges.filter("idx <> ds").select(F.col("idx").alias("_i"), "ds")
-    return ordering.select("idx", "pos").join(receivers, F.col("idx") == F.col("_i"), "left").drop("_i")
+    return ordering.select("idx", "pos").join(dealt(receivers), F.col("idx") == F.col("_i"), "left").drop("_i")
 
 
 def reuse_intervals(ordering: DataFrame, elem_bytes: int = 4) -> DataFrame:
@@ -118,7 +118,7 @@ def serial_locality(ordering: DataFrame, edges: DataFrame, ncol: int, elem_bytes
     elem_bytes = check_elem_bytes(elem_bytes)
     ordering = cut(ordering.select("idx", "pos"), "ordering")
     behind = ordering.select(F.col("idx").alias("prev"), (F.col("pos") + 1).alias("_pos"))
-    steps = cut(ordering.join(behind, F.col("pos") == F.col("_pos")).select(F.abs(F.col("idx") - F.col("prev")).alias("stride"), F.expr(f"idx div {ncol} <> prev div {ncol}").alias("jump")), "steps")
+    steps = cut(ordering.join(dealt(behind), F.col("pos") == F.col("_pos")).select(F.abs(F.col("idx") - F.col("prev")).alias("stride"), F.expr(f"idx div {ncol} <> prev div {ncol}").alias("jump")), "steps")
     stride = _statistics(steps, "stride", {"median": None, "p95": 95, "p99": 99})
     jumps = steps.agg(F.avg(F.col("jump").cast("int"))).first()[0]
     reads = cut(_accesses(ordering, edges).filter("ds is not null").select(F.abs(F.col("idx") - F.col("ds")).alias("d")), "reads")
@@ -147,7 +147,7 @@ def layer_locality(layering: DataFrame, elem_bytes: int = 4) -> DataFrame:
     layers = placed.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), (F.max("idx") - F.min("idx")).alias("span"))
     prints = placed.select("layer", line("idx").alias("line")).distinct().groupBy(F.col("layer").alias("_f")).agg(F.count(F.lit(1)).alias("footprint"))
     behind = placed.select(F.col("layer").alias("_l"), F.col("idx").alias("prev"), (F.col("pos") + 1).alias("_pos"))
-    gaps = placed.join(behind, (F.col("pos") == F.col("_pos")) & (F.col("layer") == F.col("_l")))
+    gaps = placed.join(dealt(behind), (F.col("pos") == F.col("_pos")) & (F.col("layer") == F.col("_l")))
     gaps = gaps.groupBy("layer", (F.col("idx") - F.col("prev")).alias("gap")).agg(F.count(F.lit(1)).alias("m"), F.count_if(line("idx") == line("prev")).alias("hits"))
     gaps = cut(gaps, "gaps")
     before = running_sum(gaps, [F.col("layer"), F.col("gap")], "m", "before")
@@ -179,7 +179,7 @@ def parallel_locality(layering: DataFrame, edges: DataFrame, ncol: int, elem_byt
         if seen > n // 2:
             break
         middle, seen = span, seen + k
-    reads = layering.join(edges.filter("idx <> ds").select(F.col("idx").alias("_i"), "ds"), F.col("idx") == F.col("_i")).select(F.abs(F.col("idx") - F.col("ds")).alias("d"))
+    reads = layering.join(dealt(edges.filter("idx <> ds").select(F.col("idx").alias("_i"), "ds")), F.col("idx") == F.col("_i")).select(F.abs(F.col("idx") - F.col("ds")).alias("d"))
     down = _statistics(cut(reads, "reads"), "d", {"median": None})
     mean = lambda x: float(x) / n if n else 0.0
     out = {

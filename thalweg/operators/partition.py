@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.operators.forest import Wanted, solve
-from thalweg.operators.store import cut
+from thalweg.operators.store import cut, dealt
 from thalweg.operators.structure import main_stems
 
 #: Part of the cells of an opened stem that wait for the second stage.
@@ -436,7 +436,7 @@ def node_graph(cells: DataFrame, ncol: int) -> tuple[DataFrame, DataFrame]:
     row, col = F.expr(f"idx div {ncol}"), F.col("idx") % ncol
     nodes = cells.groupBy("node").agg(F.count(F.lit(1)).alias("weight"), F.avg(row).alias("row"), F.avg(col).alias("col"))
     beside = cells.select("node", F.explode(F.array(F.when(col < ncol - 1, F.col("idx") + 1), F.col("idx") + ncol)).alias("_to")).filter("_to is not null")
-    met = beside.join(cells.select(F.col("idx").alias("_i"), F.col("node").alias("_n")), F.col("_to") == F.col("_i")).filter("node <> _n")
+    met = beside.join(dealt(cells.select(F.col("idx").alias("_i"), F.col("node").alias("_n"))), F.col("_to") == F.col("_i")).filter("node <> _n")
     links = met.groupBy(F.least("node", "_n").alias("a"), F.greatest("node", "_n").alias("b")).agg(F.count(F.lit(1)).alias("length"))
     return nodes, links
 
@@ -494,18 +494,18 @@ def _opened(base: DataFrame, stems: DataFrame, openable: list[int]) -> tuple[Dat
     stem's cells have the node that they weigh with and their place from the source."""
     inside = base.filter(F.col("root").isin(*openable)).select("idx", "par", "root", "rank", "size")
     mark = stems.select(F.col("idx").alias("_s"))
-    cells = inside.join(mark, F.col("idx") == F.col("_s"), "left").withColumn("stem", F.col("_s").isNotNull()).drop("_s")
+    cells = inside.join(dealt(mark), F.col("idx") == F.col("_s"), "left").withColumn("stem", F.col("_s").isNotNull()).drop("_s")
     long = cells.filter("stem").groupBy(F.col("root").alias("_r")).agg(F.count(F.lit(1)).alias("length"))  # OPENABLE rows
     cells = cut(cells.join(F.broadcast(long), F.col("root") == F.col("_r")).withColumn("place", F.when(F.col("stem"), F.col("length") - 1 - F.col("rank"))).drop("_r"), "opened")
     onto = cells.filter("stem").select(F.col("idx").alias("_p"), F.col("place").alias("entry"))
-    side = cut(cells.filter("not stem").join(onto, F.col("par") == F.col("_p"), "left"), "sides")
+    side = cut(cells.filter("not stem").join(dealt(onto), F.col("par") == F.col("_p"), "left"), "sides")
     tops = side.filter("entry is not null").select("root", "length", "entry", "size", F.col("idx").alias("trib"))
     found = tops.toPandas().sort_values(["root", "entry", "trib"], ignore_index=True)  # one row a tributary
     out = []
     for root, rows in found.groupby("root"):
         out.append(Stem(int(root), int(rows["length"].iat[0]), rows["trib"].to_numpy(), rows["entry"].to_numpy(), rows["size"].to_numpy()))
     trees = solve(side.select("idx", F.when(F.col("entry").isNull(), F.col("par")).alias("par")), Wanted(), "tributaries").select(F.col("idx").alias("_t"), F.col("root").alias("node"))
-    trees = side.select("idx", "root").join(trees, F.col("idx") == F.col("_t")).select("idx", "node", F.lit(None).cast("long").alias("place"), "root")
+    trees = side.select("idx", "root").join(dealt(trees), F.col("idx") == F.col("_t")).select("idx", "node", F.lit(None).cast("long").alias("place"), "root")
     ends = []
     for s in out:
         own = np.cumsum(s.weights())
@@ -609,7 +609,7 @@ def _labels(network, base: DataFrame, basins: DataFrame | None) -> tuple[DataFra
         return base, "desc"
     if basins.schema["basin"].dataType.typeName() in ("float", "double", "string"):
         raise ValueError("basins must hold whole numbers")
-    pairs = base.filter("not stranded").join(basins.select(F.col("idx").alias("_i"), "basin"), F.col("idx") == F.col("_i"), "left").select("root", "basin").distinct()
+    pairs = base.filter("not stranded").join(dealt(basins.select(F.col("idx").alias("_i"), "basin")), F.col("idx") == F.col("_i"), "left").select("root", "basin").distinct()
     got = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("root").alias("roots"), F.count_distinct("basin").alias("labels"), F.count_if(F.col("basin").isNull() | (F.col("basin") <= 0)).alias("odd")).first()
     if got["odd"]:
         raise ValueError("basins must be positive on every cell of a basin")
@@ -637,7 +637,7 @@ def partition(network, n_parts: int = 4, level: str = "subbasin", refine: bool =
         raise ValueError("imbalance_target must be at least 1")
     n_parts, base = int(n_parts), network.base
     if upa is not None:
-        odd = base.join(upa.select(F.col("idx").alias("_u"), F.col("upa").cast("float").alias("_a")), F.col("idx") == F.col("_u"), "left")
+        odd = base.join(dealt(upa.select(F.col("idx").alias("_u"), F.col("upa").cast("float").alias("_a"))), F.col("idx") == F.col("_u"), "left")
         if odd.filter("_a is null or isnan(_a) or _a <= 0 or _a = float('inf')").limit(1).count():
             raise ValueError("upa holds a value that is not a finite, positive area on a cell of the network")
     base, order = _labels(network, base, basins)
@@ -653,7 +653,7 @@ def _open(network, base: DataFrame, whole: DataFrame, plan: Plan, n_parts: int,
     """Open basins while that helps. The cells are gone through once, with the OPENABLE heaviest basins
     open; trials only contract that graph."""
     donors = network.edges.filter("idx <> ds").select(F.col("ds").alias("idx")).distinct()
-    sources = base.filter("not stranded").select("idx", "root").join(donors, "idx", "left_anti").groupBy("root").agg(F.count(F.lit(1)).alias("sources")).filter("sources > 1")
+    sources = base.filter("not stranded").select("idx", "root").join(dealt(donors), "idx", "left_anti").groupBy("root").agg(F.count(F.lit(1)).alias("sources")).filter("sources > 1")
     sizes = base.filter("par is null and not looped").select(F.col("idx").alias("root"), "size").join(sources, "root")
     eligible = {int(r["root"]): int(r["size"]) for r in sizes.orderBy(F.col("size").desc(), "root").limit(OPENABLE).collect()}
     if not eligible:
@@ -706,5 +706,5 @@ def _to_cells(base: DataFrame, whole: DataFrame, cells: DataFrame | None, plan:
         stem = stem.select("idx", F.when(F.col("place") < F.col("p_min"), F.col("trunk")).otherwise(MAINSTEM).alias("part"))
         placed = placed.filter("place is null").select("idx", "part").unionByName(stem)
     got = placed.select(F.col("idx").alias("_i"), "part")
-    out = base.select("idx", "stranded").join(got, F.col("idx") == F.col("_i"), "left")
+    out = base.select("idx", "stranded").join(dealt(got), F.col("idx") == F.col("_i"), "left")
     return cut(out.select("idx", F.when(F.col("stranded"), lightest).otherwise(F.coalesce("part", F.lit(-1))).cast("int").alias("part")), "parts")

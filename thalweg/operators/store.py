@@ -56,6 +56,12 @@ def cut_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, d
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get if measures else {}
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join in which both sides are dealt out by a key that few rows share. Without this the optimizer
+    takes the size of compressed files for that of the rows, and sends tables whole that the driver can't hold."""
+    return df.hint("merge")
+
+
 def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` in ranges of ``order``, the number of the range frozen in ``_range``."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from thalweg.operators.blocks import LIMIT, donors_of, fold_up
 from thalweg.operators.forest import Wanted, solve
-from thalweg.operators.store import cut, numbered, running_sum
+from thalweg.operators.store import cut, dealt, numbered, running_sum
 
 
 # adjacency
@@ -25,9 +25,9 @@ def donor_counts(edges: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     """(idx, n_up): donors of every cell; with ``mask`` (idx) only donors in it count."""
     donors = edges.filter("idx <> ds").select("idx", "ds")
     if mask is not None:
-        donors = donors.join(mask.select("idx"), "idx", "left_semi")
+        donors = donors.join(dealt(mask.select("idx")), "idx", "left_semi")
     counts = donors.groupBy(F.col("ds").alias("_to")).agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    return edges.select("idx").join(counts, F.col("idx") == F.col("_to"), "left").select("idx", F.coalesce("_n", F.lit(0)).alias("n_up"))
+    return edges.select("idx").join(dealt(counts), F.col("idx") == F.col("_to"), "left").select("idx", F.coalesce("_n", F.lit(0)).alias("n_up"))
 
 
 def donor_table(edges: DataFrame, mask: DataFrame | None = None) -> DataFrame:
@@ -35,10 +35,10 @@ def donor_table(edges: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     donors = edges.filter("idx <> ds").select("idx", "ds")
     if mask is not None:
         inside = mask.select(F.col("idx").alias("_m"))
-        donors = donors.join(inside, F.col("idx") == F.col("_m"), "left_semi").join(inside, F.col("ds") == F.col("_m"), "left_semi")
+        donors = donors.join(dealt(inside), F.col("idx") == F.col("_m"), "left_semi").join(dealt(inside), F.col("ds") == F.col("_m"), "left_semi")
     lists = donors.groupBy(F.col("ds").alias("_to")).agg(F.sort_array(F.collect_list("idx"), asc=False).alias("_d"))
     none = F.array().cast("array<bigint>")
-    return edges.select("idx").join(lists, F.col("idx") == F.col("_to"), "left").select("idx", F.coalesce("_d", none).alias("donors"))
+    return edges.select("idx").join(dealt(lists), F.col("idx") == F.col("_to"), "left").select("idx", F.coalesce("_d", none).alias("donors"))
 
 
 # labels
@@ -61,11 +61,11 @@ def main_stems(base: DataFrame, upa: DataFrame | None = None) -> DataFrame:
     cells = base.filter("not stranded").select("idx", "par", "root", "size")
     best = [F.col("size").desc()]
     if upa is not None:
-        cells = cells.join(upa.select("idx", F.col("upa").cast("float").alias("upa")), "idx")
+        cells = cells.join(dealt(upa.select("idx", F.col("upa").cast("float").alias("upa"))), "idx")
         best.append(F.col("upa").desc())
     first = F.row_number().over(Window.partitionBy("par").orderBy(*best, F.col("idx"))) == 1
     picked = cells.filter("par is not null").withColumn("_first", first).select(F.col("idx").alias("_i"), "_first")
-    marked = cells.join(picked, F.col("idx") == F.col("_i"), "left").select("idx", "par", F.when(F.coalesce("_first", F.lit(True)), 0).otherwise(1).cast("long").alias("off"))
+    marked = cells.join(dealt(picked), F.col("idx") == F.col("_i"), "left").select("idx", "par", F.when(F.coalesce("_first", F.lit(True)), 0).otherwise(1).cast("long").alias("off"))
     return solve(marked, Wanted(path=("off",)), "stems").filter("path_off = 0").select("idx", "root")
 
 
@@ -76,7 +76,7 @@ def sibling_offsets(base: DataFrame, upa: DataFrame | None = None) -> DataFrame:
     cells, order = base, [F.col("idx")]
     if upa is not None:
         areas = upa.select(F.col("idx").alias("_a"), F.col("upa").cast("float").alias("_upa"))
-        cells = cells.join(areas, F.col("idx") == F.col("_a"), "left")
+        cells = cells.join(dealt(areas), F.col("idx") == F.col("_a"), "left")
         usable = F.col("_upa").isNotNull() & ~F.isnan("_upa") & (F.col("_upa") > 0) & (F.col("_upa") < float("inf"))
         cells = cells.withColumn("_upa", F.when(usable, F.col("_upa")).otherwise(F.raise_error(F.lit("upa must be finite and positive on the network")).cast("float")))
         order = [F.col("_upa").desc(), F.col("idx")]
@@ -94,13 +94,14 @@ def depth_first(base: DataFrame, upa: DataFrame | None = None) -> DataFrame:
     inner = solve(cells.select("idx", "par", "off"), Wanted(path=("off",)), "dfs").select(F.col("idx"), F.col("root"), F.col("path_off").alias("inner"))
     pits = base.filter("par is null and not looped").select(F.col("idx").alias("_pit"), "size")
     pits = running_sum(pits, [F.col("_pit").desc()], "size", "_base").select("_pit", "_base")
-    return inner.join(pits, F.col("root") == F.col("_pit")).select("idx", (F.col("_base") + F.col("inner")).cast("long").alias("pos"), F.col("inner").cast("long").alias("inner"))
+    # every root is a pit; an outer join keeps the cells from being the side that is sent whole
+    return inner.join(pits, F.col("root") == F.col("_pit"), "left").select("idx", (F.col("_base") + F.col("inner")).cast("long").alias("pos"), F.col("inner").cast("long").alias("inner"))
 
 
 def breadth_first(base: DataFrame) -> DataFrame:
     """(idx, pos): rings of equal rank; within one by pit, then by the depth-first place in the basin."""
     inner = depth_first(base).select(F.col("idx").alias("_i"), "inner")
-    cells = base.filter("not stranded").select("idx", "rank", "root").join(inner, F.col("idx") == F.col("_i")).drop("_i")
+    cells = base.filter("not stranded").select("idx", "rank", "root").join(dealt(inner), F.col("idx") == F.col("_i")).drop("_i")
     return numbered(cells, [F.col("rank"), F.col("root"), F.col("inner")], "pos").select("idx", "pos")
 
 
@@ -130,11 +131,12 @@ def latest(base: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         cells = cells.withColumn("basin", F.when(~F.col("stranded"), F.col("root")))
     else:
         given = labels.select(F.col("idx").alias("_i"), F.nullif(F.col("basin"), F.lit(0)).alias("basin"))
-        cells = cells.join(given, F.col("idx") == F.col("_i"), "left").drop("_i")
+        cells = cells.join(dealt(given), F.col("idx") == F.col("_i"), "left").drop("_i")
     reached = cells.filter("basin is not null and not stranded")
     tops = reached.groupBy(F.col("basin").alias("_b")).agg(F.max("rank").alias("_top"))
-    at = reached.join(tops, F.col("basin") == F.col("_b")).select(F.col("idx").alias("_i"), (F.col("_top") - F.col("rank")).alias("layer"))
-    return cells.select("idx").join(at, F.col("idx") == F.col("_i"), "left").select("idx", F.coalesce("layer", F.lit(-1)).alias("layer"))
+    # every basin has a top; an outer join keeps the cells from being the side that is sent whole
+    at = reached.join(tops, F.col("basin") == F.col("_b"), "left").select(F.col("idx").alias("_i"), (F.col("_top") - F.col("rank")).alias("layer"))
+    return cells.select("idx").join(dealt(at), F.col("idx") == F.col("_i"), "left").select("idx", F.coalesce("layer", F.lit(-1)).alias("layer"))
 
 
 def _claims(ready: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], int, int]:
@@ -208,7 +210,7 @@ def reverse_layers(layering: DataFrame) -> DataFrame:
 def conflicts(edges: DataFrame, layering: DataFrame) -> DataFrame:
     """(layer, writes, conflicts): donors that write in a layer, and writes to a receiver that another
     donor of the layer writes to. Counted per (layer, receiver) first, so no layer meets in a task."""
-    placed = edges.filter("idx <> ds").join(layering.filter("layer >= 0").select(F.col("idx").alias("_i"), "layer"), F.col("idx") == F.col("_i"))
+    placed = edges.filter("idx <> ds").join(dealt(layering.filter("layer >= 0").select(F.col("idx").alias("_i"), "layer")), F.col("idx") == F.col("_i"))
     per = placed.groupBy("layer", "ds").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("layer").agg(F.sum("n").alias("writes"), F.sum(F.col("n") - 1).alias("conflicts"))
 
@@ -245,7 +247,7 @@ def _block_of(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     width = 1 << 16
     spread = blocks.withColumn("_bin", F.explode(F.sequence(F.expr(f"first div {width}"), F.expr(f"last div {width}"))))
-    return cells.withColumn("_b", F.expr(f"seq div {width}")).join(spread, (F.col("_b") == F.col("_bin")) & (F.col("seq") >= F.col("first")) & (F.col("seq") <= F.col("last"))).drop("_b", "_bin")
+    return cells.withColumn("_b", F.expr(f"seq div {width}")).join(dealt(spread), (F.col("_b") == F.col("_bin")) & (F.col("seq") >= F.col("first")) & (F.col("seq") <= F.col("last"))).drop("_b", "_bin")
 
 
 def dfs_interval(cells: DataFrame, outlets: DataFrame) -> DataFrame:
@@ -263,7 +265,7 @@ def dfs_interval(cells: DataFrame, outlets: DataFrame) -> DataFrame:
     if n != got["top"] + 1:
         raise ValueError(f"the sequence has {n} cells but its last place is {got['top']}, so places are missing or taken twice")
     asked = outlets.select(F.col("idx").alias("_o"))
-    ends = asked.join(cells, F.col("_o") == F.col("idx"), "left")
+    ends = asked.join(dealt(cells), F.col("_o") == F.col("idx"), "left")
     if ends.filter("idx is null").limit(1).count():
         raise ValueError("one of the outlets is no cell of the grid")
     blocks = cut(interval_blocks(ends.select(F.col("seq").alias("last"), "upg"), n), "blocks")
@@ -273,7 +275,7 @@ def dfs_interval(cells: DataFrame, outlets: DataFrame) -> DataFrame:
         raise ValueError("a cell has an upstream count that can't be: less than 1, or more cells than come before it in its basin")
     twice = on.groupBy("seq").count().filter("count > 1").limit(1).count()
     if twice:
-        missing = on.sparkSession.range(n).join(on.select(F.col("seq").alias("id")), "id", "left_anti").agg(F.min("id")).first()[0]
+        missing = on.sparkSession.range(n).join(dealt(on.select(F.col("seq").alias("id"))), "id", "left_anti").agg(F.min("id")).first()[0]
         raise ValueError(f"no cell has place {missing} of the sequence, and another place is taken twice")
     start = F.col("first") + F.col("last") - F.col("seq")
     found = placed.select("idx", start.alias("dfs_in"), (start + F.col("upg") - 1).alias("dfs_out"))
@@ -285,8 +287,8 @@ def drains_through(intervals: DataFrame, points: DataFrame) -> DataFrame:
     """(point, idx): all cells upstream of each point (idx), the point included, by interval
     containment; bins keep it an equi-join, and only the asked points are spread over bins."""
     width = 1 << 12
-    asked = points.select(F.col("idx").alias("point")).join(intervals, F.col("point") == F.col("idx")).filter("dfs_in >= 0").select("point", F.col("dfs_in").alias("_in"), F.col("dfs_out").alias("_out"))
+    asked = points.select(F.col("idx").alias("point")).join(dealt(intervals), F.col("point") == F.col("idx")).filter("dfs_in >= 0").select("point", F.col("dfs_in").alias("_in"), F.col("dfs_out").alias("_out"))
     asked = asked.withColumn("_bin", F.explode(F.sequence(F.expr(f"_in div {width}"), F.expr(f"_out div {width}"))))
     held = intervals.filter("dfs_in >= 0").select("idx", "dfs_in", F.expr(f"dfs_in div {width}").alias("_b"))
-    return held.join(asked, F.col("_b") == F.col("_bin")).filter("dfs_in between _in and _out").select("point", "idx")
+    return held.join(dealt(asked), F.col("_b") == F.col("_bin")).filter("dfs_in between _in and _out").select("point", "idx")
 

@@ -9,7 +9,7 @@ from thalweg.functions.d8 import receivers, unknown_codes
 from thalweg.network import Network
 from thalweg.operators import kernels, locality, structure
 from thalweg.operators.partition import node_graph
-from thalweg.operators.store import cut
+from thalweg.operators.store import cut, dealt
 from thalweg.plans.terrain import CLOSURE_SQL, DEGREES, EDGES_SQL, codes, heights, network, orders, shape
 
 #: Levels to which the twin of the stream order is unrolled; a tenth would need 2^9 sources.
@@ -40,7 +40,7 @@ def unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return receivers(_strange(spark, sf_dir), *shape(spark, sf_dir), nodata=255)
+    return receivers(cut(_strange(spark, sf_dir), "strange"), *shape(spark, sf_dir), nodata=255)
 
 
 def mask_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths, and areas on the sphere and the ellipsoid, of the raster laid out in degrees."""
     net = network(spark, sf_dir, DEGREES, True)
     round_, flat = net.cell_area, Network(net.edges, net.shape, DEGREES, True, earth="wgs84", checked=True).cell_area
-    out = net.pixel_length.join(round_.withColumnRenamed("area", "sphere_km2"), "idx").join(flat.withColumnRenamed("area", "wgs84_km2"), "idx")
+    out = net.pixel_length.join(dealt(round_.withColumnRenamed("area", "sphere_km2")), "idx").join(dealt(flat.withColumnRenamed("area", "wgs84_km2")), "idx")
     return out.select("idx", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("plen", "sphere_km2", "wgs84_km2")])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from thalweg.network import GridHeader, Network, checked_shape, checked_transform
 from thalweg.operators import kernels, locality
-from thalweg.operators.store import cut, shared_dir
+from thalweg.operators.store import cut, dealt, shared_dir
 from thalweg.plans.network_queries import _INTERVAL
 from thalweg.plans.terrain import CLOSURE_SQL, EDGES_SQL, METRES, codes, network, shape
 from thalweg.sources.geotiff import read_geotiff, write_geotiff
@@ -112,7 +112,7 @@ def interval_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_geotiff(counts, outer, f"{folder}/upg.tif")
     dfs_interval_geotiff(spark, f"{folder}/seq.tif", f"{folder}/upg.tif", f"{folder}/in.tif", f"{folder}/out.tif", _outlet_table(net, folder))
     first, last = (read_geotiff(spark, f"{folder}/{n}.tif")[0] for n in ("in", "out"))
-    both = first.join(last.select(F.col("idx").alias("_i"), F.col("value").alias("dfs_out")), F.col("idx") == F.col("_i"))
+    both = first.join(dealt(last.select(F.col("idx").alias("_i"), F.col("value").alias("dfs_out"))), F.col("idx") == F.col("_i"))
     return both.filter("value >= 0").select("idx", F.col("value").alias("dfs_in"), "dfs_out")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from thalweg.functions.d8 import NODATA, STEPS
 from thalweg.network import Network
+from thalweg.operators.store import cut
 
 TILT, HOLES = 40_000_000, 97
 #: A projected raster of 100 m cells.
@@ -41,25 +42,25 @@ def heights(spark: SparkSession, sf_dir: str, ncol: int) -> DataFrame:
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(idx, code) of every cell of the raster: the direction, 0 at a pit, 247 without data. Each cell
-    offers its height to its eight neighbours, so one aggregation by cell decides."""
+    offers its height to itself and its eight neighbours, so one aggregation by cell decides, and nothing
+    is joined: a join of offers looks small to the optimizer, which would send them all to the driver."""
     nrow, ncol = shape(spark, sf_dir)
     z = heights(spark, sf_dir, ncol).select("idx", "z")
     row, col = F.expr(f"idx div {ncol}"), F.col("idx") % ncol
-    # a cell is seen by the neighbour from which it lies in direction `code`
-    seen = F.array(*[F.struct(F.lit(c).alias("code"), (row - dr).alias("r"), (col - dc).alias("c"), F.lit(float(dr * dr + dc * dc)).alias("d2")) for c, (dr, dc) in STEPS.items()])
-    offers = z.select(F.col("z").alias("z2"), F.explode(seen).alias("s")).filter((F.col("s.c") >= 0) & (F.col("s.c") < ncol) & (F.col("s.r") >= 0))
-    offers = offers.select((F.col("s.r") * ncol + F.col("s.c")).alias("_to"), "z2", "s.code", "s.d2")
-    met = z.join(offers, F.col("idx") == F.col("_to")).filter("z2 < z")
-    best = met.groupBy("idx").agg(F.max(F.struct(((F.col("z") - F.col("z2")) / F.sqrt("d2")).alias("slope"), (-F.col("code")).alias("code"))).alias("b"))
-    best = best.select(F.col("idx").alias("_b"), (-F.col("b.code")).alias("code"))
-    grid = spark.range(nrow * ncol).select(F.col("id").alias("idx"))
-    full = grid.join(z.select(F.col("idx").alias("_z")), F.col("idx") == F.col("_z"), "left").join(best, F.col("idx") == F.col("_b"), "left")
-    return full.select("idx", F.when(F.col("_z").isNull(), NODATA).otherwise(F.coalesce("code", F.lit(0))).cast("short").alias("code"))
+    # a cell is seen by the neighbour from which it lies in direction `code`, and by itself
+    seen = F.array(*[F.struct(F.lit(c).alias("code"), (row - dr).alias("r"), (col - dc).alias("c")) for c, (dr, dc) in {0: (0, 0), **STEPS}.items()])
+    offers = z.select("z", F.explode(seen).alias("s")).filter((F.col("s.c") >= 0) & (F.col("s.c") < ncol) & (F.col("s.r") >= 0) & (F.col("s.r") < nrow))
+    offers = offers.select((F.col("s.r") * ncol + F.col("s.c")).alias("idx"), "s.code", "z")
+    grid = spark.range(nrow * ncol).select(F.col("id").alias("idx"), F.lit(None).cast("int").alias("code"), F.lit(None).cast("long").alias("z"))
+    met = offers.unionByName(grid).groupBy("idx").agg(*[F.min(F.when(F.col("code") == c, F.col("z"))).alias(f"z{c}") for c in (0, *STEPS)])
+    falls = [F.when(F.col(f"z{c}") < F.col("z0"), F.struct(((F.col("z0") - F.col(f"z{c}")) / F.sqrt(F.lit(float(dr * dr + dc * dc)))).alias("slope"), F.lit(-c).alias("code"))) for c, (dr, dc) in STEPS.items()]
+    best = -F.greatest(*falls)["code"]
+    return met.select("idx", F.when(F.col("z0").isNull(), NODATA).otherwise(F.coalesce(best, F.lit(0))).cast("short").alias("code"))
 
 
 def network(spark: SparkSession, sf_dir: str, transform: tuple = METRES, latlon: bool = False) -> Network:
     nrow, ncol = shape(spark, sf_dir)
-    return Network.from_d8(codes(spark, sf_dir), (nrow, ncol), transform, latlon)
+    return Network.from_d8(cut(codes(spark, sf_dir), "codes"), (nrow, ncol), transform, latlon)
 
 
 #: The same edges in DuckDB: tables n, g (cells), e (idx, ds) and w (u, v, h): v lies h steps below u.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thalweg.functions.d8 import STEPS
-from thalweg.operators.store import cut
+from thalweg.operators.store import cut, dealt
 
 #: Resolution of the noise.
 UNIT = 1 << 40
@@ -40,6 +40,6 @@ def synthetic_d8(spark: SparkSession, nrow: int, ncol: int | None = None, seed:
     seen = F.array(*[F.struct(F.lit(k).alias("code"), (F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.lit(float(dr * dr + dc * dc)).alias("d2")) for k, (dr, dc) in STEPS.items()])
     offers = z.select(F.col("z").alias("z2"), F.explode(seen).alias("s")).filter((F.col("s.r") >= 0) & (F.col("s.c") >= 0) & (F.col("s.c") < ncol))
     offers = offers.select((F.col("s.r") * ncol + F.col("s.c")).alias("_to"), "z2", "s.code", "s.d2")
-    met = z.join(offers, F.col("idx") == F.col("_to")).filter("z2 < z")
+    met = z.join(dealt(offers), F.col("idx") == F.col("_to")).filter("z2 < z")
     best = met.groupBy(F.col("idx").alias("_b")).agg(F.max(F.struct(((F.col("z") - F.col("z2")) / F.sqrt("d2")).alias("slope"), (-F.col("code")).alias("code"))).alias("b"))
-    return z.join(best, F.col("idx") == F.col("_b"), "left").select("idx", F.coalesce(-F.col("b.code"), F.lit(0)).cast("short").alias("code"))
+    return z.join(dealt(best), F.col("idx") == F.col("_b"), "left").select("idx", F.coalesce(-F.col("b.code"), F.lit(0)).cast("short").alias("code"))

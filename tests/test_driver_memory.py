@@ -9,6 +9,7 @@ QUERIES = network_queries.queries() | source_queries.queries()
 #: A limit that the compressed files of the cells keep, but not the rows themselves; the smallest row of a table takes 16 bytes.
 LIMIT, ROW = 12_000, 16
 NAMES = [
+    "layering_cfds",
     "interval_rasters",
     "layering_asap",
     "layering_alap",
